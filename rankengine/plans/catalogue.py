@@ -1,11 +1,519 @@
-"""Registered queries over the driver tables."""
+"""The registered leaderboard queries over the driver tables, each with its SQL."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.numeric import round_half_away
+from ..operators import ranking
+from ..sources import payloads, race_view
+from ..streaming import ingest
+from . import normalize, publish, quality, requests, resolve, score
+from .oracles import normal, published, round_, scored, sql
+from .scope import Scope
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(statement: str) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        _SQL[f.__name__] = statement
+        return f
+
+    return add
+
+
+def _raw(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return race_view.raw_tables(spark, sf_dir)
+
+
+def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return publish.publish(_raw(spark, sf_dir))
+
+
+def _shared(spark: SparkSession, name: str) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir() + "/rankengine"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _rounded(df: DataFrame, **digits: int) -> DataFrame:
+    return df.withColumns({c: round_half_away(F.col(c), n) for c, n in digits.items()})
+
+
+def _lands(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(c, n, a) for c, (n, ids) in race_view.CONTINENTS.items() for a in ids], "code string, continent string, area_id string")
+
+
+# -- normalisation ---------------------------------------------------------------------------------------------------
+
+
+@_query(normal("SELECT id, name, url, default_timer::INTEGER AS default_timer FROM games_now"))
+def latest_per_id(spark, sf_dir):
+    return ranking.latest_per_key(_raw(spark, sf_dir)["raw_games"], "id").select("id", "name", "url", F.col("default_timer").cast("int").alias("default_timer"))
+
+
+@_query(normal("SELECT run_id, ord, game_id FROM runs_now"))
+def first_per_run(spark, sf_dir):
+    return normalize.completed_runs(_raw(spark, sf_dir)).select("run_id", "ord", "game_id")
+
+
+@_query(normal("SELECT run_id, subcat_text FROM sub_text"))
+def subcat_text(spark, sf_dir):
+    raw = _raw(spark, sf_dir)
+    return normalize.subcategory_text(normalize.completed_runs(raw), normalize.subcategory_values(raw))
+
+
+@_query(normal("SELECT ord, run_id, game_id, platform_id, array_to_string(player_ids, '|') AS player_ids, leaderboard_name, is_reverse, t, missing_primary, date, date_submitted, is_level_run FROM scored_input"))
+def scored_input(spark, sf_dir):
+    return normalize.scored_input(_raw(spark, sf_dir)).withColumn("player_ids", F.array_join("player_ids", "|"))
+
+
+@_query(normal("SELECT * FROM players_now"))
+def players_dim(spark, sf_dir):
+    return normalize.players_dim(_raw(spark, sf_dir))
+
+
+# -- scoring ---------------------------------------------------------------------------------------------------------
+
+
+@_query(scored("SELECT run_id, leaderboard_name, t_ord, nominal_place, place, leaderboard_runs FROM placed"))
+def board_places(spark, sf_dir):
+    return score.board_places(normalize.scored_input(_raw(spark, sf_dir))).select("run_id", "leaderboard_name", "t_ord", F.col("nominal_place").cast("long").alias("nominal_place"), F.col("place").cast("long").alias("place"), "leaderboard_runs")
+
+
+@_query(scored("SELECT leaderboard_name, count(*) FILTER (best_before IS NULL OR signed < best_before) AS num_wrs FROM walk GROUP BY 1"))
+def record_walk(spark, sf_dir):
+    rows = score.timed_runs(normalize.scored_input(_raw(spark, sf_dir))).where("date > 0")
+    return rows.groupBy("leaderboard_name").agg(F.count_if("is_record").alias("num_wrs"))
+
+
+@_query(scored(f"SELECT leaderboard_name, total::BIGINT AS total_runs, n::BIGINT AS leaderboard_runs, records::BIGINT AS num_wrs, {round_('run_length', 3)} AS run_length, {round_('length_weight', 6)} AS length_weight, {round_('wr_value', 3)} AS wr_value, {round_('sf', 6)} AS sf FROM board"))
+def board_stats(spark, sf_dir):
+    return _rounded(score.board_stats(score.board_places(normalize.scored_input(_raw(spark, sf_dir)))), run_length=3, length_weight=6, wr_value=3, sf=6)
+
+
+@_query(scored(f"SELECT run_id, leaderboard_name, place, {round_('run_value', 3)} AS run_value FROM valued"))
+def run_values(spark, sf_dir):
+    rows = score.value_boards(normalize.scored_input(_raw(spark, sf_dir))).select("run_id", "leaderboard_name", F.col("place").cast("long").alias("place"), "run_value")
+    return _rounded(rows, run_value=3)
+
+
+@_query(published("SELECT * FROM runs"))
+def runs_published(spark, sf_dir):
+    return publish.published_runs(_raw(spark, sf_dir))
+
+
+@_query(published(f"SELECT rank, player_id, player, country, flag, {round_('points', 3)} AS points FROM player_ranks"))
+def player_ranks(spark, sf_dir):
+    return _rounded(_tables(spark, sf_dir)["player_ranks"], points=3)
+
+
+# -- requests --------------------------------------------------------------------------------------------------------
+
+_POINTS = "sum(greatest(value * power(0.99::DOUBLE, nth - 1), value * 0.25::DOUBLE))"
+
+
+def _scoped_pr(where: str, limit: int) -> str:
+    return published(f"""
+    SELECT row_number() OVER (ORDER BY round(points, 6) DESC, player, player_id) AS "Rank", player AS "Player", {round_("points")} AS "Points"
+    FROM (SELECT player_id, any_value(player) AS player, {_POINTS} AS points
+          FROM (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY value DESC) AS nth FROM runs WHERE {where}) GROUP BY player_id)
+    ORDER BY 1 LIMIT {limit + 1}""")
+
+
+_EUROPE = ("r1", "r1/n1", "r1/n6", "r1/n11", "r1/n16", "r1/n21")
+
+
+@_query(published(f'SELECT rank::BIGINT AS "Rank", player AS "Player", {round_("points")} AS "Points" FROM player_ranks ORDER BY 1 LIMIT 1001'))
+def req_pr_all(spark, sf_dir):
+    return requests.player_rankings(_tables(spark, sf_dir), Scope())
+
+
+@_query(published(f"""SELECT row_number() OVER (ORDER BY rank) AS "Rank", player AS "Player", {round_("points")} AS "Points" FROM player_ranks
+    WHERE player_id IN (SELECT id FROM players WHERE area_id IN {_EUROPE}) ORDER BY 1 LIMIT 101"""))
+def req_pr_location(spark, sf_dir):
+    return requests.player_rankings(_tables(spark, sf_dir), Scope(inc_areas=_EUROPE, all_locations=False), 100)
+
+
+@_query(_scoped_pr("game_id IN ('g1', 'g2', 'g5') OR platform_id = '2-HIGH'", 1000))
+def req_pr_scoped(spark, sf_dir):
+    return requests.player_rankings(_tables(spark, sf_dir), Scope(inc_games=("g1", "g2", "g5"), inc_platforms=("2-HIGH",), all_scope=False))
+
+
+@_query(published(f"""SELECT row_number() OVER (ORDER BY value DESC, leaderboard, player, player_id) AS "Rank", leaderboard AS "Leaderboard", player AS "Player", place AS "Place", {round_("value")} AS "Points"
+    FROM runs WHERE game_id IN ('g1', 'g3') ORDER BY 1 LIMIT 501"""))
+def req_runs(spark, sf_dir):
+    return requests.runs_by_player(_tables(spark, sf_dir), Scope(inc_games=("g1", "g3"), all_scope=False), 500)
+
+
+@_query(published(f"""SELECT row_number() OVER (ORDER BY value DESC, leaderboard, player, player_id) AS "Rank", leaderboard AS "Leaderboard", place AS "Place", {round_("value")} AS "Points"
+    FROM runs WHERE player_id = 'C10' ORDER BY 1 LIMIT 1001"""))
+def req_runs_single(spark, sf_dir):
+    return requests.runs_by_player(_tables(spark, sf_dir), Scope(inc_players=("C10",), all_players=False, single_player=True))
+
+
+@_query(published(f"""SELECT row_number() OVER (ORDER BY value DESC, leaderboard) AS "Rank", leaderboard AS "Leaderboard", player AS "Player", {round_("value")} AS "Points"
+    FROM (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY leaderboard_id ORDER BY value DESC, place, player, player_id) = 1) ORDER BY 1 LIMIT 301"""))
+def req_records(spark, sf_dir):
+    return requests.records(_tables(spark, sf_dir), Scope(), 300)
+
+
+def _grouped_sql(column: str, label: str, limit: int) -> str:
+    return published(f"""SELECT row_number() OVER (ORDER BY round(points, 6) DESC, k) AS "Rank", k AS "{label}", {round_("points")} AS "Points"
+    FROM (SELECT {column} AS k, sum(value) AS points FROM runs WHERE {column} IS NOT NULL GROUP BY 1) ORDER BY 1 LIMIT {limit + 1}""")
+
+
+@_query(_grouped_sql("leaderboard", "Leaderboard", 200))
+def req_leaderboards(spark, sf_dir):
+    return requests.leaderboard_value(_tables(spark, sf_dir), Scope(), 200)
+
+
+@_query(_grouped_sql("game", "Game", 1000))
+def req_games(spark, sf_dir):
+    return requests.game_value(_tables(spark, sf_dir), Scope())
+
+
+@_query(_grouped_sql("date", "Date", 1000))
+def req_dates(spark, sf_dir):
+    return requests.date_value(_tables(spark, sf_dir), Scope())
+
+
+@_query(published(f"""SELECT row_number() OVER (ORDER BY round(points, 6) DESC, series) AS "Rank", series AS "Series", {round_("points")} AS "Points"
+    FROM (SELECT s.name AS series, sum(value) AS points FROM runs r JOIN game_series b ON b.game_id = r.game_id JOIN series s ON s.id = b.series_id GROUP BY s.id, s.name) ORDER BY 1 LIMIT 1001"""))
+def req_series(spark, sf_dir):
+    return requests.series_value(_tables(spark, sf_dir), Scope())
+
+
+@_query(published("""SELECT leaderboard, player_id, platform_id, value FROM runs
+    WHERE game_id NOT IN ('g1', 'g4') AND (platform_id IS NULL OR platform_id <> '1-URGENT') AND player_id NOT IN ('C10', 'C20')
+      AND player_id NOT IN (SELECT id FROM players WHERE area_id IN ('r0/n0', 'r2/n2'))"""))
+def scope_exclusions(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    chosen = Scope(exc_games=("g1", "g4"), exc_platforms=("1-URGENT",), exc_players=("C10", "C20"), exc_areas=("r0/n0", "r2/n2"))
+    return requests.apply_scope(t["runs"], t["players"], chosen).select("leaderboard", "player_id", "platform_id", "value")
+
+
+# -- dimensions and meta ---------------------------------------------------------------------------------------------
+
+
+@_query(published("SELECT id, name, slug, name_lower, slug_lower, default_timer::INTEGER AS default_timer FROM games"))
+def dims_games(spark, sf_dir):
+    return _tables(spark, sf_dir)["games"].withColumn("default_timer", F.col("default_timer").cast("int"))
+
+
+@_query(published("SELECT * FROM series"))
+def dims_series(spark, sf_dir):
+    return _tables(spark, sf_dir)["series"]
+
+
+@_query(published("SELECT * FROM areas"))
+def dims_areas(spark, sf_dir):
+    return _tables(spark, sf_dir)["areas"]
+
+
+@_query(published("SELECT * FROM platforms"))
+def dims_platforms(spark, sf_dir):
+    return _tables(spark, sf_dir)["platforms"]
+
+
+@_query(published("SELECT * FROM players"))
+def dims_players(spark, sf_dir):
+    return _tables(spark, sf_dir)["players"]
+
+
+@_query(published("SELECT * FROM game_series"))
+def bridge(spark, sf_dir):
+    return _tables(spark, sf_dir)["game_series"]
+
+
+_META = """SELECT 1 AS schema_version, 'v1' AS data_version, '2024-01-08'::TIMESTAMP AS scraped_at, (SELECT count(*) FROM runs) AS row_count, (SELECT count(*) FROM scored_input) AS raw_run_count,
+    (SELECT count(*) FROM games) AS game_count, (SELECT count(DISTINCT leaderboard_id) FROM runs) AS leaderboard_count, (SELECT count(*) FROM players) AS player_count,
+    (SELECT count(*) FROM checkpoint WHERE status = 'error')::INTEGER AS errored_games"""
+
+
+@_query(published(_META))
+def meta(spark, sf_dir):
+    return _tables(spark, sf_dir)["meta"].drop("published_at").withColumn("scraped_at", F.col("scraped_at").cast("timestamp_ntz"))
+
+
+@_query(published(f"SELECT data_version, row_count, '2024-01-20'::TIMESTAMP - scraped_at > INTERVAL 9 DAY AS stale FROM ({_META})"))
+def freshness(spark, sf_dir):
+    rows = requests.freshness(_tables(spark, sf_dir)["meta"], F.lit("2024-01-20 00:00:00").cast("timestamp"))
+    return rows.select("data_version", "row_count", "stale")
+
+
+# -- request log -----------------------------------------------------------------------------------------------------
+
+#: A request for each customer, made from its row, beside fixed ones that hold the odd cases.
+_FIXED = ["g=game1,!game2,game1&r=runs", "games=Game+1%2C+Game+2&request-type=records", "u=Customer%23000000010&l=XA,!r0/n0", "s=s-1,+t-2+,none&m=99999", "l=Yonder,nation+3,r4/n4&r=bogus", "g=&p=!&m=abc", "p=High,!urgent&g=a,,b,&limit=10", "countries=us&r=", "s=nothing&g=Game+3,game+3", "l=Building,r1&u=!Supplier%23000000001,c4"]
+_LOG_SQL = f"""log AS (
+    SELECT 'f' || (i - 1) AS request_id, q AS query FROM (SELECT unnest(range(1, {len(_FIXED) + 1})) AS i, unnest([{", ".join(f"'{q}'" for q in _FIXED)}]) AS q)
+    UNION ALL SELECT 'c' || c_custkey, concat('g=game', c_custkey % 30, ',!Game+', c_custkey % 7, '&u=C', c_custkey, '&l=Nation+', c_nationkey, '&r=', [ 'pr', 'runs', 'dates', 'none' ][(c_custkey % 4 + 1)::INTEGER], '&m=', c_custkey) FROM customer),
+pairs AS (SELECT request_id, i AS pos, split_part(x, '=', 1) AS k, CASE WHEN contains(x, '=') THEN url_decode(replace(substr(x, strpos(x, '=') + 1), '+', ' ')) ELSE '' END AS value
+    FROM (SELECT request_id, unnest(string_split(query, '&')) AS x, generate_subscripts(string_split(query, '&'), 1) AS i FROM log)),
+keys AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{v}'), ('{v}', '{v}')" for k, v in resolve.KEYS.items())}) x(k, key)),
+params AS (SELECT request_id, pos, key, value FROM pairs JOIN (SELECT DISTINCT * FROM keys) USING (k)),
+pieces AS (SELECT request_id, key AS box, pos, unnest(string_split(value, ',')) AS raw, generate_subscripts(string_split(value, ','), 1) AS nth FROM params WHERE key NOT IN ('request-type', 'limit')),
+signs AS (SELECT request_id, box, pos, nth, if(trim(raw)[1] = '!', '!', '') AS sign, if(trim(raw)[1] = '!', trim(trim(raw)[2:]), trim(raw)) AS term FROM pieces),
+first_terms AS (SELECT * FROM signs WHERE term <> '' QUALIFY row_number() OVER (PARTITION BY request_id, box, sign, lower(term) ORDER BY pos, nth) = 1),
+terms AS (SELECT request_id, box, sign, term, row_number() OVER (PARTITION BY request_id, box ORDER BY pos, nth) AS pos FROM first_terms),
+lasts AS (SELECT request_id, trim(coalesce(arg_max(value, pos) FILTER (key = 'request-type'), '')) AS type, trim(coalesce(arg_max(value, pos) FILTER (key = 'limit'), '')) AS lim FROM params GROUP BY request_id),
+settings AS (
+    SELECT l.request_id, if(type IN {resolve.TYPES}, type, 'pr') AS request_type,
+           CASE WHEN regexp_full_match(lim, '[+-]?[0-9]+') THEN greatest(1, least(5000, lim::BIGINT)) ELSE 1000 END::INTEGER AS "limit",
+           (type <> '' AND type NOT IN {resolve.TYPES})::INTEGER + (lim <> '' AND NOT regexp_full_match(lim, '[+-]?[0-9]+'))::INTEGER AS n_warnings
+    FROM (SELECT log.request_id, coalesce(type, '') AS type, coalesce(lim, '') AS lim FROM log LEFT JOIN lasts USING (request_id)) l),
+area_keys AS (SELECT DISTINCT unnest([id_lower, name_lower, lower(full_name)]) AS key, id, coalesce(full_name, name) AS name, id AS slug FROM areas),
+box_keys AS (SELECT 'locations' AS box, * FROM area_keys
+    {" ".join(f"UNION ALL SELECT DISTINCT '{b}', unnest([name_lower, slug_lower]), id, name, slug FROM {b}" for b in ("games", "series", "platforms", "players"))}),
+land_keys AS (SELECT lower(code) AS key, code, continent, area_id FROM lands UNION ALL SELECT lower(continent), code, continent, area_id FROM lands),
+matches AS (
+    SELECT request_id, t.box, sign, term, pos, b.id, b.name, b.slug, false AS land FROM terms t LEFT JOIN box_keys b ON b.box = t.box AND b.key = lower(term)
+    WHERE NOT (t.box = 'locations' AND lower(term) IN (SELECT key FROM land_keys))
+    UNION ALL SELECT request_id, t.box, sign, term, pos, area_id, continent, code, true FROM terms t JOIN land_keys ON key = lower(term) AND t.box = 'locations'),
+roots AS (SELECT DISTINCT request_id, sign, id FROM matches WHERE box = 'locations' AND id IS NOT NULL)"""
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fixed = spark.createDataFrame([(f"f{i}", q) for i, q in enumerate(_FIXED)], "request_id string, query string")
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    kind = F.element_at(F.array(*map(F.lit, ("pr", "runs", "dates", "none"))), (F.col("c_custkey") % 4 + 1).cast("int"))
+    query = F.concat(F.lit("g=game"), F.col("c_custkey") % 30, F.lit(",!Game+"), F.col("c_custkey") % 7, F.lit("&u=C"), "c_custkey", F.lit("&l=Nation+"), "c_nationkey", F.lit("&r="), kind, F.lit("&m="), "c_custkey")
+    return fixed.unionByName(c.select(F.concat(F.lit("c"), "c_custkey").alias("request_id"), query.alias("query")))
+
+
+@_query(published("SELECT request_id, box, sign, term, pos::INTEGER AS pos FROM terms", _LOG_SQL))
+def request_log(spark, sf_dir):
+    return resolve.request_terms(_log(spark, sf_dir))
+
+
+@_query(published("""SELECT s.*, coalesce(a = 0, true) AS all_scope, coalesce(u = 0, true) AS all_players, coalesce(l = 0, true) AS all_locations, coalesce(u = 1, false) AS single_player FROM settings s LEFT JOIN
+    (SELECT request_id, count(*) FILTER (sign = '' AND box IN ('series', 'games', 'platforms')) AS a, count(*) FILTER (sign = '' AND box = 'players') AS u, count(*) FILTER (sign = '' AND box = 'locations') AS l FROM terms GROUP BY 1) t USING (request_id)""", _LOG_SQL))
+def request_flags(spark, sf_dir):
+    log = _log(spark, sf_dir)
+    settings = resolve.request_settings(log).withColumn("n_warnings", F.size("warnings")).drop("warnings")
+    return settings.join(resolve.request_flags(log, resolve.request_terms(log)), "request_id")
+
+
+@_query(published("""SELECT s.request_id, concat_ws('&', t.boxes, 'r=' || request_type, CASE WHEN "limit" <> 1000 THEN 'm=' || "limit" END) AS canonical FROM settings s LEFT JOIN
+    (SELECT request_id, string_agg(part, '&' ORDER BY nth) AS boxes FROM
+        (SELECT request_id, list_position(['series', 'games', 'platforms', 'players', 'locations'], box) AS nth, ['s', 'g', 'p', 'u', 'l'][list_position(['series', 'games', 'platforms', 'players', 'locations'], box)] || '=' || string_agg(sign || term, ',' ORDER BY pos) AS part FROM terms GROUP BY request_id, box)
+     GROUP BY 1) t USING (request_id)""", _LOG_SQL))
+def request_canonical(spark, sf_dir):
+    return resolve.canonical(_log(spark, sf_dir))
+
+
+@_query(published("""SELECT request_id, box, sign, term, count(id) AS matches, arg_min(name, id) AS name, CASE WHEN bool_or(land) OR count(id) = 1 THEN arg_min(slug, id) END AS slug,
+    CASE WHEN count(id) = 0 THEN 'No ' || if(box = 'series', box, box[:-2]) || ' matched ''' || term || '''.' END AS warning FROM matches GROUP BY ALL""", _LOG_SQL))
+def term_lookup(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    return resolve.term_summary(resolve.matched_terms(resolve.request_terms(_log(spark, sf_dir)), t, _lands(spark))).drop("pos")
+
+
+@_query(published("SELECT DISTINCT request_id, sign, id FROM (SELECT * FROM roots UNION ALL SELECT request_id, sign, a.id FROM roots r JOIN areas a ON starts_with(a.id, r.id || '/'))", _LOG_SQL))
+def location_closure(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    matches = resolve.matched_terms(resolve.request_terms(_log(spark, sf_dir)), t, _lands(spark))
+    return resolve.resolved_ids(matches, t).where("kind = 'areas'").drop("kind")
+
+
+@_query(published("""SELECT DISTINCT request_id, sign, id FROM (SELECT request_id, sign, id FROM matches WHERE box = 'games' AND id IS NOT NULL
+    UNION ALL SELECT request_id, sign, game_id FROM matches m JOIN game_series b ON m.box = 'series' AND b.series_id = m.id)""", _LOG_SQL))
+def series_games(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    matches = resolve.matched_terms(resolve.request_terms(_log(spark, sf_dir)), t, _lands(spark))
+    return resolve.resolved_ids(matches, t).where("kind = 'games'").drop("kind")
+
+
+_NEEDLES = ["game 1", "GAME2", "%", "old"]
+_PLACES = ["nation 1", "build", "xa", "r1", "an"]
+
+
+def _needles(spark: SparkSession, words: list[str]) -> DataFrame:
+    return spark.createDataFrame([(w,) for w in words], "needle string")
+
+
+@_query(published(f"""SELECT needle, name, slug, nth::INTEGER AS nth FROM (
+    SELECT needle, name, slug, row_number() OVER (PARTITION BY needle ORDER BY starts_with(name_lower, lower(needle)) DESC, starts_with(coalesce(slug_lower, ''), lower(needle)) DESC, length(name), name, id) AS nth
+    FROM games JOIN (SELECT unnest({_NEEDLES}) AS needle) n ON contains(name_lower, lower(needle)) OR starts_with(slug_lower, lower(needle))) WHERE nth <= 10"""))
+def suggest_names(spark, sf_dir):
+    return requests.suggest_names(_tables(spark, sf_dir)["games"], _needles(spark, _NEEDLES))
+
+
+@_query(published(f"""SELECT needle, name, slug, nth::INTEGER AS nth FROM (
+    SELECT needle, name, slug, row_number() OVER (PARTITION BY needle ORDER BY o1, o2, o3, o4, o5) AS nth FROM (
+        SELECT needle, continent AS name, code AS slug, 0 AS o1, 0 AS o2, 0 AS o3, code AS o4, code AS o5 FROM (SELECT DISTINCT code, continent FROM lands) l JOIN (SELECT unnest({_PLACES}) AS needle) n ON contains(lower(continent), needle) OR lower(code) = needle
+        UNION ALL SELECT needle, coalesce(full_name, name), CASE WHEN id_lower NOT IN (SELECT lower(code) FROM lands) THEN id END, if(starts_with(name_lower, needle), 1, 2), length(id) - length(replace(id, '/', '')), length(name), name, id
+        FROM areas JOIN (SELECT unnest({_PLACES}) AS needle) n ON starts_with(name_lower, needle) OR starts_with(lower(full_name), needle) OR contains(name_lower, ' ' || needle) OR id_lower = needle)) WHERE nth <= 10"""))
+def suggest_locations(spark, sf_dir):
+    return requests.suggest_locations(_tables(spark, sf_dir)["areas"], _lands(spark), _needles(spark, _PLACES))
+
+
+@_query(published('SELECT DISTINCT p.name, p.flag, a.lb_name AS flag_name, color1, color2 FROM players p LEFT JOIN areas a ON a.id = p.flag WHERE (p.flag IS NOT NULL OR color1 IS NOT NULL) AND p.name IN (SELECT player FROM player_ranks WHERE rank <= 1001)'))
+def player_styles(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    names = requests.player_rankings(t, Scope()).select(F.col("Player").alias("name"))
+    return requests.player_styles(names, t["players"], t["areas"])
+
+
+@_query(published("SELECT DISTINCT name, slug FROM players WHERE slug IS NOT NULL AND slug <> name AND name IN (SELECT player FROM player_ranks WHERE rank <= 1001)"))
+def cell_slugs(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    return requests.cell_slugs(requests.player_rankings(t, Scope()).select(F.col("Player").alias("name")), t["players"])
+
+
+# -- quality ---------------------------------------------------------------------------------------------------------
+
+
+@_query(published(f"""SELECT count(*) FILTER (player IS NULL OR leaderboard IS NULL OR game IS NULL OR value IS NULL) AS null_keys, count(*) FILTER (value < 0 OR place < 1) AS bad_values,
+    count(*) - count(DISTINCT (leaderboard_id, player_id)) AS duplicates, count(*) FILTER (player IN ({", ".join(f"'{x}'" for x in race_view.EXCLUDED_PLAYERS)})) AS excluded_rows, {round_("sum(value)", 1)} AS total_value FROM runs"""))
+def dq_row_checks(spark, sf_dir):
+    return _rounded(quality.row_checks(_tables(spark, sf_dir)["runs"], race_view.EXCLUDED_PLAYERS), total_value=1)
+
+
+def _previous(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """An older snapshot to compare with: the runs of all games but a few, ranked anew."""
+    runs = t["runs"].where(~F.col("game_id").isin("g3", "g6"))
+    ranks = publish.player_ranks(runs)
+    old = t["games"].where(~F.col("id").isin("g3", "g6"))
+    meta = runs.agg(F.count("*").alias("row_count")).crossJoin(old.agg(F.count("*").alias("game_count"))).crossJoin(ranks.agg(F.count("*").alias("player_count")))
+    return {"runs": runs, "player_ranks": ranks, "meta": meta}
+
+
+_PREVIOUS = f"""old_runs AS (SELECT * FROM runs WHERE game_id NOT IN ('g3', 'g6')),
+old_points AS (SELECT player_id, any_value(player) AS player, {_POINTS} AS points FROM (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY value DESC) AS nth FROM old_runs) GROUP BY player_id),
+old_ranks AS (SELECT row_number() OVER (ORDER BY round(points, 6) DESC, player, player_id) AS rank, * FROM old_points),
+m AS ({_META}),
+c AS (SELECT (SELECT count(*) FROM old_runs) AS o_rows, (SELECT count(*) FROM games WHERE id NOT IN ('g3', 'g6')) AS o_games, (SELECT count(*) FROM old_ranks) AS o_players, (SELECT sum(value) FROM runs) / (SELECT sum(value) FROM old_runs) AS ratio,
+    (SELECT count(*) FROM player_ranks n JOIN old_ranks o USING (player_id) WHERE n.rank <= 100 AND o.rank <= 100) AS overlap, (SELECT count(*) FROM runs WHERE game = 'Game 1') AS smoke,
+    (SELECT count(*) FROM player_ranks WHERE player_id IN (SELECT player_id FROM runs WHERE game = 'Game 1')) AS smoke_players)"""
+
+
+@_query(published("""SELECT unnest(['leaderboards', 'errored games', 'no null keys', 'values and places sane', 'one credit per player per leaderboard', 'excluded players absent', 'smoke: runs', 'smoke: players', 'row_count vs previous', 'game_count vs previous', 'player_count vs previous', 'total value vs previous', 'top-100 overlap']) AS name,
+    unnest([leaderboard_count >= 100, errored_games <= 25 AND errored_games <= 0.001 * game_count, true, true, true, true, smoke > 0, smoke_players > 0, row_count >= 0.9 * o_rows, game_count >= 0.95 * o_games, player_count >= 0.9 * o_players, ratio BETWEEN 0.85 AND 1.15, overlap >= 70]) AS ok,
+    unnest([leaderboard_count || ' >= 100', errored_games || ' of ' || game_count || ' games', '0 rows with nulls', '0 bad rows', '0 duplicates', '0 rows', smoke || ' rows', smoke_players || ' rows', row_count || ' vs ' || o_rows, game_count || ' vs ' || o_games, player_count || ' vs ' || o_players, printf('%.3f', ratio), overlap || '/100']) AS detail FROM m, c""", _PREVIOUS))
+def dq_vs_previous(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    return quality.run_gates(t, _previous(t), race_view.EXCLUDED_PLAYERS, "Game 1", min_leaderboards=100)
+
+
+@_query(published("SELECT overlap FROM c", _PREVIOUS))
+def dq_top100(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    return quality.top_overlap(t["player_ranks"], _previous(t)["player_ranks"])
+
+
+@_query(published("""SELECT 'a' AS side, * FROM (SELECT leaderboard, player_id, place FROM runs WHERE place <= 3 EXCEPT SELECT leaderboard, player_id, place FROM runs WHERE value > 50)
+    UNION ALL SELECT 'b', * FROM (SELECT leaderboard, player_id, place FROM runs WHERE value > 50 EXCEPT SELECT leaderboard, player_id, place FROM runs WHERE place <= 3)"""))
+def snapshot_diff(spark, sf_dir):
+    runs = _tables(spark, sf_dir)["runs"]
+    of = lambda cond: runs.where(cond).select("leaderboard", "player_id", "place")
+    return ranking.symmetric_difference(of("place <= 3"), of("value > 50"))
+
+
+# -- ingest ----------------------------------------------------------------------------------------------------------
+
+
+@_query(sql("SELECT concat('g', k) AS id FROM g WHERE k % 17 = 0 AND k <> 17"))
+def pending_work(spark, sf_dir):
+    raw = _raw(spark, sf_dir)
+    return payloads.pending(raw["raw_game_list"].unionByName(raw["raw_game_list"]), raw["crawl_checkpoint"], ["g17"])
+
+
+@_query(sql("SELECT ord, run_id, game_id FROM raw_runs WHERE game_id IN (SELECT game_id FROM checkpoint WHERE status = 'done') AND category_id NOT IN ('g1-A', 'g2-N')"))
+def drop_partial(spark, sf_dir):
+    raw = _raw(spark, sf_dir)
+    kept = payloads.without_partial(raw["raw_runs"], raw["crawl_checkpoint"])
+    return kept.where(~F.col("category_id").isin("g1-A", "g2-N")).select("ord", "run_id", "game_id")
+
+
+def _page_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as they would land: one of each order, alternating between both shapes; values in both notations."""
+    raw = race_view.raw_tables(spark, sf_dir, ordered=False)["raw_runs"]
+    order = F.split("run_id", "-")[0].cast("long")
+    odd = order % 2 == 1
+    second = F.when(F.col("time").isNotNull(), F.when(odd, F.concat(F.format_string("%.3f", "time"), F.lit("s"))).otherwise(F.col("time").cast("string")))
+    when = F.when(odd, F.date_format(F.timestamp_seconds("date"), "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(F.col("date").cast("string"))
+    run = F.struct(F.col("run_id").alias("id"), F.col("game_id").alias("gameId"), F.col("category_id").alias("categoryId"), F.col("level_id").alias("levelId"), F.when(~odd, F.col("value_ids")).alias("valueIds"), F.col("player_ids").alias("playerIds"), F.col("platform_id").alias("platformId"), second.alias("time"), when.alias("performedAt"))
+    pages = raw.groupBy(order.alias("page")).agg(F.array_sort(F.collect_list(run)).alias("runs"))
+    one = F.to_json(F.struct(F.struct("runs", F.array().cast("array<struct<id:string>>").alias("players")).alias("leaderboard")))
+    two = F.to_json(F.struct(F.col("runs").alias("runList")))
+    return pages.select(F.when(F.col("page") % 3 == 0, two).otherwise(one).alias("payload"), F.lit("2024-01-08 00:00:00").cast("timestamp").alias("seen_at"), (F.col("page") % 2).alias("batch"), "page")
+
+
+@_query(sql("""SELECT run_id, game_id, category_id, level_id, CASE WHEN o % 2 = 1 THEN '' ELSE array_to_string(value_ids, '|') END AS value_ids, array_to_string(player_ids, '|') AS player_ids, platform_id, time, date, CASE WHEN o % 3 = 0 THEN 2 ELSE 1 END AS lb_type, n AS runs_before_page
+    FROM (SELECT *, split_part(run_id, '-', 1)::BIGINT AS o FROM raw_runs) r JOIN (SELECT o, sum(n) OVER (ORDER BY o % 2, o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, coalesce(before, 0)::BIGINT AS n FROM (SELECT split_part(run_id, '-', 1)::BIGINT AS o, count(*) AS n FROM raw_runs GROUP BY 1)) p USING (o)"""))
+def ingest_payloads(spark, sf_dir):
+    runs = payloads.with_ord(payloads.parse_page_payloads(_page_payloads(spark, sf_dir))["raw_runs"])
+    before = F.min("ord").over(ranking.Window.partitionBy("page"))
+    return runs.select("run_id", "game_id", "category_id", "level_id", F.array_join("value_ids", "|").alias("value_ids"), F.array_join("player_ids", "|").alias("player_ids"), "platform_id", "time", "date", F.col("lb_type").cast("int").alias("lb_type"), before.alias("runs_before_page"))
+
+
+@_query("SELECT max(n) AS next_ord FROM (SELECT count(*) AS n FROM lineitem l JOIN orders ON l_orderkey = o_orderkey)")
+def resume_ord(spark, sf_dir):
+    return payloads.next_ord(_raw(spark, sf_dir)["raw_runs"])
+
+
+_EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+
+
+def _stream_source(sf_dir: str) -> str:
+    return f"{sf_dir}/events*.parquet"
+
+
+@_query("SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS events, max(ts) AS last_ts FROM events GROUP BY 1")
+def stream_ingest(spark, sf_dir):
+    out = _shared(spark, "stream")
+    ingest.start_ingest(spark, _stream_source(sf_dir), f"{out}/rows", f"{out}/checkpoint", _EVENTS).awaitTermination()
+    return spark.read.schema(_EVENTS).parquet(f"{out}/rows").groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("events"), F.max("ts").alias("last_ts"))
+
+
+@_query("SELECT user_id, max(ts) AS last_ts, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY 1")
+def stream_progress(spark, sf_dir):
+    out = _shared(spark, "progress")
+    step = lambda batch: batch.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("x")).select("user_id", F.col("x.ts").alias("last_ts"), F.col("x.event_type").alias("status"))
+    ingest.start_progress(spark, _stream_source(sf_dir), out, f"{out}/checkpoint", _EVENTS, step).awaitTermination()
+    return ingest.latest_progress(spark, out, "user_id", "last_ts").select("user_id", "last_ts", "status")
+
+
+# -- snapshots -------------------------------------------------------------------------------------------------------
+
+
+@_query(published("SELECT leaderboard_id, leaderboard, player_id, place, value, date FROM runs"))
+def snapshot_roundtrip(spark, sf_dir):
+    root = _shared(spark, "snapshots")
+    publish.write_snapshot(_tables(spark, sf_dir), root, "2024-01-08")
+    return publish.read_snapshot(spark, root)["runs"].select("leaderboard_id", "leaderboard", "player_id", "place", "value", "date")
+
+
+@_query(published("SELECT leaderboard, player, place, value, platform, date, flag FROM runs"))
+def csv_roundtrip(spark, sf_dir):
+    out = _shared(spark, "golden")
+    rows = _tables(spark, sf_dir)["runs"].select("leaderboard", "player", "place", "value", "platform", "date", "flag")
+    rows.orderBy("leaderboard", "place", "player").write.option("header", True).csv(out)
+    return spark.read.schema(rows.schema).option("header", True).csv(out)
+
+
+@_query(normal("SELECT 'raw_games' AS name, id, url FROM raw_games UNION ALL SELECT 'raw_levels', id, NULL FROM raw_levels"))
+def fixture_load(spark, sf_dir):
+    raw, out = _raw(spark, sf_dir), _shared(spark, "document")
+    packed = [raw[n].agg(F.collect_list(F.struct("*")).alias(n)) for n in ("raw_games", "raw_levels")]
+    packed[0].crossJoin(packed[1]).write.json(out)
+    t = payloads.load_document(spark, out, {"raw_games": "id: string, name: string, url: string, default_timer: tinyint, seen_at: timestamp", "raw_levels": "id: string, game_id: string, name: string, seen_at: timestamp", "raw_areas": "id: string"})
+    return t["raw_games"].select(F.lit("raw_games").alias("name"), "id", "url").unionByName(t["raw_levels"].select(F.lit("raw_levels").alias("name"), "id", F.lit(None).cast("string").alias("url")))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
