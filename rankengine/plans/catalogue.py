@@ -31,12 +31,23 @@ def _query(statement: str) -> Callable[[Query], Query]:
     return add
 
 
+_KEPT: dict[tuple[str, str, str], dict[str, DataFrame]] = {}
+
+
+def _kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], dict[str, DataFrame]]) -> dict[str, DataFrame]:
+    """Plans are made once a session and input, so that queries share what is persisted."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def _raw(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return race_view.raw_tables(spark, sf_dir)
+    return _kept(spark, sf_dir, "raw", lambda: race_view.raw_tables(spark, sf_dir))
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return publish.publish(_raw(spark, sf_dir))
+    return _kept(spark, sf_dir, "published", lambda: publish.publish(_raw(spark, sf_dir)))
 
 
 def _shared(spark: SparkSession, name: str) -> str:
@@ -123,7 +134,7 @@ _POINTS = "sum(greatest(value * power(0.99::DOUBLE, nth - 1), value * 0.25::DOUB
 
 def _scoped_pr(where: str, limit: int) -> str:
     return published(f"""
-    SELECT row_number() OVER (ORDER BY round(points, 6) DESC, player, player_id) AS "Rank", player AS "Player", {round_("points")} AS "Points"
+    SELECT row_number() OVER (ORDER BY round(points, 6) DESC, player, player_id) AS "Rank", player AS "Player", {round_("round(points, 6)")} AS "Points"
     FROM (SELECT player_id, any_value(player) AS player, {_POINTS} AS points
           FROM (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY value DESC) AS nth FROM runs WHERE {where}) GROUP BY player_id)
     ORDER BY 1 LIMIT {limit + 1}""")
@@ -132,12 +143,12 @@ def _scoped_pr(where: str, limit: int) -> str:
 _EUROPE = ("r1", "r1/n1", "r1/n6", "r1/n11", "r1/n16", "r1/n21")
 
 
-@_query(published(f'SELECT rank::BIGINT AS "Rank", player AS "Player", {round_("points")} AS "Points" FROM player_ranks ORDER BY 1 LIMIT 1001'))
+@_query(published(f'SELECT rank::BIGINT AS "Rank", player AS "Player", {round_("round(points, 6)")} AS "Points" FROM player_ranks ORDER BY 1 LIMIT 1001'))
 def req_pr_all(spark, sf_dir):
     return requests.player_rankings(_tables(spark, sf_dir), Scope())
 
 
-@_query(published(f"""SELECT row_number() OVER (ORDER BY rank) AS "Rank", player AS "Player", {round_("points")} AS "Points" FROM player_ranks
+@_query(published(f"""SELECT row_number() OVER (ORDER BY rank) AS "Rank", player AS "Player", {round_("round(points, 6)")} AS "Points" FROM player_ranks
     WHERE player_id IN (SELECT id FROM players WHERE area_id IN {_EUROPE}) ORDER BY 1 LIMIT 101"""))
 def req_pr_location(spark, sf_dir):
     return requests.player_rankings(_tables(spark, sf_dir), Scope(inc_areas=_EUROPE, all_locations=False), 100)
@@ -167,7 +178,7 @@ def req_records(spark, sf_dir):
 
 
 def _grouped_sql(column: str, label: str, limit: int) -> str:
-    return published(f"""SELECT row_number() OVER (ORDER BY round(points, 6) DESC, k) AS "Rank", k AS "{label}", {round_("points")} AS "Points"
+    return published(f"""SELECT row_number() OVER (ORDER BY round(points, 6) DESC, k) AS "Rank", k AS "{label}", {round_("round(points, 6)")} AS "Points"
     FROM (SELECT {column} AS k, sum(value) AS points FROM runs WHERE {column} IS NOT NULL GROUP BY 1) ORDER BY 1 LIMIT {limit + 1}""")
 
 
@@ -186,7 +197,7 @@ def req_dates(spark, sf_dir):
     return requests.date_value(_tables(spark, sf_dir), Scope())
 
 
-@_query(published(f"""SELECT row_number() OVER (ORDER BY round(points, 6) DESC, series) AS "Rank", series AS "Series", {round_("points")} AS "Points"
+@_query(published(f"""SELECT row_number() OVER (ORDER BY round(points, 6) DESC, series) AS "Rank", series AS "Series", {round_("round(points, 6)")} AS "Points"
     FROM (SELECT s.name AS series, sum(value) AS points FROM runs r JOIN game_series b ON b.game_id = r.game_id JOIN series s ON s.id = b.series_id GROUP BY s.id, s.name) ORDER BY 1 LIMIT 1001"""))
 def req_series(spark, sf_dir):
     return requests.series_value(_tables(spark, sf_dir), Scope())
@@ -312,7 +323,7 @@ def request_canonical(spark, sf_dir):
 
 
 @_query(published("""SELECT request_id, box, sign, term, count(id) AS matches, arg_min(name, id) AS name, CASE WHEN bool_or(land) OR count(id) = 1 THEN arg_min(slug, id) END AS slug,
-    CASE WHEN count(id) = 0 THEN 'No ' || if(box = 'series', box, box[:-2]) || ' matched ''' || term || '''.' END AS warning FROM matches GROUP BY ALL""", _LOG_SQL))
+    CASE WHEN count(id) = 0 THEN 'No ' || if(box = 'series', box, box[:-2]) || ' matched ''' || term || '''.' END AS warning FROM matches GROUP BY request_id, box, sign, term, pos""", _LOG_SQL))
 def term_lookup(spark, sf_dir):
     t = _tables(spark, sf_dir)
     return resolve.term_summary(resolve.matched_terms(resolve.request_terms(_log(spark, sf_dir)), t, _lands(spark))).drop("pos")

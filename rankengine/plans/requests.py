@@ -23,7 +23,7 @@ def cut(df: DataFrame, limit: int) -> tuple[DataFrame, Column]:
 
 
 def _points(c: str = "points") -> Column:
-    return round_half_away(F.col(c), 2).alias("Points")
+    return round_half_away(F.round(c, STABLE) if c == "points" else F.col(c), 2).alias("Points")
 
 
 def _ordered(df: DataFrame, c: str, *names: str) -> list[Column]:

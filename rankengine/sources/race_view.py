@@ -18,6 +18,10 @@ def _at(text: str):
     return F.lit(text).cast("timestamp")
 
 
+def _capital(c: str):
+    return F.concat(F.substring(c, 1, 1), F.lower(F.substring(F.col(c), 2, 1 << 30)))
+
+
 def raw_tables(spark: SparkSession, sf_dir: str, ordered: bool = True) -> dict[str, DataFrame]:
     """Name -> raw table. Without `ordered`, raw_runs has no ord."""
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -82,12 +86,12 @@ def _game_series(games: DataFrame) -> DataFrame:
 
 
 def _areas(region: DataFrame, nation: DataFrame, customer: DataFrame) -> DataFrame:
-    regions = region.select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.initcap("r_name").alias("name"), F.lit(None).cast("string").alias("parent_id"))
+    regions = region.select(F.concat(F.lit("r"), "r_regionkey").alias("id"), _capital("r_name").alias("name"), F.lit(None).cast("string").alias("parent_id"))
     regions = regions.withColumns({"full_name": F.col("name"), "lb_flag": F.col("id")})
     nations = nation.select(F.concat(F.lit("r"), "n_regionkey", F.lit("/n"), "n_nationkey").alias("id"), F.regexp_replace("n_name", "NATION_", "Nation ").alias("name"), F.concat(F.lit("r"), "n_regionkey").alias("parent_id"))
     nations = nations.withColumns({"full_name": F.col("name"), "lb_flag": F.col("id")})
     segments = nations.crossJoin(F.broadcast(customer.select("c_mktsegment").distinct()))
-    segments = segments.select(F.concat_ws("/", "id", "c_mktsegment").alias("id"), F.initcap("c_mktsegment").alias("name"), F.col("id").alias("parent_id"), F.concat_ws(", ", F.initcap("c_mktsegment"), "name").alias("full_name"), "lb_flag")
+    segments = segments.select(F.concat_ws("/", "id", "c_mktsegment").alias("id"), _capital("c_mktsegment").alias("name"), F.col("id").alias("parent_id"), F.concat_ws(", ", _capital("c_mktsegment"), "name").alias("full_name"), "lb_flag")
     return regions.unionByName(nations).unionByName(segments).select("id", "name", "full_name", F.col("name").alias("lb_name"), "lb_flag", "parent_id", _at(NEW).alias("seen_at"))
 
 
