@@ -7,10 +7,11 @@ set, linked with nothing). Documents with percent * |union| <= 100 * |intersecti
    sets form a class that the smallest doc_id represents, so copies are never compared.
 2. Representatives that share a band hash form a bucket. Each is compared with the bucket's pivot; a pivot is drawn by
    hash, so a document meets other pivots in other buckets. Confirmed links give components.
-3. In buckets that still hold several components, members outside the pivot's component are compared with all members of
-   other components. No pair of different components that shares a bucket is left out.
-4. Links are confirmed on full sets, recomputed from the texts. Pairs and texts meet in groups of bounded size: by family
-   (component of the bucket graph), large families by pairs of chunks.
+3. In families (components of the bucket graph) that still hold several components, documents outside the largest one
+   are compared with all documents of other components, by an index of shingles. No pair of different components that
+   shares a bucket is left out, and no pair is listed that isn't a link.
+4. Links are confirmed on full sets, recomputed from the texts. Pairs and texts meet in groups of bounded size: by family,
+   large families by pairs of chunks.
 
 With the parameters that `Banding.at` picks, two linked documents share no bucket with probability under 1e-6. Null
 texts are empty. Rows that repeat a doc_id are one document, whose sets all count. Extra columns are dropped.
@@ -23,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -223,6 +225,41 @@ def _confirmer(width: int, percent: int) -> Callable:
     return confirm
 
 
+def _searcher(width: int, percent: int) -> Callable:
+    """Links between queries (`out`) and members of other components, group by group, by counting common shingles in an
+    index of the members; one link for each query and component."""
+
+    def search(table: pa.Table) -> pa.Table:
+        a: list[int] = []
+        b: list[int] = []
+        groups = table.select(["family", "asking", "asked"]).group_by(["family", "asking", "asked"]).aggregate([])
+        for group in groups.to_pylist():
+            mine = pc.and_(pc.and_(pc.equal(table["family"], group["family"]), pc.equal(table["asking"], group["asking"])), pc.equal(table["asked"], group["asked"]))
+            rows = table.filter(mine)
+            flat, bounds = shingle_sets(rows.column("text"), width)
+            key, component = rows.column("doc_id").to_numpy(), rows.column("c").to_numpy()
+            out = rows.column("out").to_numpy()
+            size = np.diff(bounds)
+            of = np.repeat(np.arange(len(size)), size)
+            inside = ~out[of]
+            order = np.argsort(flat[inside], kind="stable")
+            shingles, owner = flat[inside][order], of[inside][order]
+            for q in np.flatnonzero(out).tolist():
+                x = flat[bounds[q] : bounds[q + 1]]
+                low, high = np.searchsorted(shingles, x, "left"), np.searchsorted(shingles, x, "right")
+                n = high - low
+                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+                both = np.bincount(owner[at], minlength=len(size))
+                hit = np.flatnonzero((both > 0) & (component != component[q]) & (100 * both >= percent * (size + size[q] - both)))
+                _, first = np.unique(component[hit], return_index=True)
+                for m in hit[first].tolist():
+                    a.append(min(key[q], key[m]))
+                    b.append(max(key[q], key[m]))
+        return pa.table([pa.array(a, table.schema.field("doc_id").type), pa.array(b, table.schema.field("doc_id").type)], ["a", "b"])
+
+    return search
+
+
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     if len(x) > len(y):
         x, y = y, x
@@ -280,14 +317,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, banding:
     of = components(links, "near-components")
 
     # what the pivots left open
-    label = of.select(F.col("node").alias("rep"), F.col("component").alias("c"))
-    rows = buckets.select("bucket", "rep", "n", "pivot").join(label, "rep", "left").withColumn("c", F.coalesce("c", "rep"))
-    rows = rows.join(label.select(F.col("rep").alias("pivot"), F.col("c").alias("pc")), "pivot", "left").withColumn("pc", F.coalesce("pc", "pivot"))
-    rows = staging.staged(rows.withColumn("out", F.col("c") != F.col("pc")).select("bucket", "rep", "n", "c", "out"), "near-open")
-    x, y = rows.where("out").alias("x"), rows.alias("y")
-    open_pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") != F.col("y.c")) & (~F.col("y.out") | (F.col("x.rep") < F.col("y.rep"))) & close("x.n", "y.n"))
-    open_pairs = open_pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = staging.staged(confirmed(open_pairs, texts, families, groups, width, percent), "near-more")
+    label = of.select(F.col("node").alias("doc_id"), F.col("component").alias("c"))
+    rows = texts.select("doc_id", "family").distinct().join(label, "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
+    rows = staging.staged(rows, "near-labels")
+    several = rows.groupBy("family").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.mode("c", True).alias("main")).where("least <> most").select("family", "main")
+    rows = rows.join(several.join(families, "family"), "family").select("doc_id", "family", "c", (F.col("c") != F.col("main")).alias("out"), "chunks", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.col("chunks")).alias("own"))
+    asked = rows.where("out").select("family", F.col("own").alias("asking")).distinct()
+    member = rows.join(asked, "family").select("doc_id", "family", "c", F.lit(False).alias("out"), "asking", F.col("own").alias("asked"))
+    query = rows.where("out").select("doc_id", "family", "c", "out", F.col("own").alias("asking"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("asked"))
+    sides = member.unionByName(query).withColumn("key", F.pmod(F.xxhash64("family", "asking", "asked"), F.lit(groups)))
+    sides = sides.join(texts.select("doc_id", "text"), "doc_id")
+    more = staging.staged(sides.groupBy("key").applyInArrow(_searcher(width, percent), f"a {kind}, b {kind}"), "near-more")
     of = components(links.unionByName(more), "near-groups")
 
     # several classes of one doc_id are one document
