@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, mixing, near_dup, quality_rules, suffix_tree, token_counts, token_files, toxicity
+from . import decontamination, fixity, language_id, mixing, near_dup, quality_rules, suffix_tree, token_counts, token_files, toxicity
 from .staging import documents, new_path, remainder
 
 
@@ -23,6 +23,13 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), tokenizer_path())
 
 
+def op3_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits a replica of `pages` in which some records were altered and some lost."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    replica = pages.where("page_id % 101 <> 7").withColumn("html", F.when(F.col("page_id") % 97 == 5, F.concat("html", F.lit(" "))).otherwise(F.col("html")))
+    return fixity.audit(pages, replica, "page_id", ["url", "html"])
+
+
 def op4_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), remainder(3) != 1)
@@ -59,7 +66,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_tree, op2_token_counts, op4_toxic_segments, op5_language_id, op6_token_files, op7_quality_rules, op8_super_minhash, op9_mixing, op10_decontamination)}
+    return {f.__name__: f for f in (op1_suffix_tree, op2_token_counts, op3_merkle_fixity, op4_toxic_segments, op5_language_id, op6_token_files, op7_quality_rules, op8_super_minhash, op9_mixing, op10_decontamination)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -153,4 +160,4 @@ _OP10 = rf"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": _op7_sql(), "op8_super_minhash": _OP8, "op9_mixing": _OP9, "op10_decontamination": _OP10}
+    return {"op3_merkle_fixity": "SELECT page_id, CASE WHEN page_id % 101 = 7 THEN 'missing' ELSE 'corrupt' END AS status FROM pages WHERE page_id % 101 = 7 OR (page_id % 97 = 5 AND html IS NOT NULL)", "op7_quality_rules": _op7_sql(), "op8_super_minhash": _OP8, "op9_mixing": _OP9, "op10_decontamination": _OP10}
