@@ -32,7 +32,9 @@ SAMPLE_BYTES = 8192
 DICTIONARY_BYTES = 64 << 10
 SHARD_BYTES = 4 << 20
 LEVEL = 3
-_CACHE = 500_000
+#: Chunks whose ids are kept, and chunks that the library encodes at a time (its results are large).
+_CACHE = 200_000
+_BATCH = 4096
 #: Blanks that the tokenizer drops wherever they stand; no token spans one.
 _CUTS = np.arange(256, dtype=np.uint8)
 _CUTS[[0x09, 0x0A, 0x0D]] = 0x20
@@ -61,12 +63,15 @@ class WordEncoder:
     def __init__(self, path: str):
         self.tokenizer, self.known = _tokenizer(path), {}
 
-    def ids(self, chunks: list[str]) -> list[np.ndarray]:
+    def ids(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk as the bytes of 32-bit integers, which take less room than arrays."""
         if len(self.known) > _CACHE:
             self.known.clear()
         new = [x for x in chunks if x not in self.known]
-        for x, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[x] = np.asarray(e.ids, np.uint32)
+        for i in range(0, len(new), _BATCH):
+            part = new[i : i + _BATCH]
+            for x, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
+                self.known[x] = np.asarray(e.ids, np.uint32).tobytes()
         return [self.known[x] for x in chunks]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -78,8 +83,8 @@ class WordEncoder:
         if not len(codes):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         table = self.ids(distinct.to_pylist())
-        sizes = np.fromiter(map(len, table), np.int64, len(table))
-        flat, begins = np.concatenate(table), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        flat, begins = np.frombuffer(b"".join(table), np.uint32), np.concatenate([[0], np.cumsum(sizes)[:-1]])
         counts = sizes[codes]
         ends = np.cumsum(counts)
         at = np.arange(ends[-1]) - np.repeat(ends - counts, counts) + np.repeat(begins[codes], counts)
@@ -95,7 +100,7 @@ def _documents(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Ite
     """Keys and ids, a piece of a batch at a time."""
     encoder = _encoder(path)
     for batch in batches:
-        for piece in pieces(batch):
+        for piece in pieces(batch, size=1 << 20):
             ids, first = encoder.encode(piece.column("text"))
             end = np.array([end_id], np.uint32)
             yield piece.column("doc_id").to_pylist(), [np.concatenate([ids[a:b], end]) for a, b in zip(first, first[1:], strict=False)]
