@@ -32,8 +32,8 @@ SAMPLE_BYTES = 8192
 DICTIONARY_BYTES = 64 << 10
 SHARD_BYTES = 4 << 20
 LEVEL = 3
-#: Chunks whose ids are kept, and chunks that the library encodes at a time (its results are large).
-_CACHE = 200_000
+#: Chunks in a generation of the cache (two are held, so frequent chunks stay), and chunks that the library encodes at a time (its results are large).
+_CACHE = 300_000
 _BATCH = 4096
 #: Blanks that the tokenizer drops wherever they stand; no token spans one.
 _CUTS = np.arange(256, dtype=np.uint8)
@@ -61,13 +61,19 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = _tokenizer(path), {}
+        self.tokenizer, self.known, self.older = _tokenizer(path), {}, {}
 
     def ids(self, chunks: list[str]) -> list[bytes]:
         """Ids of each chunk as the bytes of 32-bit integers, which take less room than arrays."""
         if len(self.known) > _CACHE:
-            self.known.clear()
-        new = [x for x in chunks if x not in self.known]
+            self.older, self.known = self.known, {}
+        new = []
+        for x in chunks:
+            if x not in self.known:
+                if x in self.older:
+                    self.known[x] = self.older[x]
+                else:
+                    new.append(x)
         for i in range(0, len(new), _BATCH):
             part = new[i : i + _BATCH]
             for x, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
