@@ -52,6 +52,14 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _special_string(tokenizer) -> tuple[str, int]:
+    """A special string that is looked for in the text as it stands and takes nothing from what is around it, and its id."""
+    for i, t in sorted(tokenizer.get_added_tokens_decoder().items()):
+        if t.content.startswith("<|") and not (t.normalized or t.lstrip or t.rstrip or t.single_word):
+            return t.content, i
+    return "", -1
+
+
 class WordEncoder:
     """Ids of whole texts, each distinct blank-free chunk encoded once by the library.
 
@@ -62,6 +70,7 @@ class WordEncoder:
 
     def __init__(self, path: str):
         self.tokenizer, self.known, self.older = _tokenizer(path), {}, {}
+        self.apart = _special_string(self.tokenizer)
 
     def ids(self, chunks: list[str]) -> list[bytes]:
         """Ids of each chunk as the bytes of 32-bit integers, which take less room than arrays."""
@@ -75,11 +84,22 @@ class WordEncoder:
                 else:
                     new.append(x)
         for i in range(0, len(new), _BATCH):
-            part = new[i : i + _BATCH]
-            for x, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[x] = np.asarray(e.ids, np.uint32).tobytes()
+            self._learn(new[i : i + _BATCH])
         return [self.known[x] for x in chunks]
 
+    def _learn(self, chunks: list[str]) -> None:
+        """Encodes new chunks, those that can hold no special string in one text with a special string after each."""
+        text, apart = self.apart
+        joint = [x for x in chunks if "<|" not in x] if text else []
+        if joint:
+            found = np.asarray(self.tokenizer.encode_batch_fast([text.join([*joint, ""])], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(found == apart)
+            data, ends = found.tobytes(), (4 * ends).tolist()
+            for x, a, b in zip(joint, [0, *(e + 4 for e in ends[:-1])], ends, strict=True):
+                self.known[x] = data[a:b]
+        for x in chunks if not text else (x for x in chunks if "<|" in x):
+            self.known[x] = np.asarray(self.tokenizer.encode(x, add_special_tokens=False).ids, np.uint32).tobytes()
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one flat array, and per text the offset of its first id."""
         texts = plain(texts)
