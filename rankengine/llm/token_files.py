@@ -76,16 +76,13 @@ class WordEncoder:
         """Ids of each chunk as the bytes of 32-bit integers, which take less room than arrays."""
         if len(self.known) > _CACHE:
             self.older, self.known = self.known, {}
-        new = []
-        for x in chunks:
-            if x not in self.known:
-                if x in self.older:
-                    self.known[x] = self.older[x]
-                else:
-                    new.append(x)
+        known, older = self.known, self.older
+        missing = [x for x, v in zip(chunks, map(known.get, chunks), strict=True) if v is None]
+        known.update((x, older[x]) for x in missing if x in older)
+        new = [x for x in missing if x not in known]
         for i in range(0, len(new), _BATCH):
             self._learn(new[i : i + _BATCH])
-        return [self.known[x] for x in chunks]
+        return [*map(known.__getitem__, chunks)]
 
     def _learn(self, chunks: list[str]) -> None:
         """Encodes new chunks, those that can hold no special string in one text with a special string after each."""
@@ -108,13 +105,10 @@ class WordEncoder:
         codes, distinct = encode_words(words)
         if not len(codes):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-        table = self.ids(distinct.to_pylist())
-        sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
-        flat, begins = np.frombuffer(b"".join(table), np.uint32), np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        counts = sizes[codes]
-        ends = np.cumsum(counts)
-        at = np.arange(ends[-1]) - np.repeat(ends - counts, counts) + np.repeat(begins[codes], counts)
-        return flat[at], np.concatenate([[0], ends])[first]
+        taken = pa.array(self.ids(distinct.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(pa.array(codes))
+        ends = np.frombuffer(taken.buffers()[1], np.int64, len(codes) + 1) // 4
+        flat = np.frombuffer(taken.buffers()[2], np.uint32, ends[-1]) if ends[-1] else np.zeros(0, np.uint32)
+        return flat, ends[first]
 
 
 @functools.cache
@@ -126,7 +120,7 @@ def _documents(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Ite
     """Keys and ids, a piece of a batch at a time."""
     encoder = _encoder(path)
     for batch in batches:
-        for piece in pieces(batch, size=1 << 20):
+        for piece in pieces(batch, size=2 << 20):
             ids, first = encoder.encode(piece.column("text"))
             end = np.array([end_id], np.uint32)
             yield piece.column("doc_id").to_pylist(), [np.concatenate([ids[a:b], end]) for a, b in zip(first, first[1:], strict=False)]
