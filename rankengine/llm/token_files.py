@@ -145,9 +145,12 @@ def _trainer(path: str, end_id: int, width: int) -> Callable:
 
 
 def train_dictionary(docs: DataFrame, path: str, end_id: int, width: int) -> DataFrame:
-    """One row (hash, data), from the SAMPLE_DOCS documents whose key hashes lowest."""
+    """One row (hash, data), from the SAMPLE_DOCS documents whose key hashes lowest among about four times as many, which
+    a threshold on other bits of the hash leaves, so that no task sees more than a few samples."""
     order = F.xxhash64("doc_id", "text")
-    sample = docs.select("doc_id", F.substring("text", 1, SAMPLE_BYTES).alias("text")).orderBy(order).limit(SAMPLE_DOCS)
+    share = min(1.0, 4 * SAMPLE_DOCS / max(docs.count(), 1))
+    near = docs.where(F.pmod(order, F.lit(1 << 30)) < F.lit(share * (1 << 30)))
+    sample = near.select("doc_id", F.substring("text", 1, SAMPLE_BYTES).alias("text")).orderBy(order).limit(SAMPLE_DOCS)
     return sample.coalesce(1).mapInArrow(_trainer(path, end_id, width), "hash string, data binary")
 
 
