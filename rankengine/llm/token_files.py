@@ -116,11 +116,11 @@ def _encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def _documents(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[list, list[np.ndarray]]]:
+def _documents(batches: Iterator[pa.RecordBatch], path: str, end_id: int, piece_bytes: int = 1 << 20) -> Iterator[tuple[list, list[np.ndarray]]]:
     """Keys and ids, a piece of a batch at a time."""
     encoder = _encoder(path)
     for batch in batches:
-        for piece in pieces(batch, size=2 << 20):
+        for piece in pieces(batch, size=piece_bytes):
             ids, first = encoder.encode(piece.column("text"))
             end = np.array([end_id], np.uint32)
             yield piece.column("doc_id").to_pylist(), [np.concatenate([ids[a:b], end]) for a, b in zip(first, first[1:], strict=False)]
@@ -163,7 +163,7 @@ def _compressor(data: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=given, write_checksum=False)
 
 
-def _writer(path: str, end_id: int, width: int, dictionary: bytes) -> Callable:
+def _writer(path: str, end_id: int, width: int, dictionary: bytes, piece_bytes: int) -> Callable:
     name = dictionary_hash(dictionary)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +179,7 @@ def _writer(path: str, end_id: int, width: int, dictionary: bytes) -> Callable:
             offsets = np.concatenate([[0], np.cumsum([len(b) for b in blobs])]).astype(np.int64).tolist()
             return pa.RecordBatch.from_pydict({"part": [part], "row": [row], "dictionary": [name], "doc_ids": [keys], "offsets": [offsets], "counts": [counts], "payload": [b"".join(blobs)]}, _SHARD_ARROW)
 
-        for ids, docs in _documents(batches, path, end_id):
+        for ids, docs in _documents(batches, path, end_id, piece_bytes):
             for key, x in zip(ids, docs, strict=True):
                 blobs.append(squeeze.compress(x.astype(f"<u{width}").tobytes()))
                 keys.append(key)
@@ -194,15 +194,16 @@ def _writer(path: str, end_id: int, width: int, dictionary: bytes) -> Callable:
     return write
 
 
-def write_token_files(docs: DataFrame, out: str, path: str, end_id: int = 2, width: int = 2, part_bytes: int = 16 << 20) -> str:
-    """Writes ids of `docs` (doc_id, text) under `out` in ascending doc_id order, parts by range. Returns `out`."""
+def write_token_files(docs: DataFrame, out: str, path: str, end_id: int = 2, width: int = 2, part_bytes: int = 16 << 20, piece_bytes: int = 2 << 20) -> str:
+    """Writes ids of `docs` (doc_id, text) under `out` in ascending doc_id order, parts by range. Texts are encoded about
+    `piece_bytes` at a time (smaller: less memory, more time). Returns `out`."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     train_dictionary(docs, path, end_id, width).write.parquet(f"{out}/dictionary")
     dictionary = bytes(spark.read.parquet(f"{out}/dictionary").first()["data"])
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), staging.text_bytes(docs) // part_bytes + 1)
     ordered = docs.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    ordered.mapInArrow(_writer(path, end_id, width, dictionary), _SHARD).write.parquet(f"{out}/shards")
+    ordered.mapInArrow(_writer(path, end_id, width, dictionary, piece_bytes), _SHARD).write.parquet(f"{out}/shards")
     return out
 
 
