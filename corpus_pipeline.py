@@ -53,7 +53,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the mix, and their index: doc_id, start, n_tokens, ids_crc32."""
     ship(spark)
-    out = token_files.write_token_files(docs, new_path(spark, "token-files"), tokenizer_path(), piece_bytes=1 << 20)
+    out = token_files.write_token_files(docs, new_path(spark, "token-files"), tokenizer_path(), piece_bytes=1 << 20, cache=100_000)
     return token_files.read_digests(spark, out)
 
 

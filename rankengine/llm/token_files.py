@@ -68,13 +68,14 @@ class WordEncoder:
     Texts with `<|`, which may begin a special string, keep their case until the library has looked for it.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = _CACHE):
         self.tokenizer, self.known, self.older = _tokenizer(path), {}, {}
+        self.most = most
         self.apart = _special_string(self.tokenizer)
 
     def ids(self, chunks: list[str]) -> list[bytes]:
         """Ids of each chunk as the bytes of 32-bit integers, which take less room than arrays."""
-        if len(self.known) > _CACHE:
+        if len(self.known) > self.most:
             self.older, self.known = self.known, {}
         known, older = self.known, self.older
         missing = [x for x, v in zip(chunks, map(known.get, chunks), strict=True) if v is None]
@@ -112,13 +113,13 @@ class WordEncoder:
 
 
 @functools.cache
-def _encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def _encoder(path: str, most: int) -> WordEncoder:
+    return WordEncoder(path, most)
 
 
-def _documents(batches: Iterator[pa.RecordBatch], path: str, end_id: int, piece_bytes: int = 1 << 20) -> Iterator[tuple[list, list[np.ndarray]]]:
+def _documents(batches: Iterator[pa.RecordBatch], path: str, end_id: int, piece_bytes: int = 1 << 20, cache: int = _CACHE) -> Iterator[tuple[list, list[np.ndarray]]]:
     """Keys and ids, a piece of a batch at a time."""
-    encoder = _encoder(path)
+    encoder = _encoder(path, cache)
     for batch in batches:
         for piece in pieces(batch, size=piece_bytes):
             ids, first = encoder.encode(piece.column("text"))
@@ -130,9 +131,9 @@ def dictionary_hash(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
-def _trainer(path: str, end_id: int, width: int) -> Callable:
+def _trainer(path: str, end_id: int, width: int, cache: int) -> Callable:
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        samples = [x.astype(f"<u{width}").tobytes()[:SAMPLE_BYTES] for _, docs in _documents(batches, path, end_id) for x in docs]
+        samples = [x.astype(f"<u{width}").tobytes()[:SAMPLE_BYTES] for _, docs in _documents(batches, path, end_id, cache=cache) for x in docs]
         data = b""
         if sum(map(len, samples)) > 10 * DICTIONARY_BYTES:
             try:
@@ -144,14 +145,14 @@ def _trainer(path: str, end_id: int, width: int) -> Callable:
     return train
 
 
-def train_dictionary(docs: DataFrame, path: str, end_id: int, width: int) -> DataFrame:
+def train_dictionary(docs: DataFrame, path: str, end_id: int, width: int, cache: int = _CACHE) -> DataFrame:
     """One row (hash, data), from the SAMPLE_DOCS documents whose key hashes lowest among about four times as many, which
     a threshold on other bits of the hash leaves, so that no task sees more than a few samples."""
     order = F.xxhash64("doc_id", "text")
     share = min(1.0, 4 * SAMPLE_DOCS / max(docs.count(), 1))
     near = docs.where(F.pmod(order, F.lit(1 << 30)) < F.lit(share * (1 << 30)))
     sample = near.select("doc_id", F.substring("text", 1, SAMPLE_BYTES).alias("text")).orderBy(order).limit(SAMPLE_DOCS)
-    return sample.coalesce(1).mapInArrow(_trainer(path, end_id, width), "hash string, data binary")
+    return sample.coalesce(1).mapInArrow(_trainer(path, end_id, width, cache), "hash string, data binary")
 
 
 _SHARD = "part int, row int, dictionary string, doc_ids array<bigint>, offsets array<bigint>, counts array<bigint>, payload binary"
@@ -163,7 +164,7 @@ def _compressor(data: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=given, write_checksum=False)
 
 
-def _writer(path: str, end_id: int, width: int, dictionary: bytes, piece_bytes: int) -> Callable:
+def _writer(path: str, end_id: int, width: int, dictionary: bytes, piece_bytes: int, cache: int) -> Callable:
     name = dictionary_hash(dictionary)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +180,7 @@ def _writer(path: str, end_id: int, width: int, dictionary: bytes, piece_bytes:
             offsets = np.concatenate([[0], np.cumsum([len(b) for b in blobs])]).astype(np.int64).tolist()
             return pa.RecordBatch.from_pydict({"part": [part], "row": [row], "dictionary": [name], "doc_ids": [keys], "offsets": [offsets], "counts": [counts], "payload": [b"".join(blobs)]}, _SHARD_ARROW)
 
-        for ids, docs in _documents(batches, path, end_id, piece_bytes):
+        for ids, docs in _documents(batches, path, end_id, piece_bytes, cache):
             for key, x in zip(ids, docs, strict=True):
                 blobs.append(squeeze.compress(x.astype(f"<u{width}").tobytes()))
                 keys.append(key)
@@ -194,16 +195,16 @@ def _writer(path: str, end_id: int, width: int, dictionary: bytes, piece_bytes:
     return write
 
 
-def write_token_files(docs: DataFrame, out: str, path: str, end_id: int = 2, width: int = 2, part_bytes: int = 16 << 20, piece_bytes: int = 2 << 20) -> str:
+def write_token_files(docs: DataFrame, out: str, path: str, end_id: int = 2, width: int = 2, part_bytes: int = 16 << 20, piece_bytes: int = 2 << 20, cache: int = _CACHE) -> str:
     """Writes ids of `docs` (doc_id, text) under `out` in ascending doc_id order, parts by range. Texts are encoded about
-    `piece_bytes` at a time (smaller: less memory, more time). Returns `out`."""
+    `piece_bytes` at a time, with `cache` chunks in a generation of the cache (smaller: less memory, more time). Returns `out`."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    train_dictionary(docs, path, end_id, width).write.parquet(f"{out}/dictionary")
+    train_dictionary(docs, path, end_id, width, cache).write.parquet(f"{out}/dictionary")
     dictionary = bytes(spark.read.parquet(f"{out}/dictionary").first()["data"])
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), staging.text_bytes(docs) // part_bytes + 1)
     ordered = docs.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    ordered.mapInArrow(_writer(path, end_id, width, dictionary, piece_bytes), _SHARD).write.parquet(f"{out}/shards")
+    ordered.mapInArrow(_writer(path, end_id, width, dictionary, piece_bytes, cache), _SHARD).write.parquet(f"{out}/shards")
     return out
 
 
