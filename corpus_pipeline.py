@@ -42,11 +42,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats each document as often as the mix takes it, rounded to whole documents (at most one document a source and
     pass is cut by the mix)."""
     ship(spark)
-    taken = mixing.mix(docs).select("doc_id", F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int").alias("times"), "key")
-    taken = taken.where("times > 0").groupBy("doc_id", "key").agg(F.max("times").alias("times"))
-    keyed = docs.withColumn("key", mixing.shuffle_key())
-    times = taken.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "times")
-    rows = keyed.join(times, keyed["doc_id"].eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")))
+    row = F.struct("doc_id", "source", "key")
+    taken = mixing.mix(docs).select(row.alias("row"), F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int").alias("times"))
+    taken = taken.where("times > 0").groupBy("row").agg(F.max("times").alias("times"))
+    rows = docs.withColumn("key", mixing.shuffle_key()).withColumn("row", row).join(taken, "row")
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(COLUMNS)
 
 

@@ -11,8 +11,8 @@ one whose slots fall short gets closing slots, so every source gives exactly its
 Everything is DataFrame operations: positions are running sums in two levels (within hash buckets of a source, and over
 the buckets), ranks of slots likewise (within runs of slots, and over the runs), so no source lands in one task.
 
-Null and empty texts have size 0 and are taken 0 times. Repeated rows of a document are separate documents of the same
-id, ordered by their text; identical rows share what they are given evenly up to rounding. Extra columns are dropped. An
+Null and empty texts have size 0 and are taken 0 times. Repeated rows of a document, and rows with a null id, are separate
+documents of the same id, ordered by their text; identical rows of a source share what they are given evenly up to rounding. Extra columns are dropped. An
 empty table gives an empty mix.
 """
 
@@ -129,15 +129,17 @@ def mix(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     plan = schedule(goals, block, int(total) // block + 1)
     whole = goals.select(F.struct("source").alias("s"), "source_size", "target")
     rows = positions(sizes).withColumn("s", F.struct("source")).join(F.broadcast(whole) if goals.count() < 10_000 else whole, "s")
+    # a struct, as null ids and sources are equal in it
+    same = F.struct("s", "doc_id", "key")
     # each pass of a document over the blocks that it lies in
     passes = rows.where("size > 0").select("s", "doc_id", "key", "size", F.explode(F.transform(F.array(*[F.lit(i) for i in range(REPEAT)]), lambda p: F.col("at") + p * F.col("source_size"))).alias("low"))
     passes = passes.select("s", "doc_id", "key", "low", (F.col("low") + F.col("size")).alias("high"))
     pieces = passes.withColumn("rank", F.explode(F.sequence(F.floor(F.col("low") / block), F.floor((F.col("high") - 1) / block))))
     slots_ = plan.select(F.struct("source").alias("s"), "rank", F.col("low").alias("a"), F.col("high").alias("b"))
-    hits = pieces.join(slots_, ["s", "rank"]).select("doc_id", "key", (F.least("high", "b") - F.greatest("low", "a")).alias("n")).where("n > 0")
-    taken = hits.groupBy("doc_id", "key").agg(F.sum("n").alias("n"))
-    # identical rows have one key and share its words
-    twins = sizes.groupBy("doc_id", "key").agg(F.count("*").alias("twins"))
-    amount = twins.join(taken, ["doc_id", "key"], "left").select(F.col("doc_id").alias("d"), F.col("key").alias("k"), F.floor(F.coalesce("n", F.lit(0)) / F.col("twins")).alias("taken"))
-    out = rows.join(amount, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")))
+    hits = pieces.join(slots_, ["s", "rank"]).select(same.alias("row"), (F.least("high", "b") - F.greatest("low", "a")).alias("n")).where("n > 0")
+    taken = hits.groupBy("row").agg(F.sum("n").alias("n"))
+    # identical rows of a source have one key and share its words
+    twins = rows.groupBy(same.alias("row")).agg(F.count("*").alias("twins"))
+    amount = twins.join(taken, "row", "left").select("row", F.floor(F.coalesce("n", F.lit(0)) / F.col("twins")).alias("taken"))
+    out = rows.withColumn("row", same).join(amount, "row")
     return out.select("doc_id", "source", "key", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
