@@ -25,10 +25,12 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document of each group of near duplicates (five words, 0.8), and one row of each document."""
+    """Keeps the first row of each group of near duplicates (five words, 0.8), in the order of doc_id (null last). Rows count
+    each by itself: of equal rows one is kept, of different texts under one id all that aren't near duplicates."""
     ship(spark)
-    kept = near_dup.near_duplicates(docs, width=5, percent=80).where("kept").select(F.col("doc_id").alias("d")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("d")), "left_semi").select(COLUMNS)
+    rows = near_dup.numbered(docs.select(COLUMNS), "near-input")
+    kept = near_dup.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), width=5, percent=80).where("kept")
+    return rows.join(kept.select(F.col("doc_id").alias("row")), "row", "left_semi").select(COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,9 @@ set, linked with nothing). Documents with percent * |union| <= 100 * |intersecti
    large families by pairs of chunks.
 
 With the parameters that `Banding.at` picks, two linked documents share no bucket with probability under 1e-6. Null
-texts are empty. Rows that repeat a doc_id are one document, whose sets all count. Extra columns are dropped.
+texts are empty. Rows that repeat a doc_id are one document, whose sets all count. A row with a null doc_id is a document
+of its own: its component_id is the least doc_id of its component (null if no row there has one), and it is kept only if
+none has one and it is the component's first such row, by the order of `numbered`. Extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -285,16 +287,39 @@ def confirmed(pairs: DataFrame, texts: DataFrame, families: DataFrame, groups: i
     return keyed.groupBy("key").cogroup(sides.groupBy("side")).applyInArrow(_confirmer(width, percent), f"a {kind}, b {kind}")
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """`docs`, written, with `row`: a key of each row, in the order of doc_id (null last), then of the text's hash."""
+    # equal rows are parted by where they were read, so no key lands in one task
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.monotonically_increasing_id()]
+    return staging.staged(docs.orderBy(*order).withColumn("row", F.monotonically_increasing_id()), name)
+
+
+def _with_null_ids(docs: DataFrame, width: int, percent: int, banding: Banding) -> DataFrame:
+    """near_duplicates of each row by itself; then rows of one doc_id are made one document."""
+    rows = numbered(docs, "near-rows")
+    found = near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), width, percent, banding)
+    found = found.select(F.col("doc_id").alias("row"), F.col("n_shingles"), F.col("component_id").alias("c"))
+    found = staging.staged(rows.select("row", "doc_id").join(found, "row"), "near-found")
+    least = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("c").alias("b"))
+    of = components(found.join(least, "doc_id").select(F.col("c").alias("a"), "b"), "near-ids")
+    found = found.join(of.select(F.col("node").alias("c"), "component"), "c", "left").withColumn("c", F.coalesce("component", "c"))
+    groups = found.groupBy("c").agg(F.min("doc_id").alias("component_id"), F.min("row").alias("first"))
+    kept = F.when(F.col("component_id").isNull(), F.col("row") == F.col("first")).otherwise(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return found.join(groups, "c").select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, banding: Banding | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept (the first of its component), one row for each row of `docs`."""
     banding = banding or Banding.at(percent)
     docs = docs.select("doc_id", "text")
+    if docs.where("doc_id is null").limit(1).count():
+        return _with_null_ids(docs, width, percent, banding)
     kind = docs.schema["doc_id"].dataType.simpleString()
     signed = staging.staged(docs.mapInArrow(_signer(width, banding), f"doc_id {kind}, n bigint, k1 bigint, k2 bigint, bands array<bigint>"), "near-signed")
     full = signed.where("n > 0")
     classes = staging.staged(full.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")), "near-classes")
     # a doc_id with several rows may stand for several classes
-    reps = full.join(classes.select(F.col("rep").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"]).select("doc_id", "n", "bands").dropDuplicates(["doc_id", "n"])
+    reps = full.join(classes.select(F.col("rep").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"]).dropDuplicates(["doc_id", "k1", "k2"]).select("doc_id", "n", "bands")
     in_bucket = Window.partitionBy("bucket")
     buckets = reps.select(F.col("doc_id").alias("rep"), "n", F.explode("bands").alias("bucket"))
     buckets = buckets.select("bucket", "rep", "n", F.count("*").over(in_bucket).alias("members"), F.min(F.struct(F.xxhash64("bucket", "rep").alias("h"), F.col("rep").alias("pivot"), F.col("n").alias("pivot_n"))).over(in_bucket).alias("p"))

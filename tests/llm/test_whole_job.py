@@ -1,7 +1,9 @@
 """Null ids, repeated rows and inputs beyond one block: every row counts, against brute force."""
 
+from collections import Counter
+
 import corpus_pipeline
-from rankengine.llm import mixing
+from rankengine.llm import mixing, near_dup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -16,3 +18,27 @@ def test_mixing_gives_rows_without_id_their_share(spark):
     assert set(by) == {"a", "b"} and all(abs(target - n) < 1 for target, n in by.values())
     mixed = corpus_pipeline.mix_sources(spark, docs, "")
     assert mixed.where("doc_id is null").select("text").distinct().count() >= 14
+
+
+def _words(name, n=40):
+    return " ".join(f"{name}{j}" for j in range(n))
+
+
+def test_near_duplicates_without_ids_and_of_repeated_rows(spark):
+    a, b, c, d, e = map(_words, "abcde")
+    near = a.replace("a39", "other")
+    rows = [(1, a), (1, a), (None, a), (None, near), (None, b), (None, b), (2, c), (2, d), (3, c), (None, d), (4, e), (None, e), (5, ""), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in near_dup.near_duplicates(docs, 5, 80).collect())
+    # 2 and 3 share c, and the row without id that has d is 2's too; b and an empty text have no id at all
+    want = [(1, 1, True)] * 2 + [(None, 1, False)] * 2 + [(None, None, True), (None, None, False), (2, 2, True), (2, 2, True), (3, 2, False), (None, 2, False), (4, 4, True), (None, 4, False), (5, 5, True), (None, None, True)]
+    assert got == Counter(want)
+    kept = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert kept == Counter([(1, a), (None, b), (2, c), (2, d), (4, e), (5, ""), (None, "")])
+
+
+def test_near_duplicates_of_two_sets_of_equal_size_under_one_id(spark):
+    # id 1 stands for both texts; each has a near copy under an id of its own
+    texts = [(1, _words("a")), (1, _words("b")), (2, _words("a").replace("a39", "x")), (3, _words("b").replace("b39", "x"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts], SCHEMA)
+    assert {(r.doc_id, r.component_id) for r in near_dup.near_duplicates(docs, 5, 80).collect()} == {(1, 1), (2, 1), (3, 1)}
