@@ -17,11 +17,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter; the language found replaces a missing one."""
+    """Rejects documents without a letter, also when no language was learned; the language found replaces a missing one."""
     ship(spark)
     found = language_id.identify(docs.select(F.struct(*COLUMNS).alias("doc_id"), "text"), language_id.learn(docs, remainder(3) != 1))
-    kept = found.where("lang_pred <> 'und'").select("doc_id.*", "lang_pred")
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(COLUMNS)
+    kept = found.where("n_letters > 0").select("doc_id.*", "lang_pred")
+    return kept.withColumn("lang", F.coalesce("lang", F.expr("nullif(lang_pred, 'und')"))).select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -144,11 +144,11 @@ class Languages:
             out[:, k] = np.bincount(owner, count + 1, len(texts)).astype(np.int64)
         return out, size, n_letters
 
-    def judge(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language, score (0.5: two languages tie; towards 1: the winner needs far fewer phrases) and rate."""
+    def judge(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Language, score (0.5: two languages tie; towards 1: the winner needs far fewer phrases), rate and letters."""
         phrases, size, letters = self.phrases(texts)
         if not self.names:
-            return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+            return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), letters
         best = phrases.argmin(axis=1)
         rows = np.arange(len(texts))
         least = phrases[rows, best].astype(float)
@@ -157,19 +157,20 @@ class Languages:
         second = others.min(axis=1) if len(self.names) > 1 else 2 * least + 1
         score = 1 / (1 + np.exp(-(second - least) / np.maximum(np.sqrt(least + 1), 1)))
         known = letters > 0
-        return [self.names[b] if ok else "und" for b, ok in zip(best, known, strict=True)], np.where(known, score, 0.0), np.where(known, least / np.maximum(size, 1), 0.0)
+        return [self.names[b] if ok else "und" for b, ok in zip(best, known, strict=True)], np.where(known, score, 0.0), np.where(known, least / np.maximum(size, 1), 0.0), letters
 
 
 def learn(docs: DataFrame, where: Column) -> Languages:
     """Learns from rows that meet `where` and have a language: for each language those whose text hashes lowest, one row
-    for each distinct beginning, until SAMPLE_CHARS characters are held (DOC_CHARS of a document)."""
+    for each distinct beginning, until SAMPLE_CHARS characters are held (DOC_CHARS of a document) or there are no more."""
     labelled = docs.where(where & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.substring("text", 1, DOC_CHARS).alias("text"))
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"))
-    # a first cut by hash keeps about WANTED rows of each language, so the exact ranking that follows is small
-    wanted = 40 * SAMPLE_CHARS // DOC_CHARS
     hashed = labelled.withColumn("h", F.xxhash64("text"))
-    names = sizes.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    near = hashed.join(F.broadcast(names), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.least(F.lit(1 << 30).cast("double"), F.lit(float(wanted) * (1 << 30)) / F.col("n")))
+    # a first cut by hash keeps about 20 * SAMPLE_CHARS characters of each language's distinct beginnings, so the exact
+    # ranking that follows is small; with beginnings of DOC_CHARS at most, less than SAMPLE_CHARS is out of the question
+    held = hashed.groupBy("lang", "h").agg(F.min(F.length("text")).alias("n"))
+    sizes = held.groupBy("lang").agg(F.sum("n").alias("chars"))
+    cut = F.lit(20.0 * SAMPLE_CHARS * (1 << 30)) / F.greatest("chars", F.lit(1))
+    near = hashed.join(F.broadcast(sizes), "lang").where(F.pmod("h", F.lit(1 << 30)) < cut)
     near = near.groupBy("lang", "h").agg(F.min("text").alias("text"))
     held = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))
     rows = near.withColumn("held", held - F.length("text")).where(F.col("held") < SAMPLE_CHARS).select("lang", "h", "text").orderBy("lang", "h").collect()
@@ -184,14 +185,14 @@ def _judge(sent) -> Callable:
         model = sent.value
         for batch in batches:
             for piece in pieces(batch, size=1 << 20):
-                names, score, rate = model.judge(plain(piece.column("text")).to_pylist())
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(names, pa.string()), pa.array(score), pa.array(rate)], ["doc_id", "lang_pred", "score", "phrase_rate"])
+                names, score, rate, letters = model.judge(plain(piece.column("text")).to_pylist())
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(names, pa.string()), pa.array(score), pa.array(rate), pa.array(letters)], ["doc_id", "lang_pred", "score", "phrase_rate", "n_letters"])
 
     return run
 
 
 def identify(docs: DataFrame, model: Languages) -> DataFrame:
-    """doc_id, lang_pred, score, phrase_rate (phrases a character), one row for each row of `docs`."""
+    """doc_id, lang_pred, score, phrase_rate (phrases a character), n_letters, one row for each row of `docs`."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select("doc_id", "text").mapInArrow(_judge(sent), f"doc_id {kind}, lang_pred string, score double, phrase_rate double")
+    return docs.select("doc_id", "text").mapInArrow(_judge(sent), f"doc_id {kind}, lang_pred string, score double, phrase_rate double, n_letters bigint")

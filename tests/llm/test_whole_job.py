@@ -2,8 +2,10 @@
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from rankengine.llm import mixing, near_dup
+from rankengine.llm import language_id, mixing, near_dup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -42,3 +44,24 @@ def test_near_duplicates_of_two_sets_of_equal_size_under_one_id(spark):
     texts = [(1, _words("a")), (1, _words("b")), (2, _words("a").replace("a39", "x")), (3, _words("b").replace("b39", "x"))]
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts], SCHEMA)
     assert {(r.doc_id, r.component_id) for r in near_dup.near_duplicates(docs, 5, 80).collect()} == {(1, 1), (2, 1), (3, 1)}
+
+
+def test_language_is_learned_from_few_distinct_beginnings(spark):
+    # 30,000 copies of one text: a cut by rows with copies keeps it with a probability of 0.016
+    copies = spark.range(30_000).select(F.lit("xx").alias("lang"), F.lit("zeta eta theta").alias("text"))
+    # 300,000 characters in short texts, of which the sample needs 24,000
+    short = spark.range(30_000).select(F.lit("yy").alias("lang"), F.format_string("ab%08x", F.col("id")).alias("text"))
+    picked = []
+    learned = language_id.Languages
+    try:
+        language_id.Languages = lambda samples: picked.append(samples) or learned(samples)
+        model = language_id.learn(copies.unionByName(short), F.lit(True))
+    finally:
+        language_id.Languages = learned
+    assert model.names == ["xx", "yy"] and picked[0]["xx"] == ["zeta eta theta"]
+    assert language_id.SAMPLE_CHARS <= sum(map(len, picked[0]["yy"])) < language_id.SAMPLE_CHARS + 10
+
+
+def test_pipeline_keeps_texts_when_no_language_is_known(spark):
+    docs = spark.createDataFrame([(i, t, None, "s", 0) for i, t in enumerate(["clean words", "123", None, "", "ж"])], SCHEMA)
+    assert {(r.doc_id, r.lang) for r in corpus_pipeline.languages(spark, docs, "").collect()} == {(0, None), (4, None)}
