@@ -1,12 +1,13 @@
 """Language identification by cross-parsing: the language whose text explains a document in fewest phrases wins.
 
-For each language a suffix automaton is built over a bounded sample of labelled text. A document is read from left to
+For each value of lang a suffix automaton is built over a bounded sample of its labelled text, with all letters of it. A document is read from left to
 right and cut into phrases, each the longest run that occurs in the language's sample (a character that doesn't occur
 at all is a phrase of its own). The phrases, divided by the document's length, estimate its cross entropy.
 
 All texts of a batch are parsed side by side, in blocks of BLOCK characters: a phrase also ends where a block ends, for
-every language alike. Automata are turned into one transition table in which a missing transition leads where the same
-character leads from the start, with a phrase counted.
+every language alike. An automaton is turned into a transition table for its commonest characters, in which a missing
+transition leads where the same character leads from the start, with a phrase counted; transitions with its other
+characters are found by search. Tasks hold all automata (about 1 MB each) and the tables of TABLES of them.
 
 Texts without a letter (null and empty ones too) are `und` with score 0. Ties go to the language that sorts first. Extra
 columns are dropped and repeated rows are judged alike. Without labelled text every document is `und`.
@@ -14,6 +15,7 @@ columns are dropped and repeated rows are judged alike. Without labelled text ev
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,14 +25,16 @@ from pyspark.sql import functions as F
 
 from .words import pieces, plain
 
-#: Characters of labelled text per language, of one document, and languages learned: bounds of the fitted sample.
+#: Characters of labelled text per language and of one document: bounds of the fitted sample.
 SAMPLE_CHARS = 24_000
 DOC_CHARS = 2_000
-MAX_LANGUAGES = 200
 BLOCK = 1024
-#: Characters told apart; all others share one class, blanks and signs another.
+#: Classes with a column of the transition table: a language's commonest characters. Its others are looked up by search.
 ALPHABET = 96
+#: Blanks and signs, and letters that a sample lacks.
 _SIGN, _OTHER = 0, 1
+#: Transition tables that a task holds at a time; with more languages they are made anew for each piece of texts.
+TABLES = 8
 
 
 def suffix_automaton(text: np.ndarray) -> list[dict[int, int]]:
@@ -63,47 +67,81 @@ def suffix_automaton(text: np.ndarray) -> list[dict[int, int]]:
     return to
 
 
-def parse_table(to: list[dict[int, int]]) -> np.ndarray:
-    """Entry state * ALPHABET + class: twice the next state, plus 1 if a new phrase begins with the character."""
-    start = np.zeros(ALPHABET, np.int64)  # a character that the sample lacks: a phrase, and back to the start
-    for c, q in to[0].items():
-        start[c] = q
-    table = np.tile(2 * start + 1, (len(to), 1))
-    for state, edges in enumerate(to):
-        for c, q in edges.items():
-            table[state, c] = 2 * q
-    return table.astype(np.int32).ravel()
+class Automaton:
+    """Suffix automaton of one language's sample over classes of its own characters, by edges sorted by state and class."""
+
+    def __init__(self, classes: np.ndarray, width: int):
+        to = suffix_automaton(classes)
+        self.states, self.width = len(to), width
+        edges = np.array([(s * width + c, q) for s, e in enumerate(to) for c, q in e.items()], np.int64).reshape(-1, 2)
+        edges = edges[np.argsort(edges[:, 0])]
+        self.edge, self.target = edges[:, 0], edges[:, 1].astype(np.int32)
+        self.start = np.zeros(width, np.int32)  # a character that the sample lacks: a phrase, and back to the start
+        first = self.edge < width
+        self.start[self.edge[first]] = self.target[first]
+
+    def table(self) -> np.ndarray:
+        """Entry state * ALPHABET + class: twice the next state, plus 1 if a new phrase begins with the character."""
+        start = np.zeros(ALPHABET, np.int32)
+        n = min(ALPHABET, self.width)
+        start[:n] = self.start[:n]
+        table = np.tile(2 * start + 1, (self.states, 1))
+        state, c = np.divmod(self.edge, self.width)
+        common = c < ALPHABET
+        table[state[common], c[common]] = 2 * self.target[common]
+        return table.ravel()
+
+    def rare(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The same for classes of ALPHABET and more."""
+        key = state.astype(np.int64) * self.width + c
+        at = np.minimum(np.searchsorted(self.edge, key), len(self.edge) - 1)
+        return np.where(self.edge[at] == key, 2 * self.target[at], 2 * self.start[c] + 1)
 
 
 class Languages:
-    """Names, character classes and parse tables of the learned languages."""
+    """Names, characters and automata of the learned languages."""
 
     def __init__(self, samples: dict[str, list[str]]):
         self.names = sorted(samples)
         joined = {k: " ".join(v).lower() for k, v in samples.items()}
-        counts: dict[str, int] = {}
-        for text in joined.values():
-            for c in set(text):
-                counts[c] = counts.get(c, 0) + text.count(c)
-        letters = sorted((c for c in counts if c.isalpha()), key=lambda c: (-counts[c], c))[: ALPHABET - 2]
-        self.letters = {c: i + 2 for i, c in enumerate(letters)}
-        self.tables = [parse_table(suffix_automaton(self.squeeze(self.classes(joined[k])))) for k in self.names]
+        counts = {k: Counter(c for c in text if c.isalpha()) for k, text in joined.items()}
+        self.letters = {c: i + 2 for i, c in enumerate(sorted(set().union(*counts.values())))}
+        #: for each language, the class of each of `letters` in its automaton
+        self.own: list[np.ndarray] = []
+        self.automata: list[Automaton] = []
+        for k in self.names:
+            ranked = sorted(counts[k], key=lambda c: (-counts[k][c], c))
+            own = np.full(len(self.letters) + 2, _OTHER, np.int32)
+            own[_SIGN] = _SIGN
+            own[[self.letters[c] for c in ranked]] = np.arange(2, len(ranked) + 2)
+            self.own.append(own)
+            self.automata.append(Automaton(own[self.squeeze(self.classes(joined[k]))], len(ranked) + 2))
 
     def classes(self, text: str) -> np.ndarray:
-        """Class of each character of a lower-case text."""
+        """Number of each character of a lower-case text: _SIGN, _OTHER (a letter of no sample) or that of `letters`."""
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        if not hasattr(self, "table"):
-            table = np.full(0x110000, _SIGN, np.uint8)
+        if not hasattr(self, "points"):
+            table = np.full(0x110000, _SIGN, np.int32)
             for i in range(0x110000):
                 if chr(i).isalpha():
                     table[i] = _OTHER
             for c, i in self.letters.items():
                 table[ord(c)] = i
-            self.table = table
-        return self.table[points]
+            self.points = table
+        return self.points[points]
+
+    def table(self, k: int) -> np.ndarray:
+        if not hasattr(self, "tables"):
+            self.tables: dict[int, np.ndarray] = {}
+        if k in self.tables:
+            return self.tables[k]
+        table = self.automata[k].table()
+        if len(self.tables) < TABLES:
+            self.tables[k] = table
+        return table
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "table"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("points", "tables")}
 
     @staticmethod
     def squeeze(classes: np.ndarray) -> np.ndarray:
@@ -133,11 +171,19 @@ class Languages:
         begin, length, owner = begin[order], length[order], owner[order]
         alive = len(begin) - np.searchsorted(length[::-1], np.arange(length[0] if len(length) else 0), "right")
         out = np.zeros((len(texts), len(self.names)), np.int64)
-        for k, table in enumerate(self.tables):
+        for k, automaton in enumerate(self.automata):
+            table, own = self.table(k), self.own[k][flat]
+            some_rare = bool((own >= ALPHABET).any())
             state = np.zeros(len(begin), np.int32)
             count = np.zeros(len(begin), np.int32)
             for i, n in enumerate(alive.tolist()):
-                step = table[state[:n] * ALPHABET + flat[begin[:n] + i]]
+                c = own[begin[:n] + i]
+                if some_rare:
+                    step = table[state[:n] * ALPHABET + np.where(c < ALPHABET, c, _OTHER)]
+                    at = np.flatnonzero(c >= ALPHABET)
+                    step[at] = automaton.rare(state[at], c[at])
+                else:
+                    step = table[state[:n] * ALPHABET + c]
                 count[:n] += step & 1
                 state[:n] = step >> 1
             # the first character of a block opens a phrase, if the sample has it and so no new phrase was counted

@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -65,3 +66,25 @@ def test_language_is_learned_from_few_distinct_beginnings(spark):
 def test_pipeline_keeps_texts_when_no_language_is_known(spark):
     docs = spark.createDataFrame([(i, t, None, "s", 0) for i, t in enumerate(["clean words", "123", None, "", "ж"])], SCHEMA)
     assert {(r.doc_id, r.lang) for r in corpus_pipeline.languages(spark, docs, "").collect()} == {(0, None), (4, None)}
+
+
+def test_languages_with_many_letters_and_many_languages():
+    rng = np.random.default_rng(1)
+    # languages of 2,500 letters, of one alphabet each but for their words; more than tables are held of
+    words = {f"l{k:03}": ["".join(map(chr, rng.integers(0xAC00 if k % 2 else 0x4E00, (0xAC00 if k % 2 else 0x4E00) + 2500, 2))) for _ in range(400)] for k in range(210)}
+    texts = {k: [" ".join(rng.choice(w, 20)) for _ in range(10)] for k, w in words.items()}
+    model = language_id.Languages(texts)
+    held = [" ".join(rng.choice(w, 60)) for w in words.values()] + ["\u044f\u0436", "123 "]
+    names, _, _, letters = model.judge(held)
+    assert names[:210] == list(words) and names[-1] == "und" and letters[-1] == 0
+    phrases = model.phrases(held)[0]
+    # phrases by brute force: longest runs that occur in the sample (letters that it lacks only end one)
+    for k in (0, 1, 83, 209):
+        sample = " ".join(texts[f"l{k:03}"])
+        for d in (0, 1, 35, 209, 210):
+            n, run = 1, ""
+            for c in held[d]:
+                if run + c not in sample:
+                    n, run = n + 1, ""
+                run += c if c in sample else ""
+            assert phrases[d, k] == n
