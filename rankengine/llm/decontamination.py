@@ -7,8 +7,9 @@ one is a sufficient prefix. Places where a document holds a prefix shingle are j
 word. Words are compared as words: documents look their words up in the benchmark's vocabulary.
 
 Null or empty texts have no words and hold nothing; empty items make no window; repeated rows are judged alike; texts of
-any length are read whole. Windows are handled in blocks of at most BLOCK_WINDOWS, each a pass over the documents, so what
-is sent to the executors at once is bounded whatever the benchmark's size.
+any length are read whole. The benchmark is handled in blocks of about BLOCK_WINDOWS words, each two passes over the
+documents, so what the driver holds and sends to the executors at once is bounded whatever the benchmark's size. Results
+don't depend on the blocks: with several of them, rows are merged by a key of their own.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import staging
 from .words import ALNUM_LOWER, encode_words, pieces, split_words
 
 SHINGLE = 3
@@ -189,25 +191,44 @@ def _blocks(benchmark: DataFrame, window: int) -> Iterator[WindowBlock]:
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """doc_id, n_words, n_hit (words inside an occurrence of a window), items (texts of the item_ids, sorted), spans
     (word ranges of the union of occurrences), for each row of `docs`."""
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
+    blocks = _blocks(benchmark, window)
+    block, following = next(blocks), next(blocks, None)
+    if following is None:
+        return _matches(docs, block)
+    # several blocks: each finds hits of rows by a key of their own, which are merged row by row
+    docs = staging.staged(docs.select(F.struct(F.monotonically_increasing_id().alias("row"), "doc_id").alias("doc_id"), "text"), "overlap-rows")
+    found = staging.staged(_matches(docs, block), "overlap-block")
+    hits = found.select("doc_id.row", "items", "spans").where(F.size("spans") > 0)
+    while following is not None:
+        block, following = following, next(blocks, None)
+        more = staging.staged(_matches(docs, block).select("doc_id.row", "items", "spans").where(F.size("spans") > 0), "overlap-block")
+        hits = hits.unionByName(more)
+    merged = hits.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"))
+    joined = F.aggregate(
+        "all",
+        F.expr("cast(array() as array<array<bigint>>)"),
+        lambda out, x: F.when(
+            (F.size(out) > 0) & (x[0] <= F.element_at(out, -1)[1]),
+            F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.array(F.element_at(out, -1)[0], F.greatest(F.element_at(out, -1)[1], x[1])))),
+        ).otherwise(F.concat(out, F.array(x))),
+    )
+    merged = merged.select("row", "items", joined.alias("spans"))
+    out = found.select("doc_id.row", "doc_id.doc_id", "n_words").join(merged, "row", "left")
+    out = out.withColumn("items", F.coalesce("items", F.expr("cast(array() as array<string>)"))).withColumn("spans", F.coalesce("spans", F.expr("cast(array() as array<array<bigint>>)")))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x[1] - x[0])
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), "items", "spans")
+
+
+def _matches(docs: DataFrame, block: WindowBlock) -> DataFrame:
+    """The result for the windows of one block, in two passes over `docs`."""
+    spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_words bigint, n_hit bigint, items array<string>, spans array<array<bigint>>"
-    found = []
-    for block in _blocks(benchmark, window):
-        sent = spark.sparkContext.broadcast(block)
-        counts = docs.mapInArrow(_counter(sent), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
-        block.prefixes({r["shingle"]: r["n"] for r in counts.collect()})
-        found.append(docs.mapInArrow(_matcher(spark.sparkContext.broadcast(block)), schema))
-    if len(found) == 1:
-        return found[0]
-    # several blocks: hit words of one document are the union of their spans
-    rows = found[0]
-    for x in found[1:]:
-        rows = rows.unionByName(x)
-    merged = rows.groupBy("doc_id", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"))
-    step = F.aggregate("all", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("end")), lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0), x[1] - F.greatest(x[0], s["end"]))).cast("long").alias("n"), F.greatest(s["end"], x[1]).alias("end")))
-    return merged.select("doc_id", "n_words", step["n"].alias("n_hit"), "items", F.col("all").alias("spans"))
+    sent = spark.sparkContext.broadcast(block)
+    counts = docs.mapInArrow(_counter(sent), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
+    block.prefixes({r["shingle"]: r["n"] for r in counts.collect()})
+    return docs.mapInArrow(_matcher(spark.sparkContext.broadcast(block)), schema)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rankengine.llm import language_id, mixing, near_dup
+from rankengine.llm import decontamination, language_id, mixing, near_dup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -88,3 +88,21 @@ def test_languages_with_many_letters_and_many_languages():
                     n, run = n + 1, ""
                 run += c if c in sample else ""
             assert phrases[d, k] == n
+
+
+def test_decontamination_in_several_blocks_is_that_in_one(spark, monkeypatch):
+    items = [(i, _words(f"i{i}x", 12)) for i in range(6)] + [(6, f"i0x11 {_words('i1x', 12)}"), (7, items_tail := "i0x5 i0x6 i0x7"), (8, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    a, b, clean = f"x {items[0][1]} {items[1][1]} y", f"x y {items[2][1]} {items[5][1]}", _words("c", 26)
+    # rows of one length under one id and under none, with different texts
+    rows = [(1, a), (1, b), (1, clean), (None, a), (None, b), (None, clean), (None, clean), (2, f"{items_tail} z {items[4][1]}"), (3, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+    def found():
+        out = decontamination.find_overlaps(docs, bench)
+        return Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), tuple(map(tuple, r.spans))) for r in out.collect())
+
+    whole = found()
+    assert sum(whole.values()) == len(rows) and whole[None, 26, 0, (), ()] == 2 and whole[1, 26, 24, ("0", "1", "6", "7"), ((1, 25),)] == 1
+    monkeypatch.setattr(decontamination, "BLOCK_WINDOWS", 13)
+    assert found() == whole
