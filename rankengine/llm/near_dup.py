@@ -5,18 +5,25 @@ set, linked with nothing). Documents with percent * |union| <= 100 * |intersecti
 
 1. Every document gets its set's size, a 128-bit key of the set, and the band hashes of its SuperMinHash signature. Equal
    sets form a class that the smallest doc_id represents, so copies are never compared.
-2. Representatives that share a band hash form a bucket. Each is compared with the bucket's pivot; a pivot is drawn by
-   hash, so a document meets other pivots in other buckets. Confirmed links give components.
-3. In families (components of the bucket graph) that still hold several components, documents outside the largest one
-   are compared with all documents of other components, by an index of shingles. No pair of different components that
-   shares a bucket is left out, and no pair is listed that isn't a link.
-4. Links are confirmed on full sets, recomputed from the texts. Pairs and texts meet in groups of bounded size: by family,
-   large families by pairs of chunks.
-
-With the parameters that `Banding.at` picks, two linked documents share no bucket with probability under 1e-6. Null
-texts are empty. Rows that repeat a doc_id are one document, whose sets all count. A row with a null doc_id is a document
-of its own: its component_id is the least doc_id of its component (null if no row there has one), and it is kept only if
-none has one and it is the component's first such row, by the order of `numbered`. Extra columns are dropped.
+2. Representatives that share a band hash form a bucket. Each is compared with the bucket's pivot, the member with the
+   least hash, which near copies have in common over many buckets. Confirmed links give components.
+3. In buckets that still hold several components, documents outside the commonest one are compared with all others by an
+   index of shingles; buckets with the same members are searched once. A document that lacks the rarest shingles of
+   another one (one more than a linked document may lack) isn't compared with it. So no pair of different components
+   that shares a bucket is left out, and no pair is listed that isn't a link.
+4. Links are confirmed on full sets, recomputed from the texts. Groups are bounded in rows and bytes: members of a large
+   bucket meet in pairs of chunks, which is quadratic only in near copies of one bucket that are not linked.
+5. Components come from union-find inside bounded partitions of the links; what is left between partitions is joined by
+   alternating steps to the smallest neighbour.
+
+With the parameters that `Banding.at` picks, two linked documents share no bucket with probability under `miss` (1e-6)
+at the threshold and less above it; banding with one row a band and more bands lowers that further. Where no banding of
+MOST_SLOTS slots reaches `miss` (thresholds under 7 percent), it raises ValueError.
+
+Null texts are empty. Ties: of equal sets and in a component the least doc_id stands for the others. Rows that repeat a
+doc_id are one document, whose sets all count. A row with a null doc_id is a document of its own: its component_id is the
+least doc_id of its component (null if no row there has one), and it is kept only if none has one and it is the
+component's first such row, by the hash of its text. An empty table gives an empty result. Extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -27,7 +34,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import staging
@@ -38,8 +45,13 @@ _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Levels walked with short histories before the rest gets whole permutations, and elements of those at a time.
 _WALK = 10
 _ROWS = 20_000
-GROUP_BYTES = 8 << 20
-CHUNK_BYTES = 2 << 20
+#: Slots of a signature at most (places of a permutation are single bytes).
+MOST_SLOTS = 192
+#: Text and rows that a group of comparisons gets about, and that a chunk of a bucket holds about.
+GROUP_BYTES, GROUP_ROWS = 8 << 20, 2000
+CHUNK_BYTES, CHUNK_ROWS = 2 << 20, 500
+#: Links that a task of union-find takes at most.
+EDGES = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -49,13 +61,13 @@ class Banding:
 
     @classmethod
     def at(cls, percent: int, miss: float = 1e-6) -> Banding:
-        """Longest bands, then fewest, with a miss probability under `miss` at the threshold and at most 192 slots."""
+        """Longest bands, then fewest, with a miss probability under `miss` at the threshold and at most MOST_SLOTS slots."""
         for rows in range(12, 0, -1):
             same = (percent / 100) ** rows
             bands = 1 if same >= 1 else int(np.ceil(np.log(miss) / np.log1p(-same)))
-            if bands * rows <= 192:
+            if bands * rows <= MOST_SLOTS:
                 return cls(bands, rows)
-        return cls(192, 1)
+        raise ValueError(f"no banding of {MOST_SLOTS} slots finds pairs of {percent} % with a miss probability under {miss}")
 
 
 def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -179,132 +191,149 @@ def _signer(width: int, banding: Banding) -> Callable:
                 lengths = np.zeros(len(size), np.int64)
                 lengths[some] = banding.bands
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(hashes.ravel()))
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(size), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), lists], ["doc_id", "n", "k1", "k2", "bands"])
+                volume = pc.fill_null(pc.binary_length(piece.column("text")), 0).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(size), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), volume, lists], ["doc_id", "n", "k1", "k2", "bytes", "bands"])
 
     return sign
 
 
-def components(edges: DataFrame, name: str) -> DataFrame:
-    """(node, component) for every node of `edges` (a, b): the smallest node that it reaches.
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over the links (u, v) of one partition: each node but the smallest of its component, with the smallest."""
+    rows = [b for b in batches if b.num_rows]
+    if not rows:
+        return
+    table = pa.Table.from_batches(rows)
+    names, at = np.unique(np.concatenate([table.column(c).to_numpy() for c in ("u", "v")]), return_inverse=True)
+    u, v = at[: len(table)], at[len(table) :]
+    root = np.arange(len(names))
+    while True:
+        x, y = root[u], root[v]
+        apart = x != y
+        if not apart.any():
+            break
+        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (root[root] != root).any():
+            root = root[root]
+    low = np.flatnonzero(root != np.arange(len(names)))
+    kind = table.schema.field("u").type
+    for i in range(0, len(low), 1 << 16):
+        part = low[i : i + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(names[part], kind), pa.array(names[root[part]], kind)], ["u", "v"])
 
-    Alternates two steps that join nodes to smaller ones, until no edge changes; every round is written out.
-    """
-    spark = edges.sparkSession
-    edges = staging.staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
 
-    def state(df: DataFrame) -> tuple:
-        r = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        return r["n"], r["h"]
+def components(edges: DataFrame, name: str) -> DataFrame:
+    """(node, component) for every node of `edges` (a, b) that isn't the smallest of its component: the smallest.
 
-    now = state(edges)
-    while now[0]:
+    Each partition of at most about EDGES links is contracted to a forest. While there are several partitions, two steps
+    that join nodes to smaller neighbours follow, until no link changes; every round is written out.
+    """
+    edges = staging.staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), name)
+    kind = edges.schema["u"].dataType.simpleString()
+    before = None
+    while True:
+        tasks = edges.count() // EDGES + 1
+        edges = staging.staged(edges.coalesce(tasks).mapInArrow(_forest, f"u {kind}, v {kind}"), name)
+        if tasks == 1:
+            break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = F.least(F.col("u"), F.min("v").over(Window.partitionBy("u")))
-        large = both.withColumn("m", least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = F.min("v").over(Window.partitionBy("u"))
-        small = large.withColumn("m", low)
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(small.select("u", F.col("m").alias("v"))).distinct()
-        edges = staging.staged(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), name)
-        before, now = now, state(edges)
-        if before == now:
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"))
+        large = staging.staged(edges.join(least, "v").select("u", F.col("m").alias("v")).where("u <> v").distinct(), name)
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        edges = staging.staged(small.where("u <> v").distinct(), name)
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before:
             break
-    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return staging.staged(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots).distinct(), name) if now[0] else spark.createDataFrame([], edges.select(F.col("u").alias("node"), F.col("v").alias("component")).schema)
-
-
-def _confirmer(width: int, percent: int) -> Callable:
-    def confirm(pairs: pa.Table, texts: pa.Table) -> pa.Table:
-        sets: dict[int, list[np.ndarray]] = {}
-        for batch in texts.combine_chunks().to_batches():
-            for piece in pieces(batch):
-                flat, bounds = shingle_sets(piece.column("text"), width)
-                for i, key in enumerate(piece.column("doc_id").to_pylist()):
-                    sets.setdefault(key, []).append(flat[bounds[i] : bounds[i + 1]])
-        a, b = pairs.column("a").to_pylist(), pairs.column("b").to_pylist()
-        keep = [any(_linked(x, y, percent) for x in sets.get(i, ()) for y in sets.get(j, ())) for i, j in zip(a, b, strict=True)]
-        return pairs.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return confirm
+        before = now
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
 def _searcher(width: int, percent: int) -> Callable:
-    """Links between queries (`out`) and members of other components, group by group, by counting common shingles in an
-    index of the members; one link for each query and component."""
+    """Links between queries (`out`) and members of other components, group by group (`g`): one for each query and
+    component."""
 
     def search(table: pa.Table) -> pa.Table:
-        a: list[int] = []
-        b: list[int] = []
-        groups = table.select(["family", "asking", "asked"]).group_by(["family", "asking", "asked"]).aggregate([])
-        for group in groups.to_pylist():
-            mine = pc.and_(pc.and_(pc.equal(table["family"], group["family"]), pc.equal(table["asking"], group["asking"])), pc.equal(table["asked"], group["asked"]))
-            rows = table.filter(mine)
-            flat, bounds = shingle_sets(rows.column("text"), width)
-            key, component = rows.column("doc_id").to_numpy(), rows.column("c").to_numpy()
-            out = rows.column("out").to_numpy()
-            size = np.diff(bounds)
-            of = np.repeat(np.arange(len(size)), size)
-            inside = ~out[of]
-            order = np.argsort(flat[inside], kind="stable")
-            shingles, owner = flat[inside][order], of[inside][order]
-            for q in np.flatnonzero(out).tolist():
-                x = flat[bounds[q] : bounds[q + 1]]
-                low, high = np.searchsorted(shingles, x, "left"), np.searchsorted(shingles, x, "right")
-                n = high - low
-                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-                both = np.bincount(owner[at], minlength=len(size))
-                hit = np.flatnonzero((both > 0) & (component != component[q]) & (100 * both >= percent * (size + size[q] - both)))
-                _, first = np.unique(component[hit], return_index=True)
-                for m in hit[first].tolist():
-                    a.append(min(key[q], key[m]))
-                    b.append(max(key[q], key[m]))
-        return pa.table([pa.array(a, table.schema.field("doc_id").type), pa.array(b, table.schema.field("doc_id").type)], ["a", "b"])
+        kind = table.schema.field("doc_id").type
+        a: list = []
+        b: list = []
+        # a document that stands in several groups is split into shingles once
+        names, first, which = np.unique(table["doc_id"].to_numpy(), return_index=True, return_inverse=True)
+        sets, sizes = [], []
+        for batch in table.select(["text"]).take(pa.array(first)).combine_chunks().to_batches():
+            for piece in pieces(batch):
+                flat, bounds = shingle_sets(piece.column("text"), width)
+                sets += np.split(flat, bounds[1:-1])
+                sizes += np.diff(bounds).tolist()
+        component, out, g = (table[c].to_numpy() for c in ("c", "out", "g"))
+        order = np.argsort(g, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(g[order])) + 1):
+            asked, held = rows[out[rows]], rows[~out[rows]]
+            if not len(asked) or not len(held):
+                continue
+            size = np.array([sizes[i] for i in which[held]])
+            flat = np.concatenate([sets[i] for i in which[held]])
+            owner = np.repeat(np.arange(len(held)), size)
+            if len(asked) > 1:
+                by = np.argsort(flat, kind="stable")
+                flat, owner = flat[by], owner[by]
+            for q in asked.tolist():
+                x = sets[which[q]]
+                near = (component[held] != component[q]) & (100 * np.minimum(size, len(x)) >= percent * np.maximum(size, len(x)))
+                if not len(x) or not near.any():
+                    continue
+                if len(asked) == 1:
+                    both = np.bincount(owner[x[np.minimum(np.searchsorted(x, flat), len(x) - 1)] == flat], minlength=len(held))
+                else:
+                    low, high = np.searchsorted(flat, x, "left"), np.searchsorted(flat, x, "right")
+                    # a linked set lacks at most len(x) - need of the query's shingles, so it has one of the rarest here
+                    need = -(-percent * len(x) // 100)
+                    rare = np.argsort(high - low, kind="stable")[: len(x) - need + 1].tolist()
+                    some = np.zeros(len(held), bool)
+                    some[np.concatenate([owner[low[i] : high[i]] for i in rare])] = True
+                    if not (some & near).any():
+                        continue
+                    both = np.bincount(np.concatenate([owner[i:j] for i, j in zip(low.tolist(), high.tolist(), strict=True)]), minlength=len(held))
+                hit = np.flatnonzero(near & (both > 0) & (100 * both >= percent * (size + len(x) - both)))
+                for m in hit[np.unique(component[held[hit]], return_index=True)[1]].tolist():
+                    pair = names[which[q]], names[which[held[m]]]
+                    a.append(min(pair))
+                    b.append(max(pair))
+        return pa.table([pa.array(a, kind), pa.array(b, kind)], ["a", "b"])
 
     return search
 
 
-def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    if len(x) > len(y):
-        x, y = y, x
-    if not len(x) or 100 * len(x) < percent * len(y):
-        return False
-    at = np.searchsorted(y, x)
-    both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-    return 100 * both >= percent * (len(x) + len(y) - both)
-
-
-def confirmed(pairs: DataFrame, texts: DataFrame, families: DataFrame, groups: int, width: int, percent: int) -> DataFrame:
-    """Those of `pairs` (a, b) whose sets are linked. `texts`: doc_id, family, text; `families`: family, chunks."""
-    of = texts.select(F.col("doc_id").alias("a"), "family").distinct().join(families, "family")
+def _found(sides: DataFrame, texts: DataFrame, width: int, percent: int, name: str) -> DataFrame:
+    """Links among `sides` (g, doc_id, c, out, bytes): rows of one g meet, about GROUP_BYTES and GROUP_ROWS in a task."""
+    total = sides.agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).first()
+    groups = max(32, total["n"] // GROUP_ROWS + (total["bytes"] or 0) // GROUP_BYTES + 1)
+    kind = sides.schema["doc_id"].dataType.simpleString()
+    rows = sides.drop("bytes").withColumn("key", F.pmod("g", F.lit(groups))).join(texts, "doc_id")
+    return staging.staged(rows.groupBy("key").applyInArrow(_searcher(width, percent), f"a {kind}, b {kind}"), name)
 
-    def chunk(c: str):
-        return F.pmod(F.xxhash64(F.lit(7), F.col(c)), F.col("chunks"))
 
-    keyed = pairs.join(of, "a").select("a", "b", F.pmod(F.xxhash64("family", chunk("a"), chunk("b")), F.lit(groups)).alias("key"))
-    keyed = staging.staged(keyed, "near-pairs")
-    wanted = keyed.select("key", F.col("a").alias("doc_id")).unionByName(keyed.select("key", F.col("b").alias("doc_id"))).distinct()
-    sides = wanted.withColumnRenamed("key", "side").join(texts.select("doc_id", "text"), "doc_id")
-    kind = pairs.schema["a"].dataType.simpleString()
-    return keyed.groupBy("key").cogroup(sides.groupBy("side")).applyInArrow(_confirmer(width, percent), f"a {kind}, b {kind}")
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """`docs`, written, with `row`: a key of each row."""
+    return staging.staged(docs.withColumn("row", F.monotonically_increasing_id()), name)
 
 
-def numbered(docs: DataFrame, name: str) -> DataFrame:
-    """`docs`, written, with `row`: a key of each row, in the order of doc_id (null last), then of the text's hash."""
-    # equal rows are parted by where they were read, so no key lands in one task
-    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.monotonically_increasing_id()]
-    return staging.staged(docs.orderBy(*order).withColumn("row", F.monotonically_increasing_id()), name)
+def first_row() -> Column:
+    """Order of the rows of a group: by doc_id, null last, then by the text's hash."""
+    return F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text"), F.col("row"))
 
 
-def _with_null_ids(docs: DataFrame, width: int, percent: int, banding: Banding) -> DataFrame:
+def _by_rows(docs: DataFrame, width: int, percent: int, banding: Banding) -> DataFrame:
     """near_duplicates of each row by itself; then rows of one doc_id are made one document."""
     rows = numbered(docs, "near-rows")
-    found = near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), width, percent, banding)
-    found = found.select(F.col("doc_id").alias("row"), F.col("n_shingles"), F.col("component_id").alias("c"))
-    found = staging.staged(rows.select("row", "doc_id").join(found, "row"), "near-found")
+    found = row_groups(rows.select(F.col("row").alias("doc_id"), "text"), width, percent, banding)
+    found = found.select(F.col("doc_id").alias("row"), "n_shingles", F.col("component_id").alias("c"))
+    found = staging.staged(rows.select("row", "doc_id", F.xxhash64("text").alias("h")).join(found, "row"), "near-found")
     least = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("c").alias("b"))
     of = components(found.join(least, "doc_id").select(F.col("c").alias("a"), "b"), "near-ids")
     found = found.join(of.select(F.col("node").alias("c"), "component"), "c", "left").withColumn("c", F.coalesce("component", "c"))
-    groups = found.groupBy("c").agg(F.min("doc_id").alias("component_id"), F.min("row").alias("first"))
-    kept = F.when(F.col("component_id").isNull(), F.col("row") == F.col("first")).otherwise(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    nameless = F.min(F.when(F.col("doc_id").isNull(), F.struct("h", "row")))
+    groups = found.groupBy("c").agg(F.min("doc_id").alias("component_id"), nameless.alias("first"))
+    kept = F.when(F.col("component_id").isNull(), F.col("row") == F.col("first.row")).otherwise(F.col("doc_id").eqNullSafe(F.col("component_id")))
     return found.join(groups, "c").select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
@@ -312,56 +341,52 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, banding:
     """doc_id, n_shingles, component_id, kept (the first of its component), one row for each row of `docs`."""
     banding = banding or Banding.at(percent)
     docs = docs.select("doc_id", "text")
-    if docs.where("doc_id is null").limit(1).count():
-        return _with_null_ids(docs, width, percent, banding)
+    odd = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").limit(1).count()
+    return _by_rows(docs, width, percent, banding) if odd else row_groups(docs, width, percent, banding)
+
+
+def row_groups(docs: DataFrame, width: int, percent: int, banding: Banding) -> DataFrame:
+    """near_duplicates of `docs` whose doc_id is a key."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    signed = staging.staged(docs.mapInArrow(_signer(width, banding), f"doc_id {kind}, n bigint, k1 bigint, k2 bigint, bands array<bigint>"), "near-signed")
-    full = signed.where("n > 0")
-    classes = staging.staged(full.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")), "near-classes")
-    # a doc_id with several rows may stand for several classes
-    reps = full.join(classes.select(F.col("rep").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"]).dropDuplicates(["doc_id", "k1", "k2"]).select("doc_id", "n", "bands")
-    in_bucket = Window.partitionBy("bucket")
-    buckets = reps.select(F.col("doc_id").alias("rep"), "n", F.explode("bands").alias("bucket"))
-    buckets = buckets.select("bucket", "rep", "n", F.count("*").over(in_bucket).alias("members"), F.min(F.struct(F.xxhash64("bucket", "rep").alias("h"), F.col("rep").alias("pivot"), F.col("n").alias("pivot_n"))).over(in_bucket).alias("p"))
-    buckets = staging.staged(buckets.where("members > 1").select("bucket", "rep", "n", "p.pivot", "p.pivot_n"), "near-buckets")
-
-    def close(a: str, b: str):
-        return 100 * F.least(a, b) >= percent * F.greatest(a, b)
-
-    stars = buckets.where(F.col("rep") != F.col("pivot"))
-    family = components(stars.select(F.col("rep").alias("a"), F.col("pivot").alias("b")), "near-family")
-    texts = docs.join(family.select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "doc_id").where("text is not null")
-    texts = staging.staged(texts, "near-texts")
-    volume = F.sum(F.octet_length("text"))
-    families = staging.staged(texts.groupBy("family").agg(volume.alias("bytes")).select("family", (F.floor(F.col("bytes") / CHUNK_BYTES) + 1).alias("chunks"), "bytes"), "near-families")
-    total = families.agg(F.sum("bytes")).first()[0] or 0
-    families, groups = families.select("family", "chunks"), max(32, total // GROUP_BYTES + 1)
-
-    tried = staging.staged(stars.where(close("n", "pivot_n")).select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct(), "near-tried")
-    links = staging.staged(confirmed(tried, texts, families, groups, width, percent), "near-links")
+    signed = staging.staged(docs.mapInArrow(_signer(width, banding), f"doc_id {kind}, n bigint, k1 bigint, k2 bigint, bytes bigint, bands array<bigint>"), "near-signed")
+    same = ["k1", "k2", "n"]
+    first = F.min(F.struct("doc_id", "bytes", "bands")).alias("x")
+    classes = staging.staged(signed.where("n > 0").groupBy(*same).agg(first).select(*same, F.col("x.doc_id").alias("rep"), "x.bytes", "x.bands"), "near-classes")
+
+    each = classes.select("rep", "bytes", F.xxhash64("rep").alias("h"), F.explode("bands").alias("bucket"))
+    buckets = each.groupBy("bucket").agg(F.count("*").alias("m"), F.sum("bytes").alias("volume"), F.min_by("rep", "h").alias("pivot")).where("m > 1")
+    cells = staging.staged(each.join(staging.staged(buckets, "near-buckets"), "bucket"), "near-cells")
+    wanted = cells.select(F.col("rep").alias("doc_id")).distinct()
+    texts = staging.staged(docs.join(wanted, "doc_id", "left_semi"), "near-texts")
+
+    def chunks(rows: str, volume: str) -> Column:
+        return F.greatest(F.expr(f"{rows} div {CHUNK_ROWS}"), F.expr(f"{volume} div {CHUNK_BYTES}")) + 1
+
+    own = F.pmod(F.xxhash64("rep", F.lit(7)), F.col("chunks"))
+    tried = cells.where("rep <> pivot").groupBy("pivot", "rep").agg(F.max("bytes").alias("bytes"), F.max(chunks("m", "volume")).alias("chunks"))
+    tried = staging.staged(tried.select(F.xxhash64("pivot", own).alias("g"), "pivot", F.col("rep").alias("doc_id"), "bytes"), "near-tried")
+    pivots = tried.select("g", F.col("pivot").alias("doc_id")).distinct()
+    sides = tried.select("g", "doc_id", F.col("doc_id").alias("c"), F.lit(False).alias("out"), "bytes")
+    sides = sides.unionByName(pivots.select("g", "doc_id", F.col("doc_id").alias("c"), F.lit(True).alias("out"), F.lit(0).cast("long").alias("bytes")))
+    links = _found(sides, texts, width, percent, "near-links")
     of = components(links, "near-components")
 
     # what the pivots left open
-    label = of.select(F.col("node").alias("doc_id"), F.col("component").alias("c"))
-    rows = texts.select("doc_id", "family").distinct().join(label, "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
-    rows = staging.staged(rows, "near-labels")
-    several = rows.groupBy("family").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.mode("c", True).alias("main")).where("least <> most").select("family", "main")
-    rows = rows.join(several.join(families, "family"), "family").select("doc_id", "family", "c", (F.col("c") != F.col("main")).alias("out"), "chunks", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.col("chunks")).alias("own"))
-    asked = rows.where("out").select("family", F.col("own").alias("asking")).distinct()
-    member = rows.join(asked, "family").select("doc_id", "family", "c", F.lit(False).alias("out"), "asking", F.col("own").alias("asked"))
-    query = rows.where("out").select("doc_id", "family", "c", "out", F.col("own").alias("asking"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("asked"))
-    sides = member.unionByName(query).withColumn("key", F.pmod(F.xxhash64("family", "asking", "asked"), F.lit(groups)))
-    sides = sides.join(texts.select("doc_id", "text"), "doc_id")
-    more = staging.staged(sides.groupBy("key").applyInArrow(_searcher(width, percent), f"a {kind}, b {kind}"), "near-more")
+    labelled = cells.select("bucket", "rep", "h", "bytes").join(of.withColumnRenamed("node", "rep"), "rep", "left")
+    labelled = staging.staged(labelled.select("bucket", "rep", "h", "bytes", F.coalesce("component", "rep").alias("c")), "near-labelled")
+    parts = labelled.groupBy("bucket", "c").agg(F.count("*").alias("m"), F.sum("bytes").alias("volume"), F.bit_xor("h").alias("s1"), F.bit_xor(F.xxhash64("h")).alias("s2"))
+    parts = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("c", "m").alias("main"), F.sum("m").alias("m"), F.sum("volume").alias("volume"), F.bit_xor("s1").alias("s1"), F.bit_xor("s2").alias("s2"))
+    still = parts.where("parts > 1").groupBy("s1", "s2", "m").agg(F.min("bucket").alias("bucket"), F.min_by("main", "bucket").alias("main"), F.max("volume").alias("volume"))
+    still = staging.staged(still.select("bucket", "main", chunks("m", "volume").alias("chunks")), "near-open")
+    rows = labelled.join(still, "bucket").withColumns({"out": F.col("c") != F.col("main"), "own": own})
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other")
+    member = rows.select("bucket", "rep", "c", F.lit(False).alias("out"), "bytes", "own", every)
+    query = rows.where("out").select("bucket", "rep", "c", "out", "bytes", "own", every)
+    asked = F.when(F.col("out"), F.xxhash64("bucket", "own", "other")).otherwise(F.xxhash64("bucket", "other", "own"))
+    sides = staging.staged(member.unionByName(query).select(asked.alias("g"), F.col("rep").alias("doc_id"), "c", "out", "bytes"), "near-sides")
+    more = _found(sides, texts, width, percent, "near-more")
     of = components(links.unionByName(more), "near-groups")
 
-    # several classes of one doc_id are one document
-    member = full.select("doc_id", "k1", "k2").join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).select("doc_id", "rep")
-    member = member.join(of.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
-    repeated = signed.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    if repeated:
-        groups_of = components(member.select(F.col("doc_id").alias("a"), F.col("component").alias("b")), "near-repeated")
-        member = member.select("doc_id").distinct().join(groups_of.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-    member = member.select(F.col("doc_id").alias("d"), "component").distinct()
-    out = signed.select("doc_id", "n").join(member, F.col("doc_id") == F.col("d"), "left").withColumn("component_id", F.coalesce("component", "doc_id"))
+    ends = classes.select(*same, "rep").join(of.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"))
+    out = signed.select("doc_id", *same).join(ends, same, "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
