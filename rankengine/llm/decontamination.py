@@ -2,14 +2,17 @@
 
 A window is `window` consecutive words of a benchmark item (an item of fewer words, but not none, is one window). Its
 shingles of SHINGLE words are ordered by how often documents hold them; containment needs all of them, so the rarest
-one is a sufficient prefix. Places where a document holds a prefix shingle are joined with the windows that start
-`offset` words before; positional and length bounds drop places that reach over an end; the rest is verified word by
-word. Words are compared as words: documents look their words up in the benchmark's vocabulary.
-
-Null or empty texts have no words and hold nothing; empty items make no window; repeated rows are judged alike; texts of
-any length are read whole. The benchmark is handled in blocks of about BLOCK_WINDOWS words, each two passes over the
-documents, so what the driver holds and sends to the executors at once is bounded whatever the benchmark's size. Results
-don't depend on the blocks: with several of them, rows are merged by a key of their own.
+one is a sufficient prefix. Places where a document holds a prefix shingle are joined with the windows that have it;
+positional and length bounds drop those that would reach over an end of the document; the rest is verified word by word.
+
+The benchmark is a table like any other: windows, shingles and their counts stay distributed. Documents are filtered by
+a Bloom filter of the shingles, whose size is bounded by MOST_BITS (16 MB) whatever the benchmark's size; beyond about
+20 million shingles it lets more places pass, which the join drops, so results don't depend on it.
+
+Null or empty texts have no words and hold nothing; empty items make no window; the windows of an item without an id
+count as hits, but there is no id to list. Repeated rows are judged alike, each for itself, whatever their doc_id; of
+tied shingles the one with the least hash is the prefix. Texts of any length are read whole. An empty benchmark hits
+nothing, and an empty table gives an empty result. Extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -18,221 +21,178 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import staging
-from .words import ALNUM_LOWER, encode_words, pieces, split_words
+from .words import ALNUM_LOWER, encode_words, hash_words, mix, pieces, split_words
 
 SHINGLE = 3
-BLOCK_WINDOWS = 1_000_000
-
-
-class WindowBlock:
-    """Windows as runs of vocabulary numbers (1-based; 0 stands for any other word)."""
-
-    def __init__(self, rows: list[tuple[object, list[str]]], window: int):
-        words = sorted({w for _, item in rows for w in item})
-        self.vocabulary = pa.array(words, pa.string())
-        number = {w: i + 1 for i, w in enumerate(words)}
-        runs: dict[tuple[int, ...], set] = {}
-        for item_id, item in rows:
-            ids = [number[w] for w in item]
-            for i in range(max(1, len(ids) - window + 1)) if ids else ():
-                runs.setdefault(tuple(ids[i : i + window]), set()).add(item_id)
-        self.runs = list(runs)
-        self.items = [sorted(runs[r], key=lambda x: (x is None, str(x))) for r in self.runs]
-        self.size = window
-        self.words = np.zeros((len(self.runs), window), np.int32)
-        self.lengths = np.array([len(r) for r in self.runs], np.int64)
-        for i, r in enumerate(self.runs):
-            self.words[i, : len(r)] = r
-        self.base = len(words) + 1
-        # short windows have no whole shingle: their missing words are 0
-        self.shingles = np.unique(self.all_shingles()[1]) if self.runs else np.zeros(0, np.int64)
-
-    def pack(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-        return (a.astype(np.int64) * self.base + b) * self.base + c
-
-    def all_shingles(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Window number, shingle and offset, for every shingle that lies inside its window."""
-        wide = np.pad(self.words, ((0, 0), (0, SHINGLE)))
-        out = []
-        for j in range(self.size):
-            at = np.flatnonzero(j <= np.maximum(self.lengths - SHINGLE, 0))
-            a, b, c = (np.where(j + k < self.lengths[at], wide[at, j + k], 0) for k in range(SHINGLE))
-            out.append((at, self.pack(a, b, c), np.full(len(at), j)))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-    def prefixes(self, counts: dict[int, int]) -> None:
-        """Chooses for each window its rarest shingle, and orders windows by it."""
-        at, shingle, offset = self.all_shingles()
-        rarity = np.array([counts.get(int(s), 0) for s in shingle], np.int64)
-        order = np.lexsort((offset, shingle, rarity, at))
-        first = order[np.concatenate([[True], np.diff(at[order]) > 0])] if len(order) else order
-        by = first[np.argsort(shingle[first], kind="stable")]
-        self.key, self.window, self.offset = shingle[by], at[by], offset[by]
-        # windows shorter than a shingle are sought by their first word
-        self.short = np.flatnonzero(self.lengths < SHINGLE)
-        keep = self.lengths[self.window] >= SHINGLE
-        self.key, self.window, self.offset = self.key[keep], self.window[keep], self.offset[keep]
-
-    def numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        words, first = split_words(texts, ALNUM_LOWER)
-        codes, distinct = encode_words(words)
-        if not len(codes):
-            return np.zeros(0, np.int32), first
-        table = pc.fill_null(pc.add(pc.index_in(distinct, value_set=self.vocabulary), 1), 0).to_numpy(zero_copy_only=False)
-        return table.astype(np.int32)[codes], first
-
-    def shingles_at(self, ids: np.ndarray) -> np.ndarray:
-        """The shingle that begins at each word, or -1 if one of its words isn't known."""
-        if len(ids) < SHINGLE:
-            return np.full(len(ids), -1, np.int64)
-        a, b, c = ids[:-2], ids[1:-1], ids[2:]
-        known = (a > 0) & (b > 0) & (c > 0)
-        out = np.full(len(ids), -1, np.int64)
-        out[:-2][known] = self.pack(a[known], b[known], c[known])
+#: Bits of the filter for each shingle, and at least and at most.
+BITS_EACH, LEAST_BITS, MOST_BITS = 32, 20, 27
+_SHIFTS = (0, 12, 24, 36)
+
+
+class Words:
+    """The words of some texts, their hashes, and the shingle that begins at each."""
+
+    def __init__(self, texts: pa.Array):
+        self.words, self.first = split_words(texts, ALNUM_LOWER)
+        codes, distinct = encode_words(self.words)
+        self.hashes = hash_words(distinct)[codes] if len(codes) else np.zeros(0, np.uint64)
+        self.doc = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+        self.left = self.first[1:][self.doc] - np.arange(len(self.doc))  # words from here to the text's end
+
+    def shingles(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places that have `size` words before the text's end, and the hash of these words."""
+        at = np.flatnonzero(self.left >= size)
+        acc = np.full(len(at), np.uint64(size))
+        for k in range(size):
+            acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + self.hashes[at + k])
+        return at, acc.view(np.int64)
+
+
+class ShingleFilter:
+    """A Bloom filter; `sizes`: lengths of the shingles in it (those of items that are shorter than SHINGLE, too)."""
+
+    def __init__(self, shingles: DataFrame):
+        """`shingles`: shingle, size; distinct."""
+        counts = {r["size"]: r["n"] for r in shingles.groupBy("size").agg(F.count("*").alias("n")).collect()}
+        self.sizes = sorted(counts)
+        self.bits = min(MOST_BITS, max(LEAST_BITS, int(sum(counts.values()) * BITS_EACH).bit_length()))
+        place = [F.shiftrightunsigned("shingle", s).bitwiseAND(F.lit((1 << self.bits) - 1)) + 1 for s in _SHIFTS]
+        each = shingles.select(F.explode(F.array(*place)).alias("bit"))
+        # at most 2 ** MOST_BITS bits in all
+        rows = each.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
+        self.data = np.zeros(1 << self.bits - 3, np.uint8)
+        for r in rows:
+            part = np.frombuffer(bytes(r["bits"]), np.uint8)
+            at = (r["bucket"] - 1) * len(part)
+            self.data[at : at + len(part)] = part[: len(self.data) - at]
+
+    def has(self, shingle: np.ndarray) -> np.ndarray:
+        out = np.ones(len(shingle), bool)
+        for s in _SHIFTS:
+            bit = (shingle.view(np.uint64) >> np.uint64(s)) & np.uint64((1 << self.bits) - 1)
+            out &= (self.data[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
         return out
 
-    def hits(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and window number of every verified occurrence in the flat word numbers of some texts."""
-        at = self.shingles_at(ids)
-        place = np.flatnonzero(at >= 0)
-        low, high = np.searchsorted(self.key, at[place], "left"), np.searchsorted(self.key, at[place], "right")
-        n = high - low
-        place, low = np.repeat(place, n), np.repeat(low, n)
-        rank = np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n)
-        start, window = place - self.offset[low + rank], self.window[low + rank]
-        for w in self.short:
-            found = np.flatnonzero(ids == self.words[w, 0])
-            start, window = np.concatenate([start, found]), np.concatenate([window, np.full(len(found), w)])
-        doc = np.searchsorted(first, np.maximum(start, 0), "right") - 1
-        length = self.lengths[window]
-        place = np.concatenate([place, start[len(place) :]])
-        ok = (start >= first[doc]) & (start + length <= first[np.minimum(doc + 1, len(first) - 1)]) & (place < first[np.minimum(doc + 1, len(first) - 1)])
-        start, window, length = start[ok], window[ok], length[ok]
-        same = np.ones(len(start), bool)
-        for j in range(self.size):
-            inside = j < length
-            same[inside] &= ids[start[inside] + j] == self.words[window[inside], j]
-        return start[same], window[same]
-
-
-def _counter(block) -> Callable:
+
+def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """item, size of its shingles, words, shingle at each place; items without words are left out."""
+    for batch in batches:
+        for piece in pieces(batch):
+            w = Words(piece.column("text"))
+            for i, (a, b) in enumerate(zip(w.first, w.first[1:], strict=False)):
+                if a < b:
+                    size = min(SHINGLE, b - a)
+                    one = Words(piece.column("text").slice(i, 1))
+                    yield pa.RecordBatch.from_arrays(
+                        [piece.column("item").slice(i, 1), pa.array([size], pa.int32()), pa.array([one.words.to_pylist()]), pa.array([one.shingles(size)[1].tolist()], pa.list_(pa.int64()))],
+                        ["item", "size", "words", "shingles"],
+                    )
+
+
+def benchmark_items(benchmark: DataFrame) -> DataFrame:
+    """item (text of the id), size, words, shingles; a row for each item with words."""
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").mapInArrow(_item_words, "item string, size int, words array<string>, shingles array<bigint>")
+    return staging.staged(rows, "overlap-items")
+
+
+def _counter(sent) -> Callable:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b = block.value
-        total = np.zeros(len(b.shingles), np.int64)
+        known = sent.value
         for batch in batches:
             for piece in pieces(batch):
-                at = b.shingles_at(b.numbers(piece.column("text"))[0])
-                at = at[at >= 0]
-                slot = np.searchsorted(b.shingles, at)
-                slot = slot[b.shingles[np.minimum(slot, len(b.shingles) - 1)] == at] if len(b.shingles) else slot[:0]
-                total += np.bincount(slot, minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(b.shingles[some]), pa.array(total[some])], ["shingle", "n"])
+                w = Words(piece.column("text"))
+                for size in known.sizes:
+                    _, shingle = w.shingles(size)
+                    found, n = np.unique(shingle[known.has(shingle)], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["shingle", "n"])
 
     return count
 
 
-def _matcher(block) -> Callable:
+def prefixed_windows(items: DataFrame, counts: DataFrame, window: int) -> DataFrame:
+    """item, shingle (the rarest of the window), offset of it, n words, run (the words, joined by spaces)."""
+    keyed = items.select(F.monotonically_increasing_id().alias("key"), "item", "size", "words", "shingles")
+    keyed = staging.staged(keyed, "overlap-keyed")
+    places = keyed.select("key", F.posexplode("shingles").alias("pos", "shingle")).join(counts, "shingle", "left")
+    inside = Window.partitionBy("key").orderBy("pos").rowsBetween(0, max(window - SHINGLE, 0))
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shingle", "pos")).over(inside)
+    starts = places.select("key", "pos", rarest.alias("x")).join(keyed.select("key", "item", "words"), "key")
+    # the window that begins at the last places would reach over the item's end
+    starts = starts.where((F.col("pos") == 0) | (F.col("pos") + window <= F.size("words")))
+    run = F.slice("words", F.col("pos") + 1, F.lit(window))
+    return starts.select("item", F.col("x.shingle").alias("shingle"), (F.col("x.pos") - F.col("pos")).alias("offset"), F.size(run).alias("n"), F.array_join(run, " ").alias("run"))
+
+
+def _matcher(sent, window: int) -> Callable:
+    """A row for each document (n_words), and one for each place with a prefix shingle (its words, `at` from the first)."""
+
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b = block.value
+        known = sent.value
+        names = ["row", "doc_id", "n_words", "shingle", "pos", "at", "around"]
         for batch in batches:
             for piece in pieces(batch):
-                ids, first = b.numbers(piece.column("text"))
-                start, window = b.hits(ids, first)
-                edge = np.zeros(len(ids) + 1, np.int64)
-                np.add.at(edge, start, 1)
-                np.add.at(edge, start + b.lengths[window], -1)
-                hit = np.concatenate([[0], np.cumsum(np.cumsum(edge)[:-1] > 0)])
-                n_hit = hit[first[1:]] - hit[first[:-1]]
-                found: dict[int, set] = {}
-                spans: dict[int, list] = {}
-                for d, s, w in zip((np.searchsorted(first, start, "right") - 1).tolist(), start.tolist(), window.tolist(), strict=True):
-                    found.setdefault(d, set()).update(b.items[w])
-                    spans.setdefault(d, []).append((s - int(first[d]), s - int(first[d]) + int(b.lengths[w])))
-                n = piece.num_rows
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), pa.array(np.diff(first)), pa.array(n_hit), pa.array([sorted(map(str, found.get(i, ()))) for i in range(n)], pa.list_(pa.string())), pa.array([_union(spans.get(i, [])) for i in range(n)], pa.list_(pa.list_(pa.int64())))],
-                    ["doc_id", "n_words", "n_hit", "items", "spans"],
-                )
+                w = Words(piece.column("text"))
+                n, row = piece.num_rows, piece.column("row")
+                none = [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.string())]
+                yield pa.RecordBatch.from_arrays([row, piece.column("doc_id"), pa.array(np.diff(w.first)), *none], names)
+                for size in known.sizes:
+                    at, shingle = w.shingles(size)
+                    some = known.has(shingle)
+                    at, shingle = at[some], shingle[some]
+                    doc = w.doc[at]
+                    low, high = np.maximum(at - window + 1, w.first[doc]), np.minimum(at + window, w.first[doc + 1])
+                    around = [" ".join(w.words.slice(a, b - a).to_pylist()) for a, b in zip(low.tolist(), high.tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays(
+                        [row.take(pa.array(doc)), pa.nulls(len(at), piece.column("doc_id").type), pa.nulls(len(at), pa.int64()), pa.array(shingle), pa.array(at - w.first[doc]), pa.array((at - low).astype(np.int32)), pa.array(around, pa.string())], names
+                    )
 
     return match
 
 
-def _union(spans: list[tuple[int, int]]) -> list[list[int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(b, out[-1][1])
-        else:
-            out.append([a, b])
-    return out
-
-
-def _blocks(benchmark: DataFrame, window: int) -> Iterator[WindowBlock]:
-    """The benchmark's items, a bounded block at a time."""
-    rows: list[tuple[object, list[str]]] = []
-    held = 0
-    for row in benchmark.select("item_id", "text").toLocalIterator():
-        item = split_words(pa.array([row["text"]], pa.string()), ALNUM_LOWER)[0].to_pylist()
-        rows.append((row["item_id"], item))
-        held += len(item)
-        if held >= BLOCK_WINDOWS:
-            yield WindowBlock(rows, window)
-            rows, held = [], 0
-    if rows or not held:
-        yield WindowBlock(rows, window)
-
-
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """doc_id, n_words, n_hit (words inside an occurrence of a window), items (texts of the item_ids, sorted), spans
     (word ranges of the union of occurrences), for each row of `docs`."""
-    docs = docs.select("doc_id", "text")
-    blocks = _blocks(benchmark, window)
-    block, following = next(blocks), next(blocks, None)
-    if following is None:
-        return _matches(docs, block)
-    # several blocks: each finds hits of rows by a key of their own, which are merged row by row
-    docs = staging.staged(docs.select(F.struct(F.monotonically_increasing_id().alias("row"), "doc_id").alias("doc_id"), "text"), "overlap-rows")
-    found = staging.staged(_matches(docs, block), "overlap-block")
-    hits = found.select("doc_id.row", "items", "spans").where(F.size("spans") > 0)
-    while following is not None:
-        block, following = following, next(blocks, None)
-        more = staging.staged(_matches(docs, block).select("doc_id.row", "items", "spans").where(F.size("spans") > 0), "overlap-block")
-        hits = hits.unionByName(more)
-    merged = hits.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"))
-    joined = F.aggregate(
-        "all",
-        F.expr("cast(array() as array<array<bigint>>)"),
-        lambda out, x: F.when(
-            (F.size(out) > 0) & (x[0] <= F.element_at(out, -1)[1]),
-            F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.array(F.element_at(out, -1)[0], F.greatest(F.element_at(out, -1)[1], x[1])))),
-        ).otherwise(F.concat(out, F.array(x))),
-    )
-    merged = merged.select("row", "items", joined.alias("spans"))
-    out = found.select("doc_id.row", "doc_id.doc_id", "n_words").join(merged, "row", "left")
-    out = out.withColumn("items", F.coalesce("items", F.expr("cast(array() as array<string>)"))).withColumn("spans", F.coalesce("spans", F.expr("cast(array() as array<array<bigint>>)")))
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x[1] - x[0])
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), "items", "spans")
-
-
-def _matches(docs: DataFrame, block: WindowBlock) -> DataFrame:
-    """The result for the windows of one block, in two passes over `docs`."""
     spark = docs.sparkSession
+    docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_words bigint, n_hit bigint, items array<string>, spans array<array<bigint>>"
-    sent = spark.sparkContext.broadcast(block)
-    counts = docs.mapInArrow(_counter(sent), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
-    block.prefixes({r["shingle"]: r["n"] for r in counts.collect()})
-    return docs.mapInArrow(_matcher(spark.sparkContext.broadcast(block)), schema)
+    items = benchmark_items(benchmark)
+    every = items.select(F.explode("shingles").alias("shingle"), "size").distinct()
+    sent = spark.sparkContext.broadcast(ShingleFilter(every))
+    counts = docs.select("text").mapInArrow(_counter(sent), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
+    windows = staging.staged(prefixed_windows(items, staging.staged(counts, "overlap-counts"), window), "overlap-windows")
+    runs = windows.select("shingle", "offset", "n", "run").distinct()
+    prefixes = windows.select("shingle", F.least("n", F.lit(SHINGLE)).alias("size")).distinct()
+    sent = spark.sparkContext.broadcast(ShingleFilter(prefixes))
+    rows = docs.withColumn("row", F.monotonically_increasing_id())
+    rows = staging.staged(rows.mapInArrow(_matcher(sent, window), f"row bigint, doc_id {kind}, n_words bigint, shingle bigint, pos bigint, at int, around string"), "overlap-rows")
+
+    begin = F.col("at") - F.col("offset")
+    found = rows.where("around is not null").join(runs, "shingle").where(begin >= 0)
+    same = F.array_join(F.slice(F.split("around", " "), begin + 1, F.col("n")), " ") == F.col("run")
+    hits = found.where(same).select("row", (F.col("pos") - F.col("offset")).alias("start"), (F.col("pos") - F.col("offset") + F.col("n")).alias("end"), "run")
+    hits = staging.staged(hits, "overlap-hits")
+    ids = hits.select("row", "run").distinct().join(windows.select("run", "item").distinct(), "run")
+    ids = ids.groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    out = rows.where("around is null").select("row", "doc_id", "n_words").join(_spans(hits), "row", "left").join(ids, "row", "left")
+    none = lambda c, t: F.coalesce(c, F.expr(f"cast(array() as {t})")).alias(c)
+    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), none("items", "array<string>"), none("spans", "array<array<bigint>>"))
+
+
+def _spans(hits: DataFrame) -> DataFrame:
+    """row, n_hit, spans: the union of the ranges of each row."""
+    order = Window.partitionBy("row").orderBy("start", "end")
+    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    parts = hits.select("row", "start", "end").distinct().withColumn("new", F.coalesce((F.col("start") > reached).cast("int"), F.lit(1)))
+    parts = parts.withColumn("part", F.sum("new").over(order)).groupBy("row", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    listed: Column = F.array_sort(F.collect_list(F.array("start", "end")))
+    return parts.groupBy("row").agg(F.sum(F.col("end") - F.col("start")).alias("n_hit"), listed.alias("spans"))
 
 
 def digest(found: DataFrame) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
     )
-

@@ -1,5 +1,6 @@
 """Null ids, repeated rows and inputs beyond one block: every row counts, against brute force."""
 
+import re
 from collections import Counter
 
 import numpy as np
@@ -90,19 +91,36 @@ def test_languages_with_many_letters_and_many_languages():
             assert phrases[d, k] == n
 
 
-def test_decontamination_in_several_blocks_is_that_in_one(spark, monkeypatch):
-    items = [(i, _words(f"i{i}x", 12)) for i in range(6)] + [(6, f"i0x11 {_words('i1x', 12)}"), (7, items_tail := "i0x5 i0x6 i0x7"), (8, None)]
+def test_decontamination_of_rows_that_share_ids(spark, monkeypatch):
+    items = [(i, _words(f"i{i}x", 12)) for i in range(6)] + [(6, f"i0x11 {_words('i1x', 12)}"), (7, "i0x5 i0x6 i0x7"), (8, None), (9, ""), (10, "solo"), (11, "two words"), (None, "without id")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     a, b, clean = f"x {items[0][1]} {items[1][1]} y", f"x y {items[2][1]} {items[5][1]}", _words("c", 26)
     # rows of one length under one id and under none, with different texts
-    rows = [(1, a), (1, b), (1, clean), (None, a), (None, b), (None, clean), (None, clean), (2, f"{items_tail} z {items[4][1]}"), (3, None), (4, "")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    texts = [(1, a), (1, b), (1, clean), (None, a), (None, b), (None, clean), (None, clean), (2, f"i0x5 i0x6 i0x7 z {items[4][1]}"), (3, None), (4, ""), (5, "Solo, words two words; SOLO two"), (6, "without id")]
+    texts += [(7, " ".join(a.split()[3:9])), (8, (a + " ") * 400)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+
+    def brute(text):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower())
+        hit, held = set(), set()
+        for key, item in items:
+            w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (item or "").lower())
+            for k in range(max(1, len(w) - 9) if w else 0):
+                run = w[k : k + 10]
+                for i in range(len(words) - len(run) + 1):
+                    if words[i : i + len(run)] == run:
+                        hit |= set(range(i, i + len(run)))
+                        held |= {str(key)} if key is not None else set()
+        return len(words), len(hit), tuple(sorted(held)), hit
 
     def found():
-        out = decontamination.find_overlaps(docs, bench)
-        return Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), tuple(map(tuple, r.spans))) for r in out.collect())
-
-    whole = found()
-    assert sum(whole.values()) == len(rows) and whole[None, 26, 0, (), ()] == 2 and whole[1, 26, 24, ("0", "1", "6", "7"), ((1, 25),)] == 1
-    monkeypatch.setattr(decontamination, "BLOCK_WINDOWS", 13)
-    assert found() == whole
+        out = decontamination.find_overlaps(docs, bench).collect()
+        assert all(r.n_hit == sum(b - a for a, b in r.spans) for r in out)
+        return Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), frozenset(k for a, b in r.spans for k in range(a, b))) for r in out)
+
+    want = Counter((i, *brute(t)[:3], frozenset(brute(t)[3])) for i, t in texts)
+    assert found() == want
+    # a filter that lets nearly everything pass
+    monkeypatch.setattr(decontamination, "BITS_EACH", 0)
+    monkeypatch.setattr(decontamination, "LEAST_BITS", 3)
+    assert found() == want
