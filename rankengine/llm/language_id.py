@@ -1,16 +1,22 @@
 """Language identification by cross-parsing: the language whose text explains a document in fewest phrases wins.
 
-For each value of lang a suffix automaton is built over a bounded sample of its labelled text, with all letters of it. A document is read from left to
-right and cut into phrases, each the longest run that occurs in the language's sample (a character that doesn't occur
-at all is a phrase of its own). The phrases, divided by the document's length, estimate its cross entropy.
+For each value of lang a suffix automaton is built over a bounded sample of its labelled text, with all letters of it. A
+document is read from left to right and cut into phrases, each the longest run that occurs in the language's sample (a
+character that doesn't occur at all ends one). The phrases, divided by the document's length, estimate its cross entropy.
 
-All texts of a batch are parsed side by side, in blocks of BLOCK characters: a phrase also ends where a block ends, for
-every language alike. An automaton is turned into a transition table for its commonest characters, in which a missing
-transition leads where the same character leads from the start, with a phrase counted; transitions with its other
-characters are found by search. Tasks hold all automata (about 1 MB each) and the tables of TABLES of them.
+The sample is bounded in rows and characters (`sample_chars` a language): of each labelled text one piece of PIECE_CHARS
+characters at a place drawn by hash, so that all parts of long texts are learned from alike.
+
+All texts of a batch are parsed side by side. Long texts are cut into blocks that are first parsed from the automaton's
+start; then the parse that really reaches a block is run next to that one until both are in the same state, which tells
+the difference. So phrases reach over blocks, and the result is that of one parse of the whole text. An automaton is
+turned into a transition table for its commonest characters, in which a missing transition leads where the same
+character leads from the start, with a phrase counted; transitions with its other characters are found by search. Tasks
+hold all automata (about 1 MB each) and the tables of TABLES of them.
 
 Texts without a letter (null and empty ones too) are `und` with score 0. Ties go to the language that sorts first. Extra
-columns are dropped and repeated rows are judged alike. Without labelled text every document is `und`.
+columns are dropped and repeated rows are judged alike. Without labelled text every document is `und`; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,9 +31,10 @@ from pyspark.sql import functions as F
 
 from .words import pieces, plain
 
-#: Characters of labelled text per language and of one document: bounds of the fitted sample.
+#: Characters of labelled text per language, and of one piece of a text: bounds of the fitted sample.
 SAMPLE_CHARS = 24_000
-DOC_CHARS = 2_000
+PIECE_CHARS = 2_000
+#: Characters that a text is cut into for parsing side by side.
 BLOCK = 1024
 #: Classes with a column of the transition table: a language's commonest characters. Its others are looked up by search.
 ALPHABET = 96
@@ -171,23 +178,56 @@ class Languages:
         begin, length, owner = begin[order], length[order], owner[order]
         alive = len(begin) - np.searchsorted(length[::-1], np.arange(length[0] if len(length) else 0), "right")
         out = np.zeros((len(texts), len(self.names)), np.int64)
+        entered = np.flatnonzero(begin > bounds[owner])  # blocks that the parse reaches from another one
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        previous = place[order[entered] - 1]
         for k, automaton in enumerate(self.automata):
             table, own = self.table(k), self.own[k][flat]
             some_rare = bool((own >= ALPHABET).any())
+
+            def step(state: np.ndarray, at: np.ndarray, automaton=automaton, table=table, own=own, some_rare=some_rare) -> np.ndarray:
+                c = own[at]
+                if not some_rare:
+                    return table[state * ALPHABET + c]
+                out = table[state * ALPHABET + np.where(c < ALPHABET, c, _OTHER)]
+                rare = np.flatnonzero(c >= ALPHABET)
+                out[rare] = automaton.rare(state[rare], c[rare])
+                return out
+
             state = np.zeros(len(begin), np.int32)
-            count = np.zeros(len(begin), np.int32)
+            count = np.zeros(len(begin), np.int64)
             for i, n in enumerate(alive.tolist()):
-                c = own[begin[:n] + i]
-                if some_rare:
-                    step = table[state[:n] * ALPHABET + np.where(c < ALPHABET, c, _OTHER)]
-                    at = np.flatnonzero(c >= ALPHABET)
-                    step[at] = automaton.rare(state[at], c[at])
-                else:
-                    step = table[state[:n] * ALPHABET + c]
-                count[:n] += step & 1
-                state[:n] = step >> 1
-            # the first character of a block opens a phrase, if the sample has it and so no new phrase was counted
-            out[:, k] = np.bincount(owner, count + 1, len(texts)).astype(np.int64)
+                to = step(state[:n], begin[:n] + i)
+                count[:n] += to & 1
+                state[:n] = to >> 1
+            # the parse that enters a block next to the one from the start; blocks whose entry changes are run again
+            ends, more = state.copy(), np.zeros(len(begin), np.int64)
+            lane, source = entered, previous
+            while len(lane):
+                true, fresh = ends[source], np.zeros(len(lane), np.int32)
+                more[lane] = 0
+                on = np.flatnonzero(true != fresh)
+                left = np.zeros(len(lane), bool)
+                i = 0
+                while len(on):
+                    at = begin[lane[on]] + i
+                    x, y = step(true[on], at), step(fresh[on], at)
+                    more[lane[on]] += (x & 1) - (y & 1)
+                    true[on], fresh[on] = x >> 1, y >> 1
+                    i += 1
+                    on = on[true[on] != fresh[on]]
+                    over = length[lane[on]] <= i
+                    left[on[over]] = True
+                    on = on[~over]
+                new = state[lane].copy()
+                new[left] = true[left]
+                changed = lane[new != ends[lane]]
+                ends[lane] = new
+                again = np.isin(previous, changed)
+                lane, source = entered[again], previous[again]
+            # the first character of a text opens a phrase, if the sample has it and so no new phrase was counted
+            out[:, k] = np.bincount(owner, count + more, len(texts)).astype(np.int64) + (size > 0)
         return out, size, n_letters
 
     def judge(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
@@ -206,20 +246,21 @@ class Languages:
         return [self.names[b] if ok else "und" for b, ok in zip(best, known, strict=True)], np.where(known, score, 0.0), np.where(known, least / np.maximum(size, 1), 0.0), letters
 
 
-def learn(docs: DataFrame, where: Column) -> Languages:
-    """Learns from rows that meet `where` and have a language: for each language those whose text hashes lowest, one row
-    for each distinct beginning, until SAMPLE_CHARS characters are held (DOC_CHARS of a document) or there are no more."""
-    labelled = docs.where(where & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.substring("text", 1, DOC_CHARS).alias("text"))
-    hashed = labelled.withColumn("h", F.xxhash64("text"))
-    # a first cut by hash keeps about 20 * SAMPLE_CHARS characters of each language's distinct beginnings, so the exact
-    # ranking that follows is small; with beginnings of DOC_CHARS at most, less than SAMPLE_CHARS is out of the question
+def learn(docs: DataFrame, where: Column, sample_chars: int = SAMPLE_CHARS) -> Languages:
+    """Learns from rows that meet `where` and have a language: for each language pieces of its distinct texts, those that
+    hash lowest first, until `sample_chars` characters are held or there are no more."""
+    labelled = docs.where(where & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("h"))
+    piece = F.pmod("h", F.ceil(F.length("text") / PIECE_CHARS) + (F.length("text") == 0).cast("int"))
+    hashed = labelled.select("lang", "h", F.substring("text", piece.cast("int") * PIECE_CHARS + 1, F.lit(PIECE_CHARS)).alias("text"))
+    # a first cut by hash keeps about 20 * sample_chars characters of each language's distinct pieces, so the exact
+    # ranking that follows is small; with pieces of PIECE_CHARS at most, less than sample_chars is out of the question
     held = hashed.groupBy("lang", "h").agg(F.min(F.length("text")).alias("n"))
     sizes = held.groupBy("lang").agg(F.sum("n").alias("chars"))
-    cut = F.lit(20.0 * SAMPLE_CHARS * (1 << 30)) / F.greatest("chars", F.lit(1))
+    cut = F.lit(20.0 * sample_chars * (1 << 30)) / F.greatest("chars", F.lit(1))
     near = hashed.join(F.broadcast(sizes), "lang").where(F.pmod("h", F.lit(1 << 30)) < cut)
     near = near.groupBy("lang", "h").agg(F.min("text").alias("text"))
     held = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))
-    rows = near.withColumn("held", held - F.length("text")).where(F.col("held") < SAMPLE_CHARS).select("lang", "h", "text").orderBy("lang", "h").collect()
+    rows = near.withColumn("held", held - F.length("text")).where(F.col("held") < sample_chars).select("lang", "h", "text").orderBy("lang", "h").collect()
     samples: dict[str, list[str]] = {}
     for r in rows:
         samples.setdefault(r["lang"], []).append(r["text"])

@@ -7,11 +7,12 @@ Two transducers are compiled from the tokenizer file.
   by a parallel prefix scan, and each chunk is then run from its true state.
 * The counter runs over the bytes of a piece. A state stands for a prefix; it knows the last token of the prefix's
   encoding and the tokens emitted on the way to it, so a transition emits the difference of two states. The last token
-  after one more byte is the only vocabulary entry that ends there and may follow the token before it. States are
-  compiled when first reached, and all dropped when there are over MAX_STATES.
+  after one more byte is the only vocabulary entry that ends there and may follow the token before it. States and end
+  transitions are compiled when first reached, and all dropped when there are over MAX_STATES. Pieces of over LONG bytes
+  are run without compiling states. Time is linear in a piece's length.
 
 Null texts count as empty: no bytes, no tokens. Repeated rows count alike, extra columns are dropped, and texts of any
-length are read whole.
+length are read whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from .words import encode_words, pieces, plain, strings
 
 CHUNK = 256
 MAX_STATES = 800_000
+LONG = 256
 _BLANK, _DIGIT, _SIGN, _QUOTE, _STMD, _RV, _ELL, _EE, _LETTER = range(9)
 _BETWEEN, _IN_LETTERS, _IN_SIGNS, _AT_QUOTE, _QUOTE_RV, _QUOTE_ELL = range(6)
 _HERE, _BEFORE = 1, 2
@@ -172,38 +174,44 @@ class Counter:
 
     def reset(self) -> None:
         self.next: dict[int, int] = {}  # state and byte -> state
+        self.ends: dict[int, int] = {}  # state and last byte -> tokens of the piece
         self.last: list[bytes] = [b""]
         self.total: list[int] = [0]
         self.follows.clear()
 
-    def _last_token(self, path: list[int], body: bytes, vocabulary: set[bytes], marker: int) -> tuple[bytes, int]:
-        """Last token of the encoding of `body`, and the number of tokens. path[i]: state after i bytes."""
-        n = len(body) - marker
+    def _last_token(self, body: bytes, n: int, last: list[bytes], total: list[int], vocabulary: set[bytes], end: bytes) -> tuple[bytes, int]:
+        """Last token of the encoding of `body[:n] + end`, and the number of tokens, given both for all shorter prefixes."""
         for size in range(min(self.longest, n), 0, -1):
-            token = body[n - size :]
-            if token in vocabulary:
-                before = path[n - size]
-                if not before or self.may_follow(self.last[before], token):
-                    return token, self.total[before] + 1
-        token = body[n - 1 :]
-        return token, self.total[path[n - 1]] + 1
+            token = body[n - size : n] + end
+            if token in vocabulary and (n == size or self.may_follow(last[n - size], token)):
+                return token, total[n - size] + 1
+        return body[n - 1 : n] + end, total[n - 1] + 1
 
     def count(self, piece: bytes) -> int:
-        """Runs one piece through the transducer, compiling transitions that it lacks.
-
-        The last byte takes the end transition, whose emission the caller keeps with the piece.
-        """
-        state, path = 0, [0]
-        for i, byte in enumerate(piece[:-1]):
-            to = self.next.get(state << 8 | byte)
+        """Runs one piece through the transducer, compiling transitions that it lacks."""
+        if len(self.last) + len(self.ends) + len(self.follows) > MAX_STATES:
+            self.reset()
+        last, total, state = [b""], [0], 0
+        compiled = len(piece) <= LONG
+        for n, byte in enumerate(piece[:-1], 1):
+            to = self.next.get(state << 8 | byte) if compiled else None
             if to is None:
-                to = self.next[state << 8 | byte] = len(self.last)
-                token, total = self._last_token(path, piece[: i + 1], self.plain_tokens, 0)
-                self.last.append(token)
-                self.total.append(total)
+                token, tokens = self._last_token(piece, n, last, total, self.plain_tokens, b"")
+                if compiled:
+                    to = self.next[state << 8 | byte] = len(self.last)
+                    self.last.append(token)
+                    self.total.append(tokens)
+            else:
+                token, tokens = self.last[to], self.total[to]
+            last.append(token)
+            total.append(tokens)
             state = to
-            path.append(to)
-        return self._last_token(path, piece + _END, self.tokens, 1)[1]
+        known = self.ends.get(state << 8 | piece[-1]) if compiled else None
+        if known is None:
+            known = self._last_token(piece, len(piece), last, total, self.tokens, _END)[1]
+            if compiled:
+                self.ends[state << 8 | piece[-1]] = known
+        return known
 
 
 _END = b"\xff"
@@ -256,9 +264,10 @@ def count_tokens(texts: list[str], path: str) -> np.ndarray:
         if n is None:
             n = known[piece] = counter.count(piece.encode())
         table[i] = n
-    if len(known) > MAX_STATES or len(counter.last) > MAX_STATES:
+        if len(piece) > LONG:
+            del known[piece]
+    if len(known) > MAX_STATES:
         known.clear()
-        counter.reset()
     sums = np.concatenate([[0], np.cumsum(table[codes])])
     ends = np.cumsum(np.fromiter(map(len, normal), np.int64, len(normal)) + 1)
     upto = sums[np.searchsorted(at, ends)]

@@ -1,17 +1,18 @@
 """Toxicity by maximum-scoring segments of token log-odds, calibrated by extreme-value statistics.
 
 Each word has a weight: its log-odds of standing in a toxic rather than another labelled text, counted by documents, with
-a Dirichlet prior in proportion to the word's share of all labelled documents; weights under LEAST_Z standard deviations
-or LEAST_ODDS count as chance. A word without a weight takes that of its beginning (STEM letters and more follow), if that has one.
-All other words cost GAP each, so random text has a negative drift. A linear scan finds all maximal scoring
-segments of a text; those whose expected number in random text of that length (K m exp(-lambda S)) is below E_VALUE are
-its significant passages. Lambda and K are fitted to the best segments of clean labelled texts (Gumbel, by moments).
-The evidence of all significant passages (sum of -ln E, positive parts) goes through a logistic curve fitted to the
-labelled sample.
-
-Null and empty texts have no passage and get the curve's value at no evidence. Repeated rows are judged alike; extra
-columns are dropped; texts of any length are read whole. Without labels of both kinds every score is the share of toxic
-labels (0 without labels).
+a Dirichlet prior in proportion to the word's share of all labelled documents. What BOUND standard deviations leave of
+the log-odds counts, towards toxic or away from it; the rest may be chance. A word that the sample lacks, or for which
+nothing is left, takes the weight of its beginning (STEM letters and more follow). Every word costs GAP, so random text
+has a negative drift. A linear scan finds all maximal scoring segments of a text; those whose expected number in random
+text of that length (K m exp(-lambda S)) is below E_VALUE are its significant passages. Lambda and K are fitted to the
+best segments of clean labelled texts (Gumbel, by moments). The evidence of all significant passages (sum of -ln E,
+positive parts) goes through a logistic curve fitted to the labelled sample.
+
+The sample is bounded in rows (about SAMPLE_ROWS, documented bound of the fit); their texts, like those that are scored,
+are read whole. Null and empty texts have no passage and get the curve's value at no evidence. Ties: repeated rows are
+judged alike; labels of one doc_id count as toxic if one of them is. An empty table gives an empty result; extra columns
+are dropped. Without labels of both kinds every score is the share of toxic labels (0 without labels).
 """
 
 from __future__ import annotations
@@ -28,42 +29,46 @@ from pyspark.sql import functions as F
 from . import staging
 from .words import ALNUM_LOWER, encode_words, pieces, split_words
 
-#: About as many labelled rows as the model is fitted on, and bytes of each; rows whose text hashes lowest are taken.
+#: About as many labelled rows as the model is fitted on: those whose text hashes lowest.
 SAMPLE_ROWS = 20_000
-SAMPLE_BYTES = 20_000
-#: Weight of the prior, in documents; least z-score of a word with a weight; most words with a weight; letters of a
-#: stem.
+#: Weight of the prior, in documents; standard deviations that may be chance; letters of a stem.
 PRIOR = 20.0
-LEAST_Z = 4.0
-#: Least log-odds: weaker leanings (of a language, a topic, long texts) would add up over a long text.
-LEAST_ODDS = 2.0
+BOUND = 3.0
 STEM = 4
-MAX_WORDS = 50_000
 GAP = 0.15
 E_VALUE = 0.1
 MAX_WEIGHT = 4.0
 
 
-def segments(weights: np.ndarray, places: np.ndarray, gap: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (first place, last place, score) of a text whose words at `places` have the given
-    positive `weights` and whose other words cost `gap`: one pass with a stack of candidates."""
-    found: list[list[float]] = []  # first, last, total before, total at the end
-    total, previous = 0.0, -1
-    for w, p in zip(weights.tolist(), places.tolist(), strict=True):
-        total -= gap * (p - previous - 1)
-        low, total, previous = total, total + w, p
-        new = [p, p, low, total]
+def segments(places: np.ndarray, before: np.ndarray, after: np.ndarray) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments (first place, last place, score) of a text, given the `places` of its words with a
+    positive weight and the total weight of the text before and after each.
+
+    One pass: each candidate knows the nearest earlier one that begins lower, so no candidate is passed over twice.
+    """
+    first: list[int] = []
+    last: list[int] = []
+    low: list[float] = []
+    high: list[float] = []
+    back: list[int] = []
+    for p, x, y in zip(places.tolist(), before.tolist(), after.tolist(), strict=True):
+        a, k = p, len(first) - 1
         while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or found[j][3] >= new[3]:
-                found.append(new)
+            while k >= 0 and low[k] >= x:
+                k = back[k]
+            if k < 0 or high[k] >= y:
                 break
-            # the candidate reaches over everything from segment j on
-            new = [found[j][0], new[1], found[j][2], new[3]]
-            del found[j:]
-    return [(int(a), int(b), end - low) for a, b, low, end in found]
+            # the candidate reaches over everything from candidate k on
+            a, x, further = first[k], low[k], back[k]
+            for held in (first, last, low, high, back):
+                del held[k:]
+            k = further
+        first.append(a)
+        last.append(p)
+        low.append(x)
+        high.append(y)
+        back.append(k)
+    return [(a, b, y - x) for a, b, x, y in zip(first, last, low, high, strict=True)]
 
 
 @dataclass
@@ -86,15 +91,15 @@ class Model:
             return size, out
         values = pa.array(self.words)
         at = pc.coalesce(pc.index_in(distinct, value_set=values), pc.index_in(_stems(distinct), value_set=values), pa.scalar(-1, pa.int32()))
-        at = at.to_numpy(zero_copy_only=False)[codes]
-        place = np.flatnonzero(at >= 0)
-        weight = self.weights[at[place]]
+        weight = np.append(self.weights, 0.0)[at.to_numpy(zero_copy_only=False)][codes] - GAP
+        total = np.cumsum(weight)
+        place = np.flatnonzero(weight > 0)
         doc = np.searchsorted(first, place, "right") - 1
         cuts = np.flatnonzero(np.diff(doc)) + 1
         for a, b in zip(np.concatenate([[0], cuts]).tolist(), np.concatenate([cuts, [len(doc)]]).tolist(), strict=True):
             if a < b:
-                d = int(doc[a])
-                for i, j, s in segments(weight[a:b], place[a:b] - first[d], GAP):
+                d, p = int(doc[a]), place[a:b]
+                for i, j, s in segments(p - first[d], total[p] - weight[p], total[p]):
                     e = self.scale * size[d] * np.exp(-self.rate * s)
                     out[d].append((i, j + 1, s, float(e)))
         return size, out
@@ -138,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, where: Column) -> Model:
     """Fits on labelled rows of `docs` that meet `where`, copies of a text with one label counted once."""
     spark = docs.sparkSession
     labelled = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.where(where & F.col("text").isNotNull()).select("doc_id", F.substring("text", 1, SAMPLE_BYTES).alias("text"), F.xxhash64("text").alias("h")).join(labelled, "doc_id")
+    rows = docs.where(where & F.col("text").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("h")).join(labelled, "doc_id")
     there = labelled.count()
     share = min(1.0, SAMPLE_ROWS * 1.5 / max(there, 1))
     sample = rows.where(F.pmod("h", F.lit(1 << 30)) < F.lit(share * (1 << 30))).groupBy("h", "toxic").agg(F.min("text").alias("text"))
@@ -153,19 +158,19 @@ def fit(docs: DataFrame, labels: DataFrame, where: Column) -> Model:
     a, b = F.col("a") + prior, F.col("b") + prior
     odds = F.log(a / (F.lit(n1 + PRIOR) - a)) - F.log(b / (F.lit(n0 + PRIOR) - b))
     spread = F.sqrt(1 / a + 1 / b)
-    rows = counts.where("a >= 3").select("word", odds.alias("d"), (odds / spread).alias("z")).where((F.col("z") >= LEAST_Z) & (F.col("d") >= LEAST_ODDS)).orderBy(F.desc("z"), "word").limit(MAX_WORDS).collect()
-    model.words, model.weights = [r["word"] for r in rows], np.array([min(r["d"], MAX_WEIGHT) for r in rows])
+    left = F.signum(odds) * F.greatest(F.abs(odds) - BOUND * spread, F.lit(0.0))
+    rows = counts.select("word", left.alias("w")).where("w <> 0").orderBy("word").collect()  # bounded by the sample
+    model.words, model.weights = [r["word"] for r in rows], np.clip([r["w"] for r in rows], -MAX_WEIGHT, MAX_WEIGHT)
     if not rows:
         return model
-    best = _measured(sample, spark.sparkContext.broadcast(model)).collect()
-    clean = np.array([r["best"] for r in best if not r["toxic"]])
-    size = np.array([r["size"] for r in best if not r["toxic"]], float)
+    found = _measured(sample, spark.sparkContext.broadcast(model)).collect()
+    clean = np.array([max(r["scores"], default=0.0) for r in found if not r["toxic"]])
+    size = np.array([r["size"] for r in found if not r["toxic"]], float)
     # Gumbel of the best score: lambda from the spread, K from the mean
     spread = max(float(clean.std()), 0.5)
     model.rate = float(np.pi / (spread * np.sqrt(6)))
     model.scale = float(np.exp(model.rate * clean.mean() - np.mean(np.log(np.maximum(size, 1))) - 0.5772))
-    found = _measured(sample, spark.sparkContext.broadcast(model)).collect()
-    x = np.log1p(np.array([r["evidence"] for r in found]))
+    x = np.log1p(np.array([model.evidence([(0, 0, s, model.scale * r["size"] * np.exp(-model.rate * s)) for s in r["scores"]]) for r in found]))
     y = np.array([float(r["toxic"]) for r in found])
     model.slope, model.shift = _logistic(x, y)
     return model
@@ -185,15 +190,16 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
 
 
 def _measured(sample: DataFrame, sent) -> DataFrame:
+    """toxic, size and scores of all segments of each row of the sample."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
             for piece in pieces(batch):
                 size, found = model.passages(piece.column("text"))
-                best = [max((s for _, _, s, _ in f), default=0.0) for f in found]
-                yield pa.RecordBatch.from_arrays([piece.column("toxic"), pa.array(size), pa.array(best, pa.float64()), pa.array([model.evidence(f) for f in found], pa.float64())], ["toxic", "size", "best", "evidence"])
+                yield pa.RecordBatch.from_arrays([piece.column("toxic"), pa.array(size), pa.array([[s for _, _, s, _ in f] for f in found], pa.list_(pa.float64()))], ["toxic", "size", "scores"])
 
-    return sample.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "toxic int, size bigint, best double, evidence double")
+    return sample.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "toxic int, size bigint, scores array<double>")
 
 
 def _judge(sent) -> Callable:
