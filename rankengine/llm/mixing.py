@@ -6,14 +6,17 @@ Sources (by code point, null last) weigh 3, 1, 2, repeating. They share `share`
 Each source's documents, in shuffled order, form a stream of words that starts anew when it ends. Slot t of the schedule
 is put at the van der Corput point of t (its bits mirrored), which falls into one source's part of [0, 1); the k-th slot
 of a source takes its k-th block of `block` words. A source whose slots reach beyond its target has the last ones cut;
-one whose slots fall short gets closing slots, so every source gives exactly its target, rounded down.
+one whose slots fall short gets closing slots (without a number) at the end, so every source gives exactly its target,
+rounded down. `mix` tells how many words each document gives and its first and last slot; `mix_blocks` lists the blocks
+in the order of their slots, with the part of each document in them.
 
 Everything is DataFrame operations: positions are running sums in two levels (within hash buckets of a source, and over
-the buckets), ranks of slots likewise (within runs of slots, and over the runs), so no source lands in one task.
+the buckets), ranks of slots likewise (within runs of slots, and over the runs), so no source lands in one task. Sources
+are ranked and their targets found by running sums over ranges of sources, so many sources (hosts) aren't one task either.
 
 Null and empty texts have size 0 and are taken 0 times. Repeated rows of a document, and rows with a null id, are separate
-documents of the same id, ordered by their text; identical rows of a source share what they are given evenly up to rounding. Extra columns are dropped. An
-empty table gives an empty mix.
+documents of the same id, ordered by their text; identical rows have places of their own in the stream, so the results of
+all of them don't depend on which is which. Extra columns are dropped. An empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranking import running
 from . import staging
 
 #: Fixed values of the contract.
@@ -53,21 +57,20 @@ def shuffle_key() -> Column:
 
 
 def targets(sizes: DataFrame) -> DataFrame:
-    """source, source_size, weight, target: one row for each source. All windows here run over sources only."""
-    by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    weight = F.element_at(F.array(*[F.lit(w) for w in WEIGHTS]), ((rank - 1) % len(WEIGHTS) + 1).cast("int")).cast("long")
+    """source, source_size, weight, target: one row for each source."""
+    by = staging.staged(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
+    by = running(by, [F.col("source").asc_nulls_last()], {"rank": F.lit(1).cast("long")})
+    weight = F.element_at(F.array(*[F.lit(w) for w in WEIGHTS]), (F.col("rank") % len(WEIGHTS) + 1).cast("int")).cast("long")
     by = by.withColumn("weight", weight).withColumn("cap", F.col("source_size") * REPEAT)
-    everything = Window.partitionBy()
-    by = by.withColumn("total", F.sum("source_size").over(everything)).withColumn("weights", F.sum("weight").over(everything))
-    # sources that reach their cap first come first; each is capped if the level that its predecessors leave is above it
     by = by.withColumn("ratio", F.col("cap") / F.col("weight"))
-    before = Window.orderBy("ratio", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    by = by.withColumn("gone", F.coalesce(F.sum("cap").over(before), F.lit(0))).withColumn("used", F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    level = (F.col("total") * SHARE_PERCENT / 100.0 - F.col("gone")) / (F.col("weights") - F.col("used"))
+    # sources that reach their cap first come first; each is capped if the level that its predecessors leave is above it
+    by = running(by, [F.col("ratio").asc(), F.col("rank").asc()], {"gone": F.col("cap"), "used": F.col("weight")})
+    whole = by.agg(F.sum("source_size").alias("total"), F.sum("weight").alias("weights")).first()
+    level = (F.lit(whole["total"] or 0) * SHARE_PERCENT / 100.0 - F.col("gone")) / (F.lit(whole["weights"] or 0) - F.col("used"))
     by = by.withColumn("level", level).withColumn("capped", F.col("ratio") <= F.col("level"))
-    free = F.min(F.when(~F.col("capped"), F.struct("ratio", "level"))).over(everything)["level"]
-    return by.select("source", "source_size", "weight", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("weight") * free).alias("target"))
+    free = by.where("not capped").agg(F.min(F.struct("ratio", "level")).alias("x")).first()["x"]
+    free = F.lit(free["level"] if free else 0.0)
+    return by.select("source", "rank", "source_size", "weight", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("weight") * free).alias("target"))
 
 
 def van_der_corput(t: Column, bits: int = BITS) -> Column:
@@ -84,11 +87,13 @@ def schedule(goals: DataFrame, block: int, slots: int) -> DataFrame:
     Cumulative shares are cut into BINS; slots find their source by an equi-join on the bin.
     """
     spark = goals.sparkSession
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    upto = F.sum("target").over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("target").over(Window.partitionBy())
-    parts = goals.where("target > 0").withColumn("upto", upto)
-    parts = parts.withColumn("from", F.coalesce(F.lag("upto").over(order), F.lit(0.0))).withColumn("last", F.lead("upto").over(order).isNull())
-    parts = parts.withColumn("to", F.when(F.col("last"), F.lit(2.0)).otherwise(F.col("upto")))
+    total = goals.agg(F.sum("target")).first()[0] or 0.0
+    some = goals.where("target > 0")
+    last = some.agg(F.max("rank")).first()[0]
+    parts = running(some, [F.col("rank").asc()], {"below": F.col("target")}).withColumn("from", F.col("below") / F.lit(total or 1.0))
+    upto = (F.col("below") + F.col("target")) / F.lit(total or 1.0)
+    # neighbours meet where the next one begins, as it computes that
+    parts = parts.withColumn("to", F.when(F.col("rank") == F.lit(last), F.lit(2.0)).otherwise(upto))
     bins = parts.withColumn("bin", F.explode(F.sequence(F.floor(F.col("from") * BINS).cast("int"), F.least(F.floor(F.col("to") * BINS), F.lit(BINS - 1)).cast("int"))))
     points = spark.range(slots).select(F.col("id").alias("slot"), van_der_corput(F.col("id")).alias("u"))
     points = points.withColumn("bin", F.floor(F.col("u") * BINS).cast("int"))
@@ -120,8 +125,9 @@ def positions(sizes: DataFrame) -> DataFrame:
     return at.select("doc_id", "source", "size", "key", (F.col("base") + F.col("inner")).alias("at"))
 
 
-def mix(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, source, key, size, source_size, target, taken: how many words of each row the mix takes, repeats counted."""
+def _planned(docs: DataFrame, slots: int) -> tuple[DataFrame, DataFrame]:
+    """All rows with their place in the stream of their source, and (s, at, rank, slot, low, high): the parts of rows with
+    words that blocks take, as words of the endless stream."""
     sizes = staging.staged(sized(docs), "mix-sizes")
     goals = staging.staged(targets(sizes), "mix-targets")
     total = goals.agg(F.sum("target")).first()[0] or 0.0
@@ -129,17 +135,31 @@ def mix(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     plan = schedule(goals, block, int(total) // block + 1)
     whole = goals.select(F.struct("source").alias("s"), "source_size", "target")
     rows = positions(sizes).withColumn("s", F.struct("source")).join(F.broadcast(whole) if goals.count() < 10_000 else whole, "s")
-    # a struct, as null ids and sources are equal in it
-    same = F.struct("s", "doc_id", "key")
-    # each pass of a document over the blocks that it lies in
-    passes = rows.where("size > 0").select("s", "doc_id", "key", "size", F.explode(F.transform(F.array(*[F.lit(i) for i in range(REPEAT)]), lambda p: F.col("at") + p * F.col("source_size"))).alias("low"))
-    passes = passes.select("s", "doc_id", "key", "low", (F.col("low") + F.col("size")).alias("high"))
+    # each pass of a document over the blocks that it lies in; `at` tells rows with words of a source apart
+    passes = rows.where("size > 0").select("s", "at", "size", F.explode(F.transform(F.array(*[F.lit(i) for i in range(REPEAT)]), lambda p: F.col("at") + p * F.col("source_size"))).alias("low"))
+    passes = passes.select("s", "at", "low", (F.col("low") + F.col("size")).alias("high"))
     pieces = passes.withColumn("rank", F.explode(F.sequence(F.floor(F.col("low") / block), F.floor((F.col("high") - 1) / block))))
-    slots_ = plan.select(F.struct("source").alias("s"), "rank", F.col("low").alias("a"), F.col("high").alias("b"))
-    hits = pieces.join(slots_, ["s", "rank"]).select(same.alias("row"), (F.least("high", "b") - F.greatest("low", "a")).alias("n")).where("n > 0")
-    taken = hits.groupBy("row").agg(F.sum("n").alias("n"))
-    # identical rows of a source have one key and share its words
-    twins = rows.groupBy(same.alias("row")).agg(F.count("*").alias("twins"))
-    amount = twins.join(taken, "row", "left").select("row", F.floor(F.coalesce("n", F.lit(0)) / F.col("twins")).alias("taken"))
-    out = rows.withColumn("row", same).join(amount, "row")
-    return out.select("doc_id", "source", "key", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
+    slots_ = plan.select(F.struct("source").alias("s"), "rank", "slot", F.col("low").alias("a"), F.col("high").alias("b"))
+    hits = pieces.join(slots_, ["s", "rank"]).select("s", "at", "rank", "slot", F.greatest("low", "a").alias("low"), F.least("high", "b").alias("high"))
+    return rows, hits.where("low < high")
+
+
+def mix(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """doc_id, source, key, size, source_size, target, taken (words of the row that the mix takes, repeats counted),
+    first_slot, last_slot (null, if only closing slots or none take any)."""
+    rows, hits = _planned(docs, slots)
+    taken = hits.groupBy("s", "at").agg(F.sum(F.col("high") - F.col("low")).alias("n"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"))
+    # rows without words share places with others
+    taken = taken.select("s", "at", F.lit(True).alias("some"), "n", "first_slot", "last_slot")
+    out = rows.withColumn("some", F.col("size") > 0).join(taken, ["s", "at", "some"], "left")
+    return out.select("doc_id", "source", "key", "size", "source_size", "target", F.coalesce("n", F.lit(0)).cast("long").alias("taken"), "first_slot", "last_slot")
+
+
+def mix_blocks(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """The mix itself: slot (null for closing slots, which come last), source, rank (the block's number in its source),
+    doc_id, key, pass (0: first reading), first and end (words of the document). In order of slot, rank and pass and first."""
+    rows, hits = _planned(docs, slots)
+    parts = hits.join(rows.where("size > 0").select("s", "at", "doc_id", "key", "source_size"), ["s", "at"])
+    again = F.floor(F.col("low") / F.col("source_size"))
+    begin = F.col("at") + again * F.col("source_size")
+    return parts.select("slot", F.col("s.source").alias("source"), "rank", "doc_id", "key", again.cast("int").alias("pass"), (F.col("low") - begin).alias("first"), (F.col("high") - begin).alias("end"))

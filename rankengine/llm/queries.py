@@ -58,7 +58,7 @@ def op8_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "first_slot", "last_slot")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +69,12 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_suffix_tree, op2_token_counts, op3_merkle_fixity, op4_toxic_segments, op5_language_id, op6_token_files, op7_quality_rules, op8_super_minhash, op9_mixing, op10_decontamination)}
 
 
+_OP3 = """
+    WITH p AS (SELECT page_id, html, coalesce(strlen(url), 0) + coalesce(strlen(html), 0) AS bytes FROM pages),
+    o AS (SELECT *, coalesce(sum(bytes) OVER (ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM p)
+    SELECT page_id, CASE WHEN page_id % 101 = 7 THEN 'missing' ELSE 'corrupt' END AS status, "offset", bytes::BIGINT AS bytes
+    FROM o WHERE page_id % 101 = 7 OR (page_id % 97 = 5 AND html IS NOT NULL)"""
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 
@@ -136,11 +142,22 @@ _OP9 = rf"""
     t AS (SELECT source, source_size, CASE WHEN ratio <= level THEN cap::DOUBLE ELSE weight * (SELECT level FROM free) END AS target FROM l),
     p AS (
         SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
-        FROM d)
-    SELECT doc_id, size, source_size, target,
-           (greatest(0, least(pos + size, floor(target)::BIGINT) - pos)
-            + greatest(0, least(source_size + pos + size, floor(target)::BIGINT) - source_size - pos))::BIGINT AS taken
-    FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source"""
+        FROM d),
+    size_ AS (SELECT greatest({mixing.LEAST_BLOCK}, floor(sum(target))::BIGINT // {mixing.SLOTS} + 1)::BIGINT AS block, sum(target) AS goal FROM t),
+    parts AS (SELECT source, lo, coalesce(lead(lo) OVER (ORDER BY source NULLS LAST), 2) AS hi FROM
+        (SELECT source, coalesce(sum(target) OVER (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / goal AS lo FROM t, size_ WHERE target > 0)),
+    points AS (SELECT slot, list_sum(list_transform(range(40), lambda i: ((slot >> i) & 1) * power(2.0::DOUBLE, -(i + 1)))) AS u FROM size_, unnest(range(floor(goal)::BIGINT // block + 1)) x(slot)),
+    ranked AS (SELECT source, slot, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS nth FROM points JOIN parts ON u >= lo AND u < hi),
+    goes AS (
+        SELECT p.source, pos, min(slot) AS first_slot, max(slot) AS last_slot
+        FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source, size_, (VALUES (0), (1)) again(n), ranked r
+        WHERE size > 0 AND r.source IS NOT DISTINCT FROM p.source AND nth * block < floor(target)
+          AND nth BETWEEN (pos + n * source_size) // block AND (pos + n * source_size + size - 1) // block AND pos + n * source_size < least((nth + 1) * block, floor(target))
+        GROUP BY ALL)
+    SELECT doc_id, size, t.source_size, target, first_slot, last_slot,
+           (greatest(0, least(p.pos + size, floor(target)::BIGINT) - p.pos)
+            + greatest(0, least(t.source_size + p.pos + size, floor(target)::BIGINT) - t.source_size - p.pos))::BIGINT AS taken
+    FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source LEFT JOIN goes g ON g.source IS NOT DISTINCT FROM p.source AND g.pos = p.pos AND p.size > 0"""
 
 _OP10 = rf"""
     WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -160,4 +177,4 @@ _OP10 = rf"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_merkle_fixity": "SELECT page_id, CASE WHEN page_id % 101 = 7 THEN 'missing' ELSE 'corrupt' END AS status FROM pages WHERE page_id % 101 = 7 OR (page_id % 97 = 5 AND html IS NOT NULL)", "op7_quality_rules": _op7_sql(), "op8_super_minhash": _OP8, "op9_mixing": _OP9, "op10_decontamination": _OP10}
+    return {"op3_merkle_fixity": _OP3, "op7_quality_rules": _op7_sql(), "op8_super_minhash": _OP8, "op9_mixing": _OP9, "op10_decontamination": _OP10}

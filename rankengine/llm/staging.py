@@ -1,36 +1,13 @@
-"""Tables that cut lineage, kept in the folder that driver and executors share."""
+"""What the text operators share: staged tables, the document table, the division into learning and held-out rows."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (tests), a temporary folder of this session."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="rankengine-")
-    return _own[app]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
+from ..operators.storage import mark, new_path, release, shared_dir, staged
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes `df` to the shared folder and returns the written table. A lost executor costs no recomputation."""
-    path = new_path(df.sparkSession, name)
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+__all__ = ["documents", "mark", "new_path", "release", "remainder", "shared_dir", "staged", "text_bytes"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,14 @@
 """Token-id files: documents compressed one by one with a shared zstandard dictionary, and an offset index beside them.
 
-A written set has two Parquet tables that any store can hold: `dictionary` (one row: hash, bytes) and `shards` (rows of
-at most SHARD_BYTES of payload: part, row, dictionary hash, keys, offsets into the payload, token counts, payload). Ids
-are little-endian unsigned integers of `width` bytes. A document is read by cutting its range out of one payload.
-
-Null texts count as empty and hold the end id alone. Repeated keys stay apart, in no fixed order. Extra columns are
-dropped. An empty table gives an empty set with an untrained (empty) dictionary.
+A written set has two Parquet tables that any store can hold: `dictionary` (one row: hash, bytes, width of an id in
+bytes) and `shards` (rows of at most SHARD_BYTES of payload, or one document: part, row, dictionary hash, keys, offsets
+into the payload, token counts, payload). Ids are little-endian unsigned integers of that width; readers take it from the
+files, and a width that can't hold the tokenizer's ids is refused. A document is read by cutting its range out of one
+payload.
+
+Null texts count as empty and hold the end id alone. Keys are integers. Repeated keys stay apart, in no fixed order; null
+keys come first. Extra columns are dropped, texts of any length are encoded whole. An empty table gives an empty set with
+an untrained (empty) dictionary.
 """
 
 from __future__ import annotations
@@ -140,19 +143,19 @@ def _trainer(path: str, end_id: int, width: int, cache: int) -> Callable:
                 data = zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
             except zstandard.ZstdError:  # too uniform to train on
                 data = b""
-        yield pa.RecordBatch.from_pydict({"hash": [dictionary_hash(data)], "data": [data]}, pa.schema([("hash", pa.string()), ("data", pa.binary())]))
+        yield pa.RecordBatch.from_pydict({"hash": [dictionary_hash(data)], "data": [data], "width": [width]}, pa.schema([("hash", pa.string()), ("data", pa.binary()), ("width", pa.int32())]))
 
     return train
 
 
 def train_dictionary(docs: DataFrame, path: str, end_id: int, width: int, cache: int = _CACHE) -> DataFrame:
-    """One row (hash, data), from the SAMPLE_DOCS documents whose key hashes lowest among about four times as many, which
+    """One row (hash, data, width), from the SAMPLE_DOCS documents whose key hashes lowest among about four times as many, which
     a threshold on other bits of the hash leaves, so that no task sees more than a few samples."""
     order = F.xxhash64("doc_id", "text")
     share = min(1.0, 4 * SAMPLE_DOCS / max(docs.count(), 1))
     near = docs.where(F.pmod(order, F.lit(1 << 30)) < F.lit(share * (1 << 30)))
     sample = near.select("doc_id", F.substring("text", 1, SAMPLE_BYTES).alias("text")).orderBy(order).limit(SAMPLE_DOCS)
-    return sample.coalesce(1).mapInArrow(_trainer(path, end_id, width, cache), "hash string, data binary")
+    return sample.coalesce(1).mapInArrow(_trainer(path, end_id, width, cache), "hash string, data binary, width int")
 
 
 _SHARD = "part int, row int, dictionary string, doc_ids array<bigint>, offsets array<bigint>, counts array<bigint>, payload binary"
@@ -199,6 +202,8 @@ def write_token_files(docs: DataFrame, out: str, path: str, end_id: int = 2, wid
     """Writes ids of `docs` (doc_id, text) under `out` in ascending doc_id order, parts by range. Texts are encoded about
     `piece_bytes` at a time, with `cache` chunks in a generation of the cache (smaller: less memory, more time). Returns `out`."""
     spark = docs.sparkSession
+    if max(_tokenizer(path).get_vocab_size() - 1, end_id) >> 8 * width:
+        raise ValueError(f"ids of {path} don't fit into {width} bytes")
     docs = docs.select("doc_id", "text")
     train_dictionary(docs, path, end_id, width, cache).write.parquet(f"{out}/dictionary")
     dictionary = bytes(spark.read.parquet(f"{out}/dictionary").first()["data"])
@@ -239,26 +244,27 @@ def _id_rows(row: dict, docs: Iterator[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array([x.astype(np.int64) for x in docs], pa.list_(pa.int64()))], ["doc_id", "ids"])
 
 
-def _opened(spark: SparkSession, out: str) -> tuple[DataFrame, bytes]:
-    return spark.read.schema(_SHARD).parquet(f"{out}/shards"), bytes(spark.read.parquet(f"{out}/dictionary").first()["data"])
+def _opened(spark: SparkSession, out: str) -> tuple[DataFrame, bytes, int]:
+    known = spark.read.parquet(f"{out}/dictionary").first()
+    return spark.read.schema(_SHARD).parquet(f"{out}/shards"), bytes(known["data"]), known["width"]
 
 
-def read_ids(spark: SparkSession, out: str, doc_ids: list[int] | None = None, width: int = 2) -> DataFrame:
+def read_ids(spark: SparkSession, out: str, doc_ids: list[int] | None = None) -> DataFrame:
     """(doc_id, ids) of all documents, or of those named: only shards whose index has one of them are opened."""
-    shards, dictionary = _opened(spark, out)
+    shards, dictionary, width = _opened(spark, out)
     if doc_ids is not None:
         shards = shards.where(F.arrays_overlap("doc_ids", F.array(*[F.lit(int(x)) for x in doc_ids])))
     rows = shards.mapInArrow(_reader(width, dictionary, _id_rows), "doc_id bigint, ids array<bigint>")
     return rows if doc_ids is None else rows.where(F.col("doc_id").isin([int(x) for x in doc_ids]))
 
 
-def read_digests(spark: SparkSession, out: str, width: int = 2) -> DataFrame:
+def read_digests(spark: SparkSession, out: str) -> DataFrame:
     """Per document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
 
     Starts add three sums: inside a shard, over the shards of a part, and over parts. Only the last one, a row for each
     part, runs in one task.
     """
-    shards, dictionary = _opened(spark, out)
+    shards, dictionary, width = _opened(spark, out)
     sizes = shards.select("part", "row", F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x).alias("n"))
     parts = sizes.groupBy("part").agg(F.sum("n").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

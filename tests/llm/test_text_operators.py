@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -60,6 +61,10 @@ def test_token_counts_and_files(spark, docs, nothing):
         assert (digests[i * 3].start, digests[i * 3].n_tokens, digests[i * 3].ids_crc32) == (start, len(whole), zlib.crc32(whole.tobytes()))
         start += len(whole)
     assert token_files.read_ids(spark, out, [9]).first().ids == [*ids[3], 2]
+    wide = token_files.write_token_files(docs.limit(4), new_path(spark, "test"), path, width=4)
+    assert token_files.read_ids(spark, wide, [9]).first().ids == [*ids[3], 2]
+    with pytest.raises(ValueError, match="fit"):
+        token_files.write_token_files(docs, new_path(spark, "test"), path, width=1)
     empty = token_files.write_token_files(nothing, new_path(spark, "test"), path)
     assert token_files.read_digests(spark, empty).count() == 0 and token_counts.token_counts(nothing, path).count() == 0
 
@@ -123,9 +128,34 @@ def test_language_id_held_out(spark, docs, nothing):
     assert language_id.identify(docs, untaught).where("lang_pred <> 'und'").count() == 0
 
 
+def _maximal(weights):
+    """Maximal scoring segments by definition: the best segment, then the same left and right of it."""
+    best = max(((sum(weights[i:j]), -i, -j) for i in range(len(weights)) for j in range(i + 1, len(weights) + 1)), default=(0, 0, 0))
+    if best[0] <= 0:
+        return []
+    i, j = -best[1], -best[2]
+    return _maximal(weights[:i]) + [(i, j - 1, best[0])] + [(a + j, b + j, s) for a, b, s in _maximal(weights[j:])]
+
+
 def test_segments_are_maximal():
-    found = toxicity.segments(np.array([4.0, 3.0, 5.0]), np.array([0, 2, 40]), 1.0)
-    assert found == [(0, 2, 6.0), (40, 40, 5.0)]
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        weights = rng.choice([-3, -2, -1, 1, 2, 5], rng.integers(0, 25), p=[0.2, 0.2, 0.2, 0.2, 0.1, 0.1]) + rng.normal(0, 0.01, 1)
+        weights = weights + rng.normal(0, 0.01, len(weights))  # no ties
+        total, places = np.cumsum(weights), np.flatnonzero(weights > 0)
+        found = toxicity.segments(places, (total - weights)[places], total[places])
+        want = _maximal(weights.tolist())
+        assert [x[:2] for x in found] == [x[:2] for x in want] and np.allclose([x[2] for x in found], [x[2] for x in want])
+
+
+def test_long_pieces_and_sparse_words_take_linear_time():
+    began = time.time()
+    n = 100_000
+    falling = np.cumsum(np.full(n, -13.0))
+    assert len(toxicity.segments(np.arange(n) * 100, falling - 2, falling)) == n
+    text = "abcdefghij" * 100_000
+    assert token_counts.count_tokens([text], tokenizer_path())[0] > 100_000
+    assert time.time() - began < 30
 
 
 def test_toxicity(spark, docs, nothing):

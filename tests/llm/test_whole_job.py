@@ -124,3 +124,33 @@ def test_decontamination_of_rows_that_share_ids(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "BITS_EACH", 0)
     monkeypatch.setattr(decontamination, "LEAST_BITS", 3)
     assert found() == want
+
+
+def test_mixed_blocks_follow_the_schedule(spark):
+    sizes = {"a": 5000, "b": 3000, "c": 2000, None: 1500}
+    texts = [(i, " ".join(f"w{j % 7}" for j in range(20 + i % 13)), src) for k, (src, n) in enumerate(sizes.items()) for i in range(k * 1000, k * 1000 + n // 25)]
+    docs = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in texts] + [(None, "same words here", "en", "a", 0)] * 3, SCHEMA)
+    blocks = mixing.mix_blocks(docs).collect()
+    by = {(r.doc_id, r.source): [r.target, r.size, r.taken, r.first_slot, r.last_slot] for r in mixing.mix(docs).collect() if r.doc_id is not None}
+    given, seen = Counter(), {}
+    for b in blocks:
+        given[b.doc_id, b.source] += b.end - b.first
+        if b.slot is not None:
+            seen.setdefault((b.doc_id, b.source), []).append(b.slot)
+    for k, (_, size, taken, first, last) in by.items():
+        assert given[k] == taken <= 2 * size and (first, last) == ((min(seen[k]), max(seen[k])) if k in seen else (None, None))
+    targets = {k[1]: v[0] for k, v in by.items()}
+    whole = sum(targets.values())
+    owner = {b.slot: b.source for b in blocks if b.slot is not None}
+    assert len(owner) > 900 and set(owner) == set(range(len(owner)))
+    # the slots of a source up to any time are near its share: van der Corput points have a discrepancy of log2(n) + 1 at most
+    for source, target in targets.items():
+        n = 0
+        for slot in range(len(owner)):
+            n += owner[slot] == source
+            assert abs(n - (slot + 1) * target / whole) <= 2 * (np.log2(slot + 1) + 1)
+        ranks = [b.rank for b in sorted((b for b in blocks if b.source == source and b.slot is not None), key=lambda b: (b.slot, b.rank))]
+        assert ranks == sorted(ranks)
+    # three equal rows share what the mix takes of them, none loses a remainder
+    total = sum(r.taken for r in mixing.mix(docs).where("source = 'a'").collect())
+    assert total == int(targets["a"])
