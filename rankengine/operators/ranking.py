@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Values sampled for the ranges of a global numbering, and ranges.
-SAMPLE = 4000
-RANGES = 64
+from .storage import staged
+
+#: Rows that a range of a global numbering holds about.
+RANGE_ROWS = 1 << 19
 
 
 def latest_per_key(df: DataFrame, key: str | list[str], order: str = "seen_at") -> DataFrame:
@@ -24,32 +25,42 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def global_row_number(df: DataFrame, lead: str, order: list[Column], out: str, descending: bool = False) -> DataFrame:
-    """Numbers all rows from 1 in `order`, whose first key is `lead`.
+def _ranges(df: DataFrame, rows: int | None) -> int:
+    return max(1, (df.count() if rows is None else rows) // RANGE_ROWS + 1)
+
+
+def global_row_number(df: DataFrame, order: list[Column], out: str, rows: int | None = None) -> DataFrame:
+    """Numbers all rows from 1 in `order`; `rows`: about how many there are, counted if not given.
 
-    Ranges of `lead` are cut at values of a sample. A row's number is the rows of earlier ranges plus its number in its
-    range; where the cuts fall changes the balance, never the result. Null leads come last.
+    Rows are dealt to sorted ranges by the whole order, as many as the rows need, and written once with their place in
+    the range; the rows of earlier ranges come on top. Where the cuts fall changes the balance, never the result.
     """
-    n = df.count()
-    values = [r[0] for r in df.select(lead).where(F.col(lead).isNotNull()).sample(fraction=min(1.0, SAMPLE / max(n, 1)), seed=7).collect()] if n > SAMPLE else []
-    values.sort()
-    cuts = sorted({values[len(values) * i // RANGES] for i in range(1, RANGES)}) if values else []
-    part = F.lit(0)
-    for c in cuts:
-        part = part + (F.col(lead) >= F.lit(c)).cast("int")
-    part = F.coalesce(-part if descending else part, F.lit(len(cuts) + 1))
-    ranged = df.withColumn("_range", part)
-    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_size"))
+    place = F.monotonically_increasing_id()  # the range in the upper bits, the place in it in the lower 33
+    ranged = staged(df.repartitionByRange(_ranges(df, rows), *order).sortWithinPartitions(*order).withColumn("_place", place), "numbered")
+    at = F.shiftright("_place", 33).alias("_range")
+    sizes = ranged.groupBy(at).agg(F.count("*").alias("_size"))
     before = F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("_range", before.alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return ranged.withColumn("_inside", inside).join(F.broadcast(offsets), "_range").withColumn(out, (F.col("_before") + F.col("_inside")).cast("long")).drop("_range", "_inside", "_before")
+    offsets = F.broadcast(sizes.select("_range", before.alias("_before")))  # a row for each RANGE_ROWS rows
+    numbered = ranged.withColumn("_range", at).join(offsets, "_range")
+    inside = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    return numbered.withColumn(out, F.col("_before") + inside + 1).select(*df.columns, out)
+
+
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Adds, for each of `sums`, its total over all rows before this one in `order`; over ranges, as above."""
+    named = df.withColumns({f"_{name}": c for name, c in sums.items()})
+    ranged = staged(named.repartitionByRange(_ranges(df, None), *order).withColumn("_range", F.spark_partition_id()), "running")
+    totals = ranged.groupBy("_range").agg(*[F.sum(f"_{name}").alias(f"_all_{name}") for name in sums])
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = F.broadcast(totals.select("_range", *[F.sum(f"_all_{name}").over(earlier).alias(f"_all_{name}") for name in sums]))
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = ranged.select(*df.columns, "_range", *[F.sum(f"_{name}").over(inside).alias(f"_{name}") for name in sums]).join(offsets, "_range")
+    return rows.select(*df.columns, *[(F.coalesce(f"_all_{name}", F.lit(0)) + F.coalesce(f"_{name}", F.lit(0))).alias(name) for name in sums])
 
 
 def dense_ids(df: DataFrame, name: str, out: str) -> DataFrame:
     """Adds the dense rank of `name` among all its values."""
-    names = global_row_number(df.select(name).distinct(), name, [F.col(name).asc()], out)
-    return df.join(names, name)
+    return df.join(global_row_number(df.select(name).distinct(), [F.col(name).asc()], out), name)
 
 
 def top_n(df: DataFrame, order: list[Column], n: int, out: str = "Rank") -> DataFrame:

@@ -43,11 +43,8 @@ def subcategory_text(runs: DataFrame, values: DataFrame) -> DataFrame:
 
 
 def with_subcategories(runs: DataFrame, values: DataFrame) -> DataFrame:
-    """Adds subcat_text (null for none) without a shuffle of runs: the values are one small map."""
-    names = values.agg(F.map_from_entries(F.collect_list(F.struct("id", "name"))).alias("_names"))
-    found = F.filter(F.transform("value_ids", lambda v: F.element_at("_names", v)), lambda x: x.isNotNull())
-    text = F.when(F.size(found) > 0, F.array_join(found, ", "))
-    return runs.crossJoin(F.broadcast(names)).withColumn("subcat_text", text).drop("_names")
+    """Adds subcat_text (null for none). Runs come partitioned by run_id out of `completed_runs`, which serves the join."""
+    return runs.join(subcategory_text(runs, values), "run_id", "left")
 
 
 def chosen_time(timer: Column) -> tuple[Column, Column]:

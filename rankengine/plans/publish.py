@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import datetime
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.ranking import global_row_number, latest_per_key
-from . import normalize, score
+from ..operators.ranking import dense_ids, global_row_number, latest_per_key
+from ..operators.storage import staged
+from . import normalize, quality, score
 
 Tables = dict[str, DataFrame]
 SCHEMA_VERSION = 1
@@ -29,9 +30,8 @@ def player_points(runs: DataFrame, decay: float = DECAY, floor: float = FLOOR) -
 
 def player_ranks(runs: DataFrame) -> DataFrame:
     # sums of doubles depend on their order, so ranks go by rounded points
-    points = player_points(runs).withColumn("lead", F.round("points", 6)).persist(StorageLevel.MEMORY_AND_DISK)
-    order = [F.col("lead").desc(), F.col("player").asc(), F.col("player_id").asc()]
-    ranked = global_row_number(points, "lead", order, "rank", descending=True)
+    order = [F.round("points", 6).desc(), F.col("player").asc(), F.col("player_id").asc()]
+    ranked = global_row_number(player_points(runs), order, "rank", rows=runs.count())
     return ranked.select(F.col("rank").cast("int").alias("rank"), "player_id", "player", "country", "flag", "points")
 
 
@@ -61,29 +61,47 @@ def meta(tables: Tables, scored: DataFrame, data_version: str, scraped_at: str,
 
 
 def published_runs(raw: Tables, scored: DataFrame | None = None) -> DataFrame:
+    """Written twice: without ids, from which the boards are numbered, and with them."""
     scored = normalize.scored_input(raw) if scored is None else scored
     valued = score.value_boards(scored)
     runs = score.credit_runs(valued, normalize.players_dim(raw), latest_per_key(raw["raw_games"], "id"), latest_per_key(raw["raw_platforms"], "id"), raw["excluded_players"], ids=False)
-    runs = runs.persist(StorageLevel.MEMORY_AND_DISK)  # numbering reads them twice
-    return score.dense_ids(runs, "leaderboard", "leaderboard_id").withColumn("leaderboard_id", F.col("leaderboard_id").cast("int"))
+    runs = staged(runs, "credits")
+    return dense_ids(runs, "leaderboard", "leaderboard_id").withColumn("leaderboard_id", F.col("leaderboard_id").cast("int"))
 
 
 def publish(raw: Tables, data_version: str = "v1", scraped_at: str = "2024-01-08 00:00:00") -> Tables:
-    """All published tables, lazily; runs are kept, since every other table reads them."""
-    scored = normalize.scored_input(raw).persist(StorageLevel.MEMORY_AND_DISK)
-    runs = published_runs(raw, scored).persist(StorageLevel.MEMORY_AND_DISK)
+    """All published tables. scored_input and runs, which others read, are written once to shared storage."""
+    scored = staged(normalize.scored_input(raw), "scored")
+    runs = staged(published_runs(raw, scored), "runs")
     tables = {"runs": runs, "player_ranks": player_ranks(runs), **dimensions(raw, runs)}
     return tables | {"meta": meta(tables, scored, data_version, scraped_at, raw["crawl_checkpoint"].where("status = 'error'"))}
 
 
+def publish_checked(tables: Tables, root: str, version: str, excluded: list[str], smoke_game: str, min_leaderboards: int = quality.MIN_LEADERBOARDS) -> DataFrame:
+    """The gates against the newest snapshot under `root`, if there is one; the new one is written only if all pass.
+    Returns the gates' rows."""
+    try:
+        previous = read_snapshot(tables["runs"].sparkSession, root)
+    except LookupError:
+        previous = None
+    gates = staged(quality.run_gates(tables, previous, excluded, smoke_game, min_leaderboards), "gates")
+    if not gates.where("not ok").limit(1).count():
+        write_snapshot(tables, root, version)
+    return gates
+
+
 def write_snapshot(tables: Tables, root: str, version: str) -> None:
     """Each table as zstd Parquet under <root>/version=<version>/<table>; runs clustered by game, meta last."""
-    for name in sorted(tables, key=lambda n: n == "meta"):
+    def write(name: str) -> None:
         df = tables[name]
         if name == "runs":
             df = df.repartitionByRange(F.col("game_id")).sortWithinPartitions("game_id", "leaderboard_id", "place")
         df.write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/version={version}/{name}")
 
+    with ThreadPoolExecutor(4) as pool:  # most tables are small jobs
+        list(pool.map(write, [n for n in tables if n != "meta"]))
+    write("meta")
+
 
 def read_snapshot(spark: SparkSession, root: str, version: str | None = None) -> Tables:
     """The tables of `version`, or of the greatest version with a meta table. No such version: LookupError."""

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.coercion import as_epoch, as_int, as_seconds, stripped
+from ..operators.ranking import global_row_number
 
 Tables = dict[str, DataFrame]
 
@@ -26,10 +27,11 @@ def _flag(x: Column) -> Column:
     return F.coalesce(x, F.lit(False))
 
 
-def load_document(spark: SparkSession, path: str, schemas: dict[str, str]) -> Tables:
-    """One JSON document {table: [row, ...]}: a frame for each table of `schemas` (name -> DDL), empty if absent."""
+def load_document(spark: SparkSession, path: str, schemas: dict[str, str], lines: bool = False) -> Tables:
+    """JSON documents {table: [row, ...]}, one a file or, with `lines`, one a line: a frame for each table of `schemas`
+    (name -> DDL), empty if absent."""
     whole = ", ".join(f"{name} array<struct<{ddl}>>" for name, ddl in schemas.items())
-    doc = spark.read.schema(whole).json(path, multiLine=True)
+    doc = spark.read.schema(whole).json(path, multiLine=not lines)
     return {name: doc.select(F.inline(name)) for name in schemas}
 
 
@@ -69,16 +71,10 @@ def parse_page_payloads(payloads: DataFrame) -> Tables:
     return {"raw_runs": raw_runs, "raw_players": players}
 
 
-def with_ord(runs: DataFrame, start: int | Column = 0) -> DataFrame:
+def with_ord(runs: DataFrame, start: int = 0) -> DataFrame:
     """Turns (batch, page, pos) into `ord`, from `start` on: rows of earlier pages, then the place in the page."""
-    pages = runs.groupBy("batch", "page").agg(F.count("*").alias("n"))
-    batches = pages.groupBy("batch").agg(F.sum("n").alias("n"))
-    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    batches = batches.select("batch", before(Window.orderBy("batch")).alias("b"))
-    pages = pages.select("batch", "page", before(Window.partitionBy("batch").orderBy("page")).alias("a")).join(batches, "batch")
-    place = F.row_number().over(Window.partitionBy("batch", "page").orderBy("pos")) - 1
-    start = F.lit(start) if isinstance(start, int) else start
-    return runs.withColumn("i", place).join(pages, ["batch", "page"]).withColumn("ord", (start + F.col("b") + F.col("a") + F.col("i")).cast("long")).drop("i", "a", "b", "batch", "pos")
+    rows = global_row_number(runs, [F.col(c).asc() for c in ("batch", "page", "pos")], "n")
+    return rows.withColumn("ord", F.col("n") + (start - 1)).drop("n", "batch", "pos")
 
 
 def next_ord(runs: DataFrame) -> DataFrame:
@@ -120,6 +116,6 @@ def without_partial(runs: DataFrame, checkpoint: DataFrame, retry_errors_only: b
     return runs.join(checkpoint.where("status = 'done'").select("game_id"), "game_id", "left_semi")
 
 
-def included(categories: DataFrame, excluded: list[str]) -> DataFrame:
-    """Categories that aren't left out at ingest."""
-    return categories.where(~F.col("id").isin(excluded)) if excluded else categories
+def included(df: DataFrame, excluded: list[str], column: str = "id") -> DataFrame:
+    """Rows (categories, or runs by their category) that aren't left out at ingest; null is never left out."""
+    return df.where(F.coalesce(~F.col(column).isin(excluded), F.lit(True))) if excluded else df

@@ -26,7 +26,7 @@ def raw_tables(spark: SparkSession, sf_dir: str, ordered: bool = True) -> dict[s
     """Name -> raw table. Without `ordered`, raw_runs has no ord."""
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     n_games = max(20, read("part").count() // 20)
-    games = spark.range(n_games).select(F.col("id").alias("k"), F.concat(F.lit("g"), "id").alias("id"))
+    games = read("part").select((F.col("p_partkey") % n_games).alias("k")).distinct().select("k", F.concat(F.lit("g"), "k").alias("id"))
     return {
         "raw_runs": _runs(read("lineitem"), read("orders"), n_games, ordered),
         "raw_games": _games(games),
@@ -36,7 +36,7 @@ def raw_tables(spark: SparkSession, sf_dir: str, ordered: bool = True) -> dict[s
         "raw_values": spark.createDataFrame([("vF", "status", None, "Final"), ("vO", "status", None, "Open"), *[(f"n{i}", "number", None, str(i)) for i in range(1, 8)]], "id string, variable_id string, game_id string, name string").withColumn("seen_at", _at(NEW)),
         "raw_series": spark.createDataFrame([(f"{c}{i}", f"Series {c.upper()}{i}", f"{c}-{i}") for c, n in (("s", 7), ("t", 4)) for i in range(n)] + [("none", "Series without games", "none")], "id string, name string, url string").withColumn("seen_at", _at(NEW)),
         "raw_game_series": _game_series(games),
-        "raw_platforms": spark.createDataFrame([("1-URGENT", "Urgent", "urgent"), ("2-HIGH", "High", "high"), ("3-MEDIUM", "Medium", "medium"), ("4-NOT SPECIFIED", "Not specified", "na"), ("6-NONE", "Unused", "unused")], "id string, name string, url string").withColumn("seen_at", _at(NEW)),
+        "raw_platforms": _platforms(read("orders")),
         "raw_areas": _areas(read("region"), read("nation"), read("customer")),
         "raw_colors": spark.createDataFrame([("c0", "Red", "#f00", "#a00"), ("c1", "Green", "#0f0", "#0a0"), ("c2", "Blue", "#00f", "#00a")], "id string, name string, dark string, light string").withColumn("seen_at", _at(NEW)),
         "raw_players": _players(read("customer"), read("supplier"), read("nation")),
@@ -49,7 +49,7 @@ def raw_tables(spark: SparkSession, sf_dir: str, ordered: bool = True) -> dict[s
 def _runs(lineitem: DataFrame, orders: DataFrame, n_games: int, ordered: bool) -> DataFrame:
     rows = lineitem
     if ordered:
-        rows = global_row_number(rows, "l_orderkey", [F.col(c).asc() for c in FULL_ROW], "_ord").withColumn("ord", F.col("_ord") - 1)
+        rows = global_row_number(rows, [F.col(c).asc() for c in FULL_ROW], "_ord").withColumn("ord", F.col("_ord") - 1)
     rows = rows.join(orders.select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
     game = F.concat(F.lit("g"), F.col("l_partkey") % n_games)
     key = F.col("l_suppkey").cast("string")
@@ -79,6 +79,13 @@ def _games(games: DataFrame) -> DataFrame:
     return rows.select("id", F.concat(F.when(old, "Old game ").otherwise("Game "), "k").alias("name"), F.concat(F.lit("game"), "k").alias("url"), (F.col("k") % 3).cast("tinyint").alias("default_timer"), F.when(old, _at(OLD)).otherwise(_at(NEW)).alias("seen_at"))
 
 
+def _platforms(orders: DataFrame) -> DataFrame:
+    """The order priorities; no run is on the fifth."""
+    text = F.lower(F.substring(F.col("o_orderpriority"), 3, 1 << 30))
+    rows = orders.select(F.col("o_orderpriority").alias("id"), text.alias("t")).distinct()
+    return rows.select("id", F.concat(F.upper(F.substring("t", 1, 1)), F.substring(F.col("t"), 2, 1 << 30)).alias("name"), F.replace("t", F.lit(" "), F.lit("-")).alias("url"), _at(NEW).alias("seen_at"))
+
+
 def _game_series(games: DataFrame) -> DataFrame:
     rows = games.select("k", F.col("id").alias("game_id"), F.explode(F.array(F.concat(F.lit("s"), F.col("k") % 7), F.concat(F.lit("t"), F.col("k") % 4))).alias("series_id"))
     again = rows.where(F.col("k") % 5 == 0)
@@ -90,17 +97,17 @@ def _areas(region: DataFrame, nation: DataFrame, customer: DataFrame) -> DataFra
     regions = regions.withColumns({"full_name": F.col("name"), "lb_flag": F.col("id")})
     nations = nation.select(F.concat(F.lit("r"), "n_regionkey", F.lit("/n"), "n_nationkey").alias("id"), F.regexp_replace("n_name", "NATION_", "Nation ").alias("name"), F.concat(F.lit("r"), "n_regionkey").alias("parent_id"))
     nations = nations.withColumns({"full_name": F.col("name"), "lb_flag": F.col("id")})
-    segments = nations.crossJoin(F.broadcast(customer.select("c_mktsegment").distinct()))
+    segments = nations.crossJoin(customer.select("c_mktsegment").distinct())
     segments = segments.select(F.concat_ws("/", "id", "c_mktsegment").alias("id"), _capital("c_mktsegment").alias("name"), F.col("id").alias("parent_id"), F.concat_ws(", ", _capital("c_mktsegment"), "name").alias("full_name"), "lb_flag")
     return regions.unionByName(nations).unionByName(segments).select("id", "name", "full_name", F.col("name").alias("lb_name"), "lb_flag", "parent_id", _at(NEW).alias("seen_at"))
 
 
 def _players(customer: DataFrame, supplier: DataFrame, nation: DataFrame) -> DataFrame:
     where = nation.select("n_nationkey", F.concat(F.lit("r"), "n_regionkey", F.lit("/n"), "n_nationkey").alias("area"))
-    people = customer.join(F.broadcast(where), F.col("c_nationkey") == F.col("n_nationkey"))
+    people = customer.join(where, F.col("c_nationkey") == F.col("n_nationkey"))
     area = F.when(F.col("c_custkey") % 11 != 0, F.when(F.col("c_custkey") % 2 == 0, F.col("area")).otherwise(F.concat_ws("/", "area", "c_mktsegment")))
     one = people.select(F.concat(F.lit("C"), "c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_custkey").alias("key"), area.alias("area_id"))
-    firms = supplier.join(F.broadcast(where), F.col("s_nationkey") == F.col("n_nationkey"))
+    firms = supplier.join(where, F.col("s_nationkey") == F.col("n_nationkey"))
     text = F.col("s_suppkey").cast("string")
     name = F.concat(F.lit("S"), F.when(F.col("s_suppkey") % 10 == 0, F.lpad(text, 37, "0")).otherwise(F.lpad(text, 7, "0")))
     two = firms.select(name.alias("id"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("key"), F.col("area").alias("area_id"))
