@@ -206,7 +206,10 @@ def write_token_files(docs: DataFrame, out: str, path: str, end_id: int = 2, wid
         raise ValueError(f"ids of {path} don't fit into {width} bytes")
     docs = docs.select("doc_id", "text")
     train_dictionary(docs, path, end_id, width, cache).write.parquet(f"{out}/dictionary")
-    dictionary = bytes(spark.read.parquet(f"{out}/dictionary").first()["data"])
+    known = spark.read.parquet(f"{out}/dictionary").first()
+    if known is None:  # no task has run, as the plan knows that there are no documents
+        spark.createDataFrame([(dictionary_hash(b""), b"", width)], "hash string, data binary, width int").write.mode("append").parquet(f"{out}/dictionary")
+    dictionary = bytes(known["data"]) if known else b""
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), staging.text_bytes(docs) // part_bytes + 1)
     ordered = docs.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     ordered.mapInArrow(_writer(path, end_id, width, dictionary, piece_bytes, cache), _SHARD).write.parquet(f"{out}/shards")
