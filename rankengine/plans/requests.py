@@ -17,9 +17,9 @@ DEFAULT_LIMIT, MAX_LIMIT = 1000, 5000
 STABLE = 6
 
 
-def cut(df: DataFrame, limit: int) -> tuple[DataFrame, Column]:
-    """The rows within the limit, and an aggregate that is true if there were more."""
-    return df.where(F.col("Rank") <= limit), F.max(F.col("Rank")) > limit
+def cut(df: DataFrame, limit: int) -> DataFrame:
+    """The rows within the limit, with `truncated`: whether there were more (of at most limit + 1 rows)."""
+    return df.withColumn("truncated", F.max("Rank").over(Window.partitionBy()) > limit).where(F.col("Rank") <= limit)
 
 
 def _points(c: str = "points") -> Column:
@@ -91,13 +91,46 @@ def answer(tables: Tables, request_type: str, scope: Scope, limit: int = DEFAULT
     return REQUESTS[request_type](tables, scope, max(1, min(MAX_LIMIT, limit)))
 
 
-def suggest_names(table: DataFrame, needles: DataFrame, n: int = 10) -> DataFrame:
-    """(needle, name, slug, nth): names that hold the needle or slugs that begin with it, the closest first.
+#: Characters of the grams that names and what was typed are joined on.
+GRAM = 3
+
+
+def _runs_at(text: Column, starts: Column) -> Column:
+    """The 1 to GRAM characters of a text from each of `starts`."""
+    return F.flatten(F.transform(starts, lambda i: F.array(*[F.substring(text, i, F.lit(n)) for n in range(1, GRAM + 1)])))
+
+
+def _grams(text: Column) -> Column:
+    """All runs of 1 to GRAM characters of a text."""
+    return _runs_at(text, F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))))
+
+
+def _beginnings(text: Column) -> Column:
+    """The first 1 to GRAM characters of a text."""
+    return F.array(*[F.substring(F.coalesce(text, F.lit("")), 1, n) for n in range(1, GRAM + 1)])
+
 
-    `needles` is a short list of what was typed; a needle is taken literally.
-    """
-    typed = needles.select("needle", F.lower(F.trim("needle")).alias("q")).where("q <> ''")
-    rows = table.join(F.broadcast(typed), F.col("name_lower").contains(F.col("q")) | F.col("slug_lower").startswith(F.col("q")))
+def _word_beginnings(text: Column) -> Column:
+    """The first characters behind each space."""
+    spaces = F.filter(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substring(text, i, F.lit(1)) == " ")
+    return _runs_at(text, F.transform(spaces, lambda i: i + 1))
+
+
+def _typed(needles: DataFrame) -> DataFrame:
+    typed = needles.select("needle", F.lower(F.trim("needle")).alias("q")).where("q <> ''").distinct()
+    return typed.withColumn("gram", F.substring("q", 1, GRAM))
+
+
+def _met(table: DataFrame, grams: Column, needles: DataFrame) -> DataFrame:
+    """Rows of `table` with each needle whose first characters are among their `grams`: an equi-join, each pair once."""
+    return table.withColumn("gram", F.explode(F.array_distinct(grams))).join(_typed(needles), "gram").drop("gram")
+
+
+def suggest_names(table: DataFrame, needles: DataFrame, n: int = 10) -> DataFrame:
+    """(needle, name, slug, nth): names that hold the needle or slugs that begin with it, the closest first. A needle is
+    taken literally."""
+    rows = _met(table, F.concat(_grams(F.col("name_lower")), _beginnings(F.col("slug_lower"))), needles)
+    rows = rows.where(F.col("name_lower").contains(F.col("q")) | F.col("slug_lower").startswith(F.col("q")))
     slug = F.coalesce(F.col("slug_lower").startswith(F.col("q")), F.lit(False))
     w = Window.partitionBy("needle").orderBy(F.col("name_lower").startswith(F.col("q")).desc(), slug.desc(), F.length("name"), "name", "id")
     return rows.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= n).select("needle", "name", "slug", "nth")
@@ -106,14 +139,15 @@ def suggest_names(table: DataFrame, needles: DataFrame, n: int = 10) -> DataFram
 def suggest_locations(areas: DataFrame, continents: DataFrame, needles: DataFrame, n: int = 10) -> DataFrame:
     """(needle, name, slug, nth): continents first, then areas from the top of the hierarchy down. An area whose id is a
     continent's code is offered without its id."""
-    typed = F.broadcast(needles.select("needle", F.lower(F.trim("needle")).alias("q")).where("q <> ''"))
     lands = continents.select("code", "continent").distinct()
-    one = lands.join(typed, F.lower("continent").contains(F.col("q")) | (F.lower("code") == F.col("q")))
+    one = _met(lands, F.concat(_grams(F.lower("continent")), _beginnings(F.lower("code"))), needles)
+    one = one.where(F.lower("continent").contains(F.col("q")) | (F.lower("code") == F.col("q")))
     one = one.select("needle", F.col("continent").alias("name"), F.col("code").alias("slug"), F.lit(0).alias("o1"), F.lit(0).alias("o2"), F.lit(0).alias("o3"), F.col("code").alias("o4"), F.col("code").alias("o5"))
-    full = F.lower("full_name")
-    found = areas.join(typed, F.col("name_lower").startswith(F.col("q")) | full.startswith(F.col("q")) | F.col("name_lower").contains(F.concat(F.lit(" "), "q")) | (F.col("id_lower") == F.col("q")))
-    found = found.join(F.broadcast(lands.select(F.lower("code").alias("id_lower"), F.lit(True).alias("clash"))), "id_lower", "left")
-    two = found.select("needle", F.coalesce("full_name", "name").alias("name"), F.when(F.col("clash").isNull(), F.col("id")).alias("slug"), F.when(F.col("name_lower").startswith(F.col("q")), 1).otherwise(2).alias("o1"), (F.size(F.split("id", "/")) - 1).alias("o2"), F.length("name").alias("o3"), F.col("name").alias("o4"), F.col("id").alias("o5"))
+    name, full = F.col("name_lower"), F.coalesce(F.lower("full_name"), F.lit(""))
+    found = _met(areas, F.concat(_beginnings(name), _beginnings(full), _beginnings(F.col("id_lower")), _word_beginnings(name)), needles)
+    found = found.where(name.startswith(F.col("q")) | full.startswith(F.col("q")) | name.contains(F.concat(F.lit(" "), "q")) | (F.col("id_lower") == F.col("q")))
+    found = found.join(lands.select(F.lower("code").alias("id_lower"), F.lit(True).alias("clash")), "id_lower", "left")
+    two = found.select("needle", F.coalesce("full_name", "name").alias("name"), F.when(F.col("clash").isNull(), F.col("id")).alias("slug"), F.when(name.startswith(F.col("q")), 1).otherwise(2).alias("o1"), (F.size(F.split("id", "/")) - 1).alias("o2"), F.length("name").alias("o3"), F.col("name").alias("o4"), F.col("id").alias("o5"))
     w = Window.partitionBy("needle").orderBy("o1", "o2", "o3", "o4", "o5")
     return one.unionByName(two).withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= n).select("needle", "name", "slug", "nth")
 

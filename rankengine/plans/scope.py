@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Lists up to this length become literals in the plan, longer ones joins.
+#: Lists up to this length become literals in the plan, longer ones joins with the same result.
 INLINE = 500
 
 
@@ -58,6 +58,7 @@ def of_players(df: DataFrame, players: DataFrame, scope: Scope) -> DataFrame:
 
 def apply_scope(runs: DataFrame, players: DataFrame, scope: Scope) -> DataFrame:
     """(games or platforms included) minus those excluded, for the players and locations asked for."""
+    columns = runs.columns
     if not scope.all_scope:
         if max(len(scope.inc_games), len(scope.inc_platforms)) <= INLINE:
             either: list[Column] = [F.col(c).isin(list(ids)) for c, ids in (("game_id", scope.inc_games), ("platform_id", scope.inc_platforms)) if ids]
@@ -69,4 +70,4 @@ def apply_scope(runs: DataFrame, players: DataFrame, scope: Scope) -> DataFrame:
     for column, ids in (("game_id", scope.exc_games), ("platform_id", scope.exc_platforms)):
         if ids:
             runs = _members(runs, column, ids, False)
-    return of_players(runs, players, scope)
+    return of_players(runs, players, scope).select(columns)

@@ -1,7 +1,8 @@
-"""Board windows, the value formula and credits.
+"""Board places, the value formula and credits.
 
 All board work partitions by the board's name, so one shuffle serves every window: totals and records before runs are
-reduced to one for each player list, sizes, places and the median after.
+reduced to one for each player list, sizes, places and the median after. Boards with more than HOT_ROWS rows, which would
+be too much for one task, get the same columns from sorted ranges of rows and aggregates instead.
 """
 
 from __future__ import annotations
@@ -10,12 +11,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import round_half_away
-from ..operators.ranking import dense_ids, first_per_key
+from ..operators.ranking import RANGE_ROWS, dense_ids, first_per_key, global_row_number
+from ..operators.storage import staged
 from .normalize import PENALTY
 
 BOARD = "leaderboard_name"
 #: Fixed values of the formula.
 LEVEL_FACTOR = 0.75
+#: Rows of a board that one task's windows take.
+HOT_ROWS = 1 << 20
 
 
 def _order() -> list[Column]:
@@ -23,42 +27,102 @@ def _order() -> list[Column]:
 
 
 def timed_runs(scored: DataFrame) -> DataFrame:
-    """Runs with a time, with the board's number of them and of record improvements; runs without a board name are out.
+    """Runs with a time, with `signed` and, with the penalty for a missing timer, `t_ord`; runs without a board name are out."""
+    signed = F.when(F.col("is_reverse"), -F.col("t")).otherwise(F.col("t"))
+    rows = scored.where(F.col("t").isNotNull() & F.col(BOARD).isNotNull()).withColumn("signed", signed)
+    return rows.withColumn("t_ord", F.col("signed") + F.when(F.col("missing_primary"), F.lit(PENALTY)).otherwise(0.0))
+
+
+def _halves(scored: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Timed runs of usual boards, and those of boards with too many rows for one task, if there are any."""
+    rows = timed_runs(scored)
+    hot = staged(rows.groupBy(BOARD).agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS).select(BOARD), "hot-boards")
+    if not hot.limit(1).count():
+        return rows, None
+    return rows.join(hot, BOARD, "left_anti"), rows.join(hot, BOARD, "left_semi")
+
+
+def _with_records(rows: DataFrame) -> DataFrame:
+    """Adds is_record and the board's total_runs and num_records, by windows.
 
     An improvement is a dated run that beats all dated runs before it; the penalty for a missing timer doesn't enter.
     """
-    signed = F.when(F.col("is_reverse"), -F.col("t")).otherwise(F.col("t"))
-    rows = scored.where(F.col("t").isNotNull() & F.col(BOARD).isNotNull()).repartition(F.col(BOARD))
+    rows = rows.repartition(F.col(BOARD))
     dated = F.col("date") > 0
     walk = Window.partitionBy(BOARD).orderBy(F.when(dated, 0).otherwise(1), "date", "date_submitted", "ord").rowsBetween(Window.unboundedPreceding, -1)
     board = Window.partitionBy(BOARD)
-    rows = rows.withColumn("signed", signed).withColumn("best_before", F.min(F.when(dated, F.col("signed"))).over(walk))
+    rows = rows.withColumn("best_before", F.min(F.when(dated, F.col("signed"))).over(walk))
     record = dated & (F.col("best_before").isNull() | (F.col("signed") < F.col("best_before")))
-    rows = rows.withColumn("is_record", record).withColumn("total_runs", F.count("*").over(board)).withColumn("num_records", F.count_if("is_record").over(board))
-    return rows.withColumn("t_ord", F.col("signed") + F.when(F.col("missing_primary"), F.lit(PENALTY)).otherwise(0.0))
+    return rows.withColumn("is_record", record).withColumn("total_runs", F.count("*").over(board)).withColumn("num_records", F.count_if("is_record").over(board)).drop("best_before")
 
 
-def board_places(scored: DataFrame) -> DataFrame:
-    """One row for each board and ordered player list: the best run, its unique and shared place and the board's size."""
-    rows = timed_runs(scored)
+def _records_by_ranges(rows: DataFrame) -> DataFrame:
+    """(board, num_records) of the boards that have dated runs: the best before a row is the best of earlier ranges and of
+    earlier rows of its range."""
+    walk = [F.col(c).asc() for c in (BOARD, "date", "date_submitted", "ord")]
+    dated = rows.where("date > 0").select(BOARD, "date", "date_submitted", "ord", "signed")
+    ranged = staged(dated.repartitionByRange(dated.count() // RANGE_ROWS + 1, *walk).withColumn("_range", F.spark_partition_id()), "walk")
+    earlier = lambda w: F.min("best").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    bests = ranged.groupBy(BOARD, "_range").agg(F.min("signed").alias("best"))
+    bests = bests.select(BOARD, "_range", earlier(Window.partitionBy(BOARD).orderBy("_range")).alias("_far"))
+    near = F.min("signed").over(Window.partitionBy("_range", BOARD).orderBy(*walk).rowsBetween(Window.unboundedPreceding, -1))
+    best = F.least("_far", "_near")  # skips nulls
+    return ranged.withColumn("_near", near).join(bests, [BOARD, "_range"]).groupBy(BOARD).agg(F.count_if(best.isNull() | (F.col("signed") < best)).alias("num_records"))
+
+
+def record_counts(scored: DataFrame) -> DataFrame:
+    """(board, num_wrs): record improvements of each board with dated runs."""
+    usual, hot = _halves(scored)
+    out = _with_records(usual).where("date > 0").groupBy(BOARD).agg(F.count_if("is_record").alias("num_wrs"))
+    return out.unionByName(_records_by_ranges(hot).withColumnRenamed("num_records", "num_wrs")) if hot else out
+
+
+def _middle() -> Column:
+    return F.floor((F.col("leaderboard_runs") - 1) / 2) + 1
+
+
+def _places(rows: DataFrame) -> DataFrame:
+    """Places by windows: all over one partitioning by board."""
+    rows = _with_records(rows)
     best = Window.partitionBy(BOARD, "player_ids").orderBy(*_order())
-    rows = rows.withColumn("n", F.row_number().over(best)).where("n = 1").drop("n")
+    rows = rows.withColumn("n", F.row_number().over(best)).where("n = 1").drop("n", "is_record")
     board = Window.partitionBy(BOARD)
-    return rows.withColumns(
+    rows = rows.withColumns(
         {
-            "nominal_place": F.row_number().over(board.orderBy(*_order())),
-            "place": F.rank().over(board.orderBy(F.col("t_ord").asc())),
+            "nominal_place": F.row_number().over(board.orderBy(*_order())).cast("long"),
+            "place": F.rank().over(board.orderBy(F.col("t_ord").asc())).cast("long"),
             "leaderboard_runs": F.count("*").over(board),
         }
     )
+    return rows.withColumn("middle", F.max(F.when(F.col("nominal_place") == _middle(), F.col("t"))).over(board))
+
+
+def _places_by_ranges(rows: DataFrame) -> DataFrame:
+    """The same columns without windows over boards: best runs by partial aggregates, places from a numbering of all rows
+    by board and order, what belongs to a board or tie by aggregates and joins."""
+    totals = rows.groupBy(BOARD).agg(F.count("*").alias("total_runs")).join(_records_by_ranges(rows), BOARD, "left").fillna(0, ["num_records"])
+    keys = [BOARD, "player_ids"]
+    lead = ["t_ord", "date", "date_submitted", "ord"]
+    rest = [c for c in rows.columns if c not in keys + lead]
+    best = rows.groupBy(*keys).agg(F.min(F.struct(*lead, *rest)).alias("x")).select(*keys, "x.*")
+    numbered = global_row_number(best, [F.col(BOARD).asc(), *_order()], "_n")
+    starts = numbered.groupBy(BOARD).agg(F.min("_n").alias("_first"), F.count("*").alias("leaderboard_runs"))
+    placed = numbered.join(starts, BOARD).withColumn("nominal_place", F.col("_n") - F.col("_first") + 1)
+    ties = placed.groupBy(BOARD, "t_ord").agg(F.min("nominal_place").alias("place"))
+    middle = placed.where(F.col("nominal_place") == _middle()).select(BOARD, F.col("t").alias("middle"))
+    return placed.join(ties, [BOARD, "t_ord"]).join(totals, BOARD).join(middle, BOARD).drop("_n", "_first")
+
+
+def board_places(scored: DataFrame) -> DataFrame:
+    """One row for each board and ordered player list: the best run, its unique and shared place and the board's size."""
+    usual, hot = _halves(scored)
+    return _places(usual).unionByName(_places_by_ranges(hot)) if hot else _places(usual)
 
 
 def with_stats(places: DataFrame) -> DataFrame:
     """Adds run_length (minutes of the lower-middle run), length_weight, record value and shape factor of the board."""
-    board = Window.partitionBy(BOARD)
     n, total, records = (F.col(c).cast("double") for c in ("leaderboard_runs", "total_runs", "num_records"))
-    middle = F.max(F.when(F.col("nominal_place") == F.floor((F.col("leaderboard_runs") - 1) / 2) + 1, F.col("t"))).over(board)
-    length = (middle % F.lit(PENALTY)) / F.lit(60.0)
+    length = (F.col("middle") % F.lit(PENALTY)) / F.lit(60.0)
     weight = F.lit(1.1) - F.pow(F.lit(1.01), -(F.col("run_length") + F.lit(200.0))) - F.pow(F.lit(2.4), -(F.col("run_length") + F.lit(1.2)))
     effort = (F.log(total) / F.log(F.lit(1.7))) * records + F.lit(120.0) * F.exp(F.lit(-100.0) / total) + F.lit(0.04) * total
     value = effort * (F.lit(1.0) - (records + 1.0) / (total + n)) * F.col("length_weight")
@@ -71,13 +135,22 @@ def board_stats(places: DataFrame) -> DataFrame:
     return with_stats(places).select(BOARD, "total_runs", "leaderboard_runs", F.col("num_records").alias("num_wrs"), "run_length", "length_weight", "wr_value", "sf").dropDuplicates([BOARD])
 
 
-def value_boards(scored: DataFrame) -> DataFrame:
-    """Places, stats, the value at each unique place and its mean over a tie (run_value)."""
-    rows = with_stats(board_places(scored))
+def _nominal(places: DataFrame) -> DataFrame:
+    rows = with_stats(places)
     n, p = F.col("leaderboard_runs"), F.col("nominal_place")
     value = F.col("sf") * F.col("wr_value") * (n + 1 - p) / (p + (F.col("sf") * n - F.lit(1.0)))
-    rows = rows.withColumn("nominal_value", value * F.when(F.col("is_level_run"), F.lit(LEVEL_FACTOR)).otherwise(F.lit(1.0)))
-    return rows.withColumn("run_value", F.avg("nominal_value").over(Window.partitionBy(BOARD, "place")))
+    return rows.withColumn("nominal_value", value * F.when(F.col("is_level_run"), F.lit(LEVEL_FACTOR)).otherwise(F.lit(1.0)))
+
+
+def value_boards(scored: DataFrame) -> DataFrame:
+    """Places, stats, the value at each unique place and its mean over a tie (run_value)."""
+    usual, hot = _halves(scored)
+    out = _nominal(_places(usual)).withColumn("run_value", F.avg("nominal_value").over(Window.partitionBy(BOARD, "place")))
+    if hot is None:
+        return out
+    rows = staged(_nominal(_places_by_ranges(hot)), "hot-places")
+    means = rows.groupBy(BOARD, "place").agg(F.avg("nominal_value").alias("run_value"))
+    return out.unionByName(rows.join(means, [BOARD, "place"]))
 
 
 def credit_runs(valued: DataFrame, players: DataFrame, games: DataFrame, platforms: DataFrame, excluded: DataFrame, ids: bool = True) -> DataFrame:
@@ -86,7 +159,7 @@ def credit_runs(valued: DataFrame, players: DataFrame, games: DataFrame, platfor
     Guests and excluded names lose their credit, not their share. With `ids`, boards are numbered by name.
     """
     each = valued.select(BOARD, "game_id", "nominal_place", "place", "run_value", "platform_id", "date", F.size("player_ids").alias("listed"), F.posexplode("player_ids").alias("position", "player_id"))
-    known = players.where(~F.col("is_guest")).join(F.broadcast(excluded.where("name is not null")), "name", "left_anti")
+    known = players.where(~F.col("is_guest")).join(excluded.where("name is not null"), "name", "left_anti")
     each = each.join(known.where("name is not null").select(F.col("id").alias("player_id"), F.col("name").alias("player"), "country", "flag"), "player_id")
     each = first_per_key(each, [BOARD, "player_id"], [F.col("nominal_place").asc(), F.col("position").asc()])
     each = each.join(games.select(F.col("id").alias("game_id"), F.col("name").alias("game")), "game_id").join(platforms.select(F.col("id").alias("platform_id"), F.col("name").alias("platform")), "platform_id", "left")
