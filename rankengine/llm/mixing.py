@@ -66,7 +66,7 @@ def targets(sizes: DataFrame) -> DataFrame:
     # sources that reach their cap first come first; each is capped if the level that its predecessors leave is above it
     by = running(by, [F.col("ratio").asc(), F.col("rank").asc()], {"gone": F.col("cap"), "used": F.col("weight")})
     whole = by.agg(F.sum("source_size").alias("total"), F.sum("weight").alias("weights")).first()
-    level = (F.lit(whole["total"] or 0) * SHARE_PERCENT / 100.0 - F.col("gone")) / (F.lit(whole["weights"] or 0) - F.col("used"))
+    level = (F.lit((whole["total"] or 0) * SHARE_PERCENT / 100.0) - F.col("gone")) / (F.lit(whole["weights"] or 0).cast("long") - F.col("used"))
     by = by.withColumn("level", level).withColumn("capped", F.col("ratio") <= F.col("level"))
     free = by.where("not capped").agg(F.min(F.struct("ratio", "level")).alias("x")).first()["x"]
     free = F.lit(free["level"] if free else 0.0)
