@@ -43,8 +43,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Drops documents that hold a benchmark window. Rows count each by itself; null and empty texts hold nothing and stay;
     texts of any length are read whole; with an empty benchmark all rows stay; extra columns are dropped."""
     ship(spark)
-    found = decontamination.find_overlaps(docs.select(F.struct(*COLUMNS).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where("n_hit = 0").select("doc_id.*").select(COLUMNS)
+    rows = near_dup.numbered(docs.select(COLUMNS), "overlap-input")
+    found = decontamination.find_overlaps(rows.select(F.col("row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return rows.join(found.where("n_hit > 0").select(F.col("doc_id").alias("row")), "row", "left_anti").select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
