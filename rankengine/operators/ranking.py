@@ -60,7 +60,8 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> Data
 
 def dense_ids(df: DataFrame, name: str, out: str) -> DataFrame:
     """Adds the dense rank of `name` among all its values."""
-    return df.join(global_row_number(df.select(name).distinct(), [F.col(name).asc()], out), name)
+    # written, so that the join knows its size
+    return df.join(staged(global_row_number(df.select(name).distinct(), [F.col(name).asc()], out), "ids"), name)
 
 
 def top_n(df: DataFrame, order: list[Column], n: int, out: str = "Rank") -> DataFrame:

@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ranking import first_per_key, latest_per_key
+from ..operators.storage import staged
 
 Tables = dict[str, DataFrame]
 #: Seconds that push a run behind all others when it lacks the board's timer. Fixed value.
 PENALTY = 10_000_000.0
 GUEST_ID_LENGTH = 38
+DIMENSIONS = ("raw_games", "raw_categories", "raw_levels", "raw_variables", "raw_values", "raw_series", "raw_platforms", "raw_areas", "raw_colors", "raw_players")
+
+
+def current(raw: Tables) -> Tables:
+    """`raw` with the latest rows of its dimensions, written once. So each is reduced once, and joins know its size: small
+    ones are broadcast by Spark's own threshold, others are shuffled."""
+    def write(name: str) -> DataFrame:
+        return staged(latest_per_key(raw[name], "id"), name)
+
+    with ThreadPoolExecutor(4) as pool:
+        return raw | dict(zip(DIMENSIONS, pool.map(write, DIMENSIONS), strict=True))
 
 
 def players_dim(raw: Tables) -> DataFrame:
@@ -35,16 +49,20 @@ def completed_runs(raw: Tables) -> DataFrame:
     return first_per_key(raw["raw_runs"].join(done, "game_id", "left_semi"), ["run_id"], [F.col("ord").asc()])
 
 
-def subcategory_text(runs: DataFrame, values: DataFrame) -> DataFrame:
-    """(run_id, subcat_text): names of a run's sub-category values in order; only runs that have any."""
-    each = runs.select("run_id", F.posexplode("value_ids").alias("pos", "id")).join(values, "id")
+def value_texts(runs: DataFrame, values: DataFrame) -> DataFrame:
+    """(value_ids, subcat_text) of each distinct list in `runs` with a sub-category value: their names in order.
+
+    Lists repeat from run to run, so they are made distinct first: what is exploded and joined grows with the lists, and
+    a value that many runs have is no hot key.
+    """
+    each = runs.select("value_ids").distinct().select("value_ids", F.posexplode("value_ids").alias("pos", "id")).join(values, "id")
     ordered = F.array_sort(F.collect_list(F.struct("pos", "name")))
-    return each.groupBy("run_id").agg(F.array_join(F.transform(ordered, lambda x: x["name"]), ", ").alias("subcat_text"))
+    return each.groupBy("value_ids").agg(F.array_join(F.transform(ordered, lambda x: x["name"]), ", ").alias("subcat_text"))
 
 
-def with_subcategories(runs: DataFrame, values: DataFrame) -> DataFrame:
-    """Adds subcat_text (null for none). Runs come partitioned by run_id out of `completed_runs`, which serves the join."""
-    return runs.join(subcategory_text(runs, values), "run_id", "left")
+def subcategory_text(runs: DataFrame, values: DataFrame) -> DataFrame:
+    """(run_id, subcat_text); only runs that have sub-category values."""
+    return runs.select("run_id", "value_ids").join(value_texts(runs, values), "value_ids").select("run_id", "subcat_text")
 
 
 def chosen_time(timer: Column) -> tuple[Column, Column]:
@@ -60,7 +78,8 @@ def scored_input(raw: Tables) -> DataFrame:
     games = latest_per_key(raw["raw_games"], "id").select(F.col("id").alias("game_id"), F.col("name").alias("game"), "default_timer")
     categories = latest_per_key(raw["raw_categories"], "id").select(F.col("id").alias("category_id"), F.col("name").alias("category"), "time_direction")
     levels = latest_per_key(raw["raw_levels"], "id").select(F.col("id").alias("level_id"), F.col("name").alias("level"))
-    rows = with_subcategories(completed_runs(raw), subcategory_values(raw))
+    texts = staged(value_texts(raw["raw_runs"], subcategory_values(raw)), "value-texts")
+    rows = completed_runs(raw).join(texts, "value_ids", "left")  # runs without a text match nothing
     rows = rows.join(games, "game_id").join(categories, "category_id").join(levels, "level_id", "left")
     t, missing = chosen_time(F.col("default_timer"))
     # a level that isn't known makes the whole name null

@@ -39,15 +39,15 @@ def _named(df: DataFrame, *more: str) -> DataFrame:
     return df.select("id", "name", F.col("url").alias("slug"), F.lower("name").alias("name_lower"), F.lower("url").alias("slug_lower"), *more)
 
 
-def dimensions(raw: Tables, runs: DataFrame) -> Tables:
-    """games, series, game_series, platforms, areas, players."""
+def dimensions(raw: Tables, runs: DataFrame, players: DataFrame | None = None) -> Tables:
+    """games, series, game_series, platforms, areas, players; `players`: players_dim, if it is written already."""
     has = lambda c: runs.select(F.col(c).alias("id")).distinct()
     games = _named(latest_per_key(raw["raw_games"], "id").join(has("game_id"), "id", "left_semi"), "default_timer")
     bridge = raw["raw_game_series"].select("game_id", "series_id").distinct().join(games.select(F.col("id").alias("game_id")), "game_id", "left_semi")
     series = _named(latest_per_key(raw["raw_series"], "id").join(bridge.select(F.col("series_id").alias("id")), "id", "left_semi"))
     bridge = bridge.join(series.select(F.col("id").alias("series_id")), "series_id", "left_semi").select("game_id", "series_id")
     areas = latest_per_key(raw["raw_areas"], "id").select("id", "name", "full_name", "lb_name", "lb_flag", "parent_id", (F.col("lb_flag") == F.col("id")).alias("is_country"), F.lower("id").alias("id_lower"), F.lower("name").alias("name_lower"), F.lower("lb_name").alias("lb_name_lower"))
-    people = normalize.players_dim(raw).join(has("player_id"), "id", "left_semi")
+    people = (players or normalize.players_dim(raw)).join(has("player_id"), "id", "left_semi")
     players = people.select("id", F.col("url").alias("slug"), "name", "area_id", "country", "flag", "color1", "color2", F.lower("name").alias("name_lower"), F.lower("url").alias("slug_lower"))
     return {"games": games, "series": series, "game_series": bridge, "platforms": _named(latest_per_key(raw["raw_platforms"], "id")), "areas": areas, "players": players}
 
@@ -60,20 +60,22 @@ def meta(tables: Tables, scored: DataFrame, data_version: str, scraped_at: str,
     return out.select(F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(data_version).alias("data_version"), F.lit(scraped_at).cast("timestamp").alias("scraped_at"), at.alias("published_at"), "row_count", "raw_run_count", "game_count", "leaderboard_count", "player_count", "errored_games")
 
 
-def published_runs(raw: Tables, scored: DataFrame | None = None) -> DataFrame:
+def published_runs(raw: Tables, scored: DataFrame | None = None, players: DataFrame | None = None) -> DataFrame:
     """Written twice: without ids, from which the boards are numbered, and with them."""
     scored = normalize.scored_input(raw) if scored is None else scored
     valued = score.value_boards(scored)
-    runs = score.credit_runs(valued, normalize.players_dim(raw), latest_per_key(raw["raw_games"], "id"), latest_per_key(raw["raw_platforms"], "id"), raw["excluded_players"], ids=False)
+    runs = score.credit_runs(valued, players or normalize.players_dim(raw), latest_per_key(raw["raw_games"], "id"), latest_per_key(raw["raw_platforms"], "id"), raw["excluded_players"], ids=False)
     runs = staged(runs, "credits")
     return dense_ids(runs, "leaderboard", "leaderboard_id").withColumn("leaderboard_id", F.col("leaderboard_id").cast("int"))
 
 
 def publish(raw: Tables, data_version: str = "v1", scraped_at: str = "2024-01-08 00:00:00") -> Tables:
-    """All published tables. scored_input and runs, which others read, are written once to shared storage."""
+    """All published tables. Dimensions, scored_input and runs, which others read, are written once to shared storage."""
+    raw = normalize.current(raw)
+    players = staged(normalize.players_dim(raw), "players-dim")
     scored = staged(normalize.scored_input(raw), "scored")
-    runs = staged(published_runs(raw, scored), "runs")
-    tables = {"runs": runs, "player_ranks": player_ranks(runs), **dimensions(raw, runs)}
+    runs = staged(published_runs(raw, scored, players), "runs")
+    tables = {"runs": runs, "player_ranks": player_ranks(runs), **dimensions(raw, runs, players)}
     return tables | {"meta": meta(tables, scored, data_version, scraped_at, raw["crawl_checkpoint"].where("status = 'error'"))}
 
 
