@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fixity, language_id, mixing, near_dup, quality_rules, suffix_tree, token_counts, token_files, toxicity
+from . import decontamination, edit_prints, fixity, hard_negatives, language_id, mixing, near_dup, period_runs, quality_rules, suffix_tree, token_counts, token_files, toxicity
 from .staging import documents, new_path, remainder
 
 
@@ -65,8 +65,24 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.find_overlaps(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumn("label", label)
+    return hard_negatives.mine(hard_negatives.quantised(rows), F.col("vec_id") % 100 == 0)
+
+
+def op12_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return period_runs.collapse_runs(documents(spark, sf_dir), plant=True, texts=False)
+
+
+def op13_edit_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = edit_prints.fingerprints(documents(spark, sf_dir))
+    rows = prints.join(edit_prints.near_groups(prints), "fingerprint", "left")
+    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "group_id")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_tree, op2_token_counts, op3_merkle_fixity, op4_toxic_segments, op5_language_id, op6_token_files, op7_quality_rules, op8_super_minhash, op9_mixing, op10_decontamination)}
+    return {f.__name__: f for f in (op1_suffix_tree, op2_token_counts, op3_merkle_fixity, op4_toxic_segments, op5_language_id, op6_token_files, op7_quality_rules, op8_super_minhash, op9_mixing, op10_decontamination, op11_hard_negatives, op12_period_runs, op13_edit_prints)}
 
 
 _OP3 = """
@@ -176,5 +192,22 @@ _OP10 = rf"""
     FROM d LEFT JOIN words ON words.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id"""
 
 
+_OP11 = """
+    WITH v AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q
+        FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (
+        SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+               coalesce(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])), 0)::BIGINT AS score
+        FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+    p AS (
+        SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+    SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id)::INTEGER AS rank,
+           other_id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+    QUALIFY rank <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_merkle_fixity": _OP3, "op7_quality_rules": _op7_sql(), "op8_super_minhash": _OP8, "op9_mixing": _OP9, "op10_decontamination": _OP10}
+    return {"op3_merkle_fixity": _OP3, "op7_quality_rules": _op7_sql(), "op8_super_minhash": _OP8, "op9_mixing": _OP9, "op10_decontamination": _OP10, "op11_hard_negatives": _OP11}
