@@ -11,7 +11,7 @@ from ..functions.numeric import round_half_away
 from ..operators import ranking, storage
 from ..sources import payloads, race_view
 from ..streaming import ingest
-from . import answers, normalize, publish, quality, requests, resolve, score
+from . import answers, batch, normalize, publish, quality, requests, resolve, score
 from .oracles import normal, published, round_, scored, sql
 from .scope import Scope
 
@@ -302,10 +302,8 @@ def freshness(spark, sf_dir):
 
 #: A request for each customer, made from its row, beside fixed ones that hold the odd cases.
 _FIXED = ["g=game1,!game2,game1&r=runs", "games=Game+4%2C++game+5+&request-type=records", "u=Customer%23000000010&l=XA,!r0/n0", "s=s-1,+t-2+,none&m=99999", "l=Yonder,nation+3,r4/n4&r=bogus", "g=&p=!&m=abc", "p=High,!urgent&g=a,,b,&limit=10", "countries=us&r=", "s=nothing&g=Game+3,game+3", "l=Building,r1&u=!Supplier%23000000001,c4"]
-_LOG_SQL = f"""log AS (
-    SELECT 'f' || (i - 1) AS request_id, q AS query FROM (SELECT unnest(range(1, {len(_FIXED) + 1})) AS i, unnest([{", ".join(f"'{q}'" for q in _FIXED)}]) AS q)
-    UNION ALL SELECT 'c' || c_custkey, concat('g=game', c_custkey % 30, ',!Game+', c_custkey % 7, '&u=C', c_custkey, '&l=Nation+', c_nationkey, '&r=', [ 'pr', 'runs', 'dates', 'none' ][(c_custkey % 4 + 1)::INTEGER], '&m=', c_custkey) FROM customer),
-pairs AS (SELECT request_id, i AS pos, split_part(x, '=', 1) AS k, CASE WHEN contains(x, '=') THEN url_decode(replace(substr(x, strpos(x, '=') + 1), '+', ' ')) ELSE '' END AS value
+_FIXED_SQL = f"""SELECT 'f' || (i - 1) AS request_id, q AS query FROM (SELECT unnest(range(1, {len(_FIXED) + 1})) AS i, unnest([{", ".join(f"'{q}'" for q in _FIXED)}]) AS q)"""
+_PARSED = f"""pairs AS (SELECT request_id, i AS pos, split_part(x, '=', 1) AS k, CASE WHEN contains(x, '=') THEN url_decode(replace(substr(x, strpos(x, '=') + 1), '+', ' ')) ELSE '' END AS value
     FROM (SELECT request_id, unnest(string_split(query, '&')) AS x, generate_subscripts(string_split(query, '&'), 1) AS i FROM log)),
 keys AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{v}'), ('{v}', '{v}')" for k, v in resolve.KEYS.items())}) x(k, key)),
 params AS (SELECT request_id, pos, key, value FROM pairs JOIN (SELECT DISTINCT * FROM keys) USING (k)),
@@ -328,6 +326,10 @@ matches AS (
     WHERE NOT (t.box = 'locations' AND lower(term) IN (SELECT key FROM land_keys))
     UNION ALL SELECT request_id, t.box, sign, term, pos, area_id, continent, code, true FROM terms t JOIN land_keys ON key = lower(term) AND t.box = 'locations'),
 roots AS (SELECT DISTINCT request_id, sign, id FROM matches WHERE box = 'locations' AND id IS NOT NULL)"""
+_LOG_SQL = f"""log AS (
+    {_FIXED_SQL}
+    UNION ALL SELECT 'c' || c_custkey, concat('g=game', c_custkey % 30, ',!Game+', c_custkey % 7, '&u=C', c_custkey, '&l=Nation+', c_nationkey, '&r=', [ 'pr', 'runs', 'dates', 'none' ][(c_custkey % 4 + 1)::INTEGER], '&m=', c_custkey) FROM customer),
+{_PARSED}"""
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -381,6 +383,72 @@ def series_games(spark, sf_dir):
     return resolve.resolved_ids(matches, t).where("kind = 'games'").drop("kind")
 
 
+#: Queries of nine kinds, with customers' numbers in place of k, n and x: scopes that are shared, that are someone's own, and none.
+_KINDS = [
+    ("'g=game', k % 30, ',game', k % 23, '&r=games&m=', k % 9"), ("'l=Nation+', n, '&r=pr&m=20'"), ("'u=C', k, ',!C', k + 1, '&r=runs'"), ("'s=t-', k % 4, '&p=high&l=!r', n % 5, '&r=leaderboards&m=15'"),
+    ("'p=urgent,low&g=!game', k % 13, '&r=dates&m=10'"), ("'g=game', k % 30, '&u=!C', k, '&r=records&m=25'"), ("'l=', x, ',none&g=game', k % 30, '&r=series'"), ("'u=Customer%23', x, ',C', k, '&r=pr'"), ("'g=!game', k % 7, '&r=', if(k % 2 = 0, 'pr', 'runs'), '&m=', k % 50"),
+]
+_MIXED = f"""{_FIXED_SQL} UNION ALL SELECT 'c' || k, CASE {" ".join(f"WHEN k % 9 = {i} THEN concat({q})" for i, q in enumerate(_KINDS))} END
+    FROM (SELECT c_custkey AS k, c_nationkey AS n, lower(c_mktsegment) AS x FROM customer)"""
+_ANSWERS = f"""log AS ({_MIXED}),
+{_PARSED},
+wanted AS (
+    SELECT request_id, 'g' AS kind, sign, id FROM matches WHERE box = 'games' UNION SELECT request_id, 'g', sign, game_id FROM matches m JOIN game_series b ON box = 'series' AND series_id = m.id
+    UNION SELECT request_id, if(box = 'players', 'u', 'p'), sign, id FROM matches WHERE box IN ('platforms', 'players')
+    UNION SELECT request_id, 'l', sign, id FROM roots UNION SELECT request_id, 'l', sign, a.id FROM roots r JOIN areas a ON starts_with(a.id, r.id || '/')),
+asked AS (
+    SELECT s.request_id, request_type, "limit", n_warnings, coalesce(scope_given, false) AS scope_given, coalesce(player_given, 0) AS player_given, coalesce(place_given, false) AS place_given, {", ".join(f"coalesce({k}{i}, []) AS {k}{i}" for k in "gpul" for i in (1, 0))}
+    FROM settings s
+    LEFT JOIN (SELECT request_id, bool_or(sign = '' AND box IN ('series', 'games', 'platforms')) AS scope_given, count(*) FILTER (sign = '' AND box = 'players') AS player_given, bool_or(sign = '' AND box = 'locations') AS place_given FROM terms GROUP BY 1) t USING (request_id)
+    LEFT JOIN (SELECT request_id, {", ".join(f"list(id) FILTER (kind = '{k}' AND sign = '{s}') AS {k}{i}" for k in "gpul" for i, s in ((1, ""), (0, "!")))} FROM wanted WHERE id IS NOT NULL GROUP BY 1) w USING (request_id)),
+allowed AS MATERIALIZED (SELECT request_id, p.id AS player_id FROM asked, players p WHERE (player_given = 0 OR p.id IN u1) AND p.id NOT IN u0 AND (NOT place_given OR coalesce(area_id IN l1, false)) AND NOT coalesce(area_id IN l0, false)),
+spots AS MATERIALIZED (SELECT request_id, game_id, platform_id FROM asked, (SELECT DISTINCT game_id, platform_id FROM runs) WHERE (NOT scope_given OR game_id IN g1 OR coalesce(platform_id IN p1, false)) AND game_id NOT IN g0 AND NOT coalesce(platform_id IN p0, false)),
+ready AS (SELECT request_id FROM asked WHERE request_type = 'pr' AND NOT scope_given AND len(g0) + len(p0) = 0),
+narrow AS (SELECT request_id, request_type FROM asked WHERE (player_given > 0 OR place_given) AND request_id NOT IN (SELECT request_id FROM ready)),
+wide AS (SELECT request_id, request_type, u0, l0 FROM asked WHERE player_given = 0 AND NOT place_given AND request_id NOT IN (SELECT request_id FROM ready)),
+seen AS MATERIALIZED (
+    SELECT request_id, request_type, leaderboard_id, leaderboard, r.game_id, game, date, player_id, player, place, value FROM narrow JOIN allowed USING (request_id) JOIN runs r USING (player_id) SEMI JOIN spots s ON s.request_id = narrow.request_id AND s.game_id = r.game_id AND s.platform_id IS NOT DISTINCT FROM r.platform_id
+    UNION ALL SELECT request_id, request_type, leaderboard_id, leaderboard, r.game_id, game, date, player_id, player, place, value FROM wide JOIN spots s USING (request_id) JOIN runs r ON s.game_id = r.game_id AND s.platform_id IS NOT DISTINCT FROM r.platform_id JOIN players p ON p.id = r.player_id
+    WHERE r.player_id NOT IN u0 AND NOT coalesce(p.area_id IN l0, false)),
+ranked AS (
+    SELECT request_id, round({_POINTS}, 6) AS v, max(player) AS a, player_id AS b, NULL::VARCHAR AS c, NULL::VARCHAR AS player, NULL::INTEGER AS place, NULL::BIGINT AS given FROM seen WHERE request_type = 'pr' GROUP BY request_id, player_id
+    UNION ALL SELECT request_id, value, leaderboard, player, player_id, player, place, NULL FROM seen WHERE request_type = 'runs'
+    UNION ALL SELECT request_id, value, leaderboard, NULL, NULL, player, NULL, NULL FROM seen WHERE request_type = 'records' QUALIFY row_number() OVER (PARTITION BY request_id, leaderboard_id ORDER BY value DESC, place, player, player_id) = 1
+    {" ".join(f"UNION ALL SELECT request_id, round(sum(value), 6), {k}::VARCHAR, NULL, NULL, NULL, NULL, NULL FROM seen WHERE request_type = '{t}' AND {k} IS NOT NULL GROUP BY request_id, {k}" for t, k in (("leaderboards", "leaderboard"), ("games", "game"), ("dates", "date")))}
+    UNION ALL SELECT request_id, round(sum(value), 6), s.name, s.id, NULL, NULL, NULL, NULL FROM (SELECT request_id, game_id, sum(value) AS value FROM seen WHERE request_type = 'series' GROUP BY ALL) x JOIN game_series USING (game_id) JOIN series s ON s.id = series_id GROUP BY request_id, s.name, s.id
+    UNION ALL SELECT request_id, round(points, 6), player, player_id, NULL, NULL, NULL, if(place_given, NULL, rank) FROM player_ranks JOIN allowed USING (player_id) JOIN ready USING (request_id) JOIN asked USING (request_id)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY v DESC, a, b, c) AS nth, count(*) OVER (PARTITION BY request_id) AS n FROM ranked JOIN (SELECT request_id, "limit", request_type, player_given FROM asked) USING (request_id))"""
+
+
+def _mixed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n"), F.lower("c_mktsegment").alias("x"))
+    query = F.coalesce(*[F.when(F.col("k") % 9 == i, F.expr(f"concat({q})")) for i, q in enumerate(_KINDS)])
+    fixed = spark.createDataFrame([(f"f{i}", q) for i, q in enumerate(_FIXED)], "request_id string, query string")
+    return fixed.unionByName(c.select(F.concat(F.lit("c"), "k").alias("request_id"), query.alias("query")))
+
+
+def _log_answers(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    def make() -> dict[str, DataFrame]:
+        rows, states = batch.answer_log(_mixed_log(spark, sf_dir), _tables(spark, sf_dir), _lands(spark))
+        return {"rows": storage.staged(rows, "answers"), "states": storage.staged(states, "answer-states")}
+
+    return _written(spark, sf_dir, "log", make)
+
+
+@_query(published(f"""SELECT request_id, request_type, coalesce(given, nth) AS rank, a AS name, if(request_type IN ('runs', 'records') AND player_given = 1, NULL, player) AS player, place, {round_("v")} AS points
+    FROM numbered WHERE nth <= numbered."limit" """, _ANSWERS))
+def answered_log(spark, sf_dir):
+    """Requests of all types, one for each customer, answered by one scan of the runs."""
+    return _log_answers(spark, sf_dir)["rows"]
+
+
+@_query(published("""SELECT s.request_id, s.request_type, s."limit", least(coalesce(n, 0), s."limit")::BIGINT AS n_rows, coalesce(n > s."limit", false) AS truncated, s.n_warnings + coalesce(w.lost, 0) AS n_warnings
+    FROM settings s LEFT JOIN (SELECT request_id, any_value(n) AS n FROM numbered GROUP BY 1) x USING (request_id)
+    LEFT JOIN (SELECT request_id, count(*) AS lost FROM (SELECT request_id, box, sign, term FROM matches GROUP BY ALL HAVING count(id) = 0) GROUP BY 1) w USING (request_id)""", _ANSWERS))
+def answered_log_states(spark, sf_dir):
+    return _log_answers(spark, sf_dir)["states"].withColumn("n_warnings", F.size("warnings").cast("long")).drop("warnings")
+
+
 _NEEDLES = ["game 1", "GAME2", "%", "old"]
 _PLACES = ["nation 1", "build", "xa", "r1", "an"]
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import math
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,13 +20,29 @@ DECAY, FLOOR = 0.99, 0.25
 NAMES = ("runs", "player_ranks", "games", "series", "game_series", "platforms", "areas", "players", "meta")
 
 
-def player_points(runs: DataFrame, decay: float = DECAY, floor: float = FLOOR) -> DataFrame:
-    """player_id, player, country, flag, points: one shuffle by player."""
-    rank = F.row_number().over(Window.partitionBy("player_id").orderBy(F.col("value").desc()))
-    share = F.greatest(F.col("value") * F.pow(F.lit(decay), F.col("nth") - 1), F.col("value") * F.lit(floor))
-    first = [F.first(c, ignorenulls=True).alias(c) for c in ("player", "country", "flag") if c in runs.columns]
+def full_places(decay: float = DECAY, floor: float = FLOOR) -> int | None:
+    """How many of a player's results count for more than the floor; None: all."""
+    return math.floor(math.log(floor) / math.log(decay) + 1e-9) + 1 if 0 < floor < 1 and 0 < decay < 1 else None
+
+
+def player_points(runs: DataFrame, decay: float = DECAY, floor: float = FLOOR, keys: tuple[str, ...] = ("player_id",)) -> DataFrame:
+    """The keys, player, country, flag, points.
+
+    Only the results above the floor need their places: each task keeps that many of a player's greatest at most before
+    anything is shuffled, and the rest counts by its sum, made of partial sums. So no player is too large for a task.
+    """
+    best = Window.partitionBy(*keys).orderBy(F.col("value").desc())
+    most = full_places(decay, floor)
+    named = [c for c in ("player", "country", "flag") if c in runs.columns]  # the same in all rows of a player
+    ranked = runs.select(*keys, *named, "value").withColumn("nth", F.row_number().over(best))
+    ranked = ranked if most is None else ranked.where(F.col("nth") <= most)
     # equal shares are added in one order: ranked rows come sorted out of the window
-    return runs.withColumn("nth", rank).withColumn("share", share).groupBy("player_id").agg(*first, F.sum("share").alias("points"))
+    share = F.greatest(F.col("value") * F.pow(F.lit(decay), F.col("nth") - 1), F.col("value") * F.lit(floor))
+    first = [F.first(c, ignorenulls=True).alias(c) for c in named]
+    front = ranked.groupBy(*keys).agg(*first, F.sum(share).alias("_front"), F.sum("value").alias("_taken"), F.count("*").alias("_n"))
+    whole = runs.groupBy(*keys).agg(F.sum("value").alias("_sum"), F.count("*").alias("_all"))
+    rest = F.when(F.col("_all") > F.col("_n"), (F.col("_sum") - F.col("_taken")) * F.lit(floor)).otherwise(F.lit(0.0))
+    return front.join(whole, list(keys)).select(*keys, *named, (F.col("_front") + rest).alias("points"))
 
 
 def player_ranks(runs: DataFrame) -> DataFrame:

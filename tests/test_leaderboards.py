@@ -158,7 +158,7 @@ def test_streams_go_on_where_they_stopped(spark, tmp_path):
     assert sorted((r.id, r.what) for r in ingest.latest_progress(spark, f"{out}/p", "id", "at").collect()) == [(1, "a"), (2, "new")]
 
 
-@pytest.mark.parametrize("name", ["board_places", "runs_published", "req_pr_scoped", "req_dates", "req_games", "dims_areas", "scope_exclusions", "suggest_names", "suggest_locations", "ingest_games", "ingest_static", "ingest_lists", "continent_areas", "answered_request"])
+@pytest.mark.parametrize("name", ["board_places", "runs_published", "req_pr_scoped", "req_dates", "req_games", "dims_areas", "scope_exclusions", "suggest_names", "suggest_locations", "ingest_games", "ingest_static", "ingest_lists", "continent_areas", "answered_request", "answered_log", "answered_log_states"])
 def test_matches_sql(spark, name):
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events".split():
