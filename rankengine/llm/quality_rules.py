@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 8
-_LOW = (1 << 26) - 1
 #: Common function words of four languages.
 STOP_WORDS = "the of and to in is that it for as with on be at by this le la les de des du et un une que qui en est der die das und ist von zu den mit el los las y del se por con para".split()
 
@@ -61,8 +60,8 @@ def _doubled(h: Column, step: int) -> Column:
 def _covered(windows: Column) -> Column:
     """Words inside windows that occur twice or more, given a hash for each window.
 
-    Positions of windows that share a hash are found by sorting keys of the hash's high bits and the position (texts of
-    up to 2**26 words), whole hashes are then compared; the union of the extents is a sum over the sorted positions.
+    Positions of windows that share a hash are found by sorting pairs of hash and position; the union of the extents is a
+    sum over the sorted positions.
     """
 
     def extent(at: Column) -> Column:
@@ -71,12 +70,11 @@ def _covered(windows: Column) -> Column:
 
     def positions(keys: Column) -> Column:
         def both(a: Column, b: Column) -> Column:
-            i, j = a.bitwiseAND(_LOW).cast("int"), b.bitwiseAND(_LOW).cast("int")
-            return F.when((a.bitwiseAND(~_LOW) == b.bitwiseAND(~_LOW)) & (windows[i] == windows[j]), F.array(i, j))
+            return F.when(a["hash"] == b["hash"], F.array(a["at"], b["at"]))
 
         return F.sort_array(F.array_distinct(F.flatten(F.filter(_pairwise(keys, 1, both, "array<int>"), lambda x: x.isNotNull()))))
 
-    keys = F.sort_array(F.transform(windows, lambda h, i: h.bitwiseAND(~_LOW).bitwiseOR(i.cast("bigint"))))
+    keys = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("hash"), i.alias("at"))))
     found = _let(keys, lambda k: _let(positions(k), extent))
     return F.when(F.size(F.array_distinct(windows)) == F.size(windows), 0).otherwise(found)
 

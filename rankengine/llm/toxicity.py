@@ -35,8 +35,8 @@ SAMPLE_ROWS = 20_000
 PRIOR = 20.0
 BOUND = 3.0
 STEM = 4
-GAP = 0.15
-E_VALUE = 0.1
+GAP = 0.3
+E_VALUE = 1.0
 MAX_WEIGHT = 4.0
 
 
@@ -100,6 +100,7 @@ class Model:
             if a < b:
                 d, p = int(doc[a]), place[a:b]
                 for i, j, s in segments(p - first[d], total[p] - weight[p], total[p]):
+                    s = round(s, 9)  # noqa: PLW2901  sums over the batch differ in the last digits
                     e = self.scale * size[d] * np.exp(-self.rate * s)
                     out[d].append((i, j + 1, s, float(e)))
         return size, out
@@ -163,14 +164,15 @@ def fit(docs: DataFrame, labels: DataFrame, where: Column) -> Model:
     model.words, model.weights = [r["word"] for r in rows], np.clip([r["w"] for r in rows], -MAX_WEIGHT, MAX_WEIGHT)
     if not rows:
         return model
-    found = _measured(sample, spark.sparkContext.broadcast(model)).collect()
-    clean = np.array([max(r["scores"], default=0.0) for r in found if not r["toxic"]])
+    found = _measured(sample, spark.sparkContext.broadcast(model)).collect()  # a few numbers for each row of the sample
+    clean = np.array([r["best"] for r in found if not r["toxic"]])
     size = np.array([r["size"] for r in found if not r["toxic"]], float)
     # Gumbel of the best score: lambda from the spread, K from the mean
     spread = max(float(clean.std()), 0.5)
     model.rate = float(np.pi / (spread * np.sqrt(6)))
     model.scale = float(np.exp(model.rate * clean.mean() - np.mean(np.log(np.maximum(size, 1))) - 0.5772))
-    x = np.log1p(np.array([model.evidence([(0, 0, s, model.scale * r["size"] * np.exp(-model.rate * s)) for s in r["scores"]]) for r in found]))
+    found = _measured(sample, spark.sparkContext.broadcast(model)).collect()
+    x = np.log1p(np.array([r["evidence"] for r in found]))
     y = np.array([float(r["toxic"]) for r in found])
     model.slope, model.shift = _logistic(x, y)
     return model
@@ -190,16 +192,17 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
 
 
 def _measured(sample: DataFrame, sent) -> DataFrame:
-    """toxic, size and scores of all segments of each row of the sample."""
+    """toxic, size, best segment and evidence of each row of the sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
             for piece in pieces(batch):
                 size, found = model.passages(piece.column("text"))
-                yield pa.RecordBatch.from_arrays([piece.column("toxic"), pa.array(size), pa.array([[s for _, _, s, _ in f] for f in found], pa.list_(pa.float64()))], ["toxic", "size", "scores"])
+                best, evidence = [max((s for _, _, s, _ in f), default=0.0) for f in found], [model.evidence(f) for f in found]
+                yield pa.RecordBatch.from_arrays([piece.column("toxic"), pa.array(size), pa.array(best, pa.float64()), pa.array(evidence, pa.float64())], ["toxic", "size", "best", "evidence"])
 
-    return sample.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "toxic int, size bigint, scores array<double>")
+    return sample.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "toxic int, size bigint, best double, evidence double")
 
 
 def _judge(sent) -> Callable:
