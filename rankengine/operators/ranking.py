@@ -70,6 +70,13 @@ def top_n(df: DataFrame, order: list[Column], n: int, out: str = "Rank") -> Data
 
 
 def symmetric_difference(a: DataFrame, b: DataFrame, distinct: bool = True) -> DataFrame:
-    """Rows of one side only, with the side; as sets, or with their numbers."""
-    one, two = (a.subtract(b), b.subtract(a)) if distinct else (a.exceptAll(b), b.exceptAll(a))
-    return one.withColumn("side", F.lit("a")).unionByName(two.withColumn("side", F.lit("b")))
+    """Rows of one side only, with the side; as sets, or with their numbers. Both sides are summed together, row by row,
+    so there is one shuffle, of partial sums."""
+    columns = a.columns
+    both = a.select(*columns, F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(b.select(*columns, F.lit(0).alias("_a"), F.lit(1).alias("_b")))
+    counts = both.groupBy(*columns).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
+    side = F.when(F.col("_a") > F.col("_b"), "a").otherwise("b")
+    if distinct:
+        return counts.where((F.col("_a") > 0) != (F.col("_b") > 0)).select(*columns, side.alias("side"))
+    more = F.abs(F.col("_a") - F.col("_b"))
+    return counts.where(F.col("_a") != F.col("_b")).select(*columns, side.alias("side"), F.explode(F.sequence(F.lit(1), more)).alias("_n")).drop("_n")

@@ -11,7 +11,7 @@ from ..functions.numeric import round_half_away
 from ..operators import ranking, storage
 from ..sources import payloads, race_view
 from ..streaming import ingest
-from . import answers, batch, normalize, publish, quality, requests, resolve, score
+from . import answers, batch, increment, normalize, publish, quality, requests, resolve, score
 from .oracles import normal, published, round_, scored, sql
 from .scope import Scope
 
@@ -473,6 +473,23 @@ def suggest_locations(spark, sf_dir):
     return requests.suggest_locations(_tables(spark, sf_dir)["areas"], _lands(spark), _needles(spark, _PLACES))
 
 
+_TYPED = """typed AS (SELECT DISTINCT q FROM (SELECT unnest([n_name[1:1 + n_nationkey % 3], concat('#', lpad((n_nationkey % 2)::VARCHAR, 4, '0')), concat(n_nationkey, 0), concat('Customer#0000', lpad(n_nationkey::VARCHAR, 4, '0')), 'c', 'er#', concat('s', lpad(n_nationkey::VARCHAR, 7, '0'))]) AS q FROM nation))"""
+
+
+@_query(published("""SELECT needle, name, slug, nth::INTEGER AS nth FROM (
+    SELECT q AS needle, name, slug, row_number() OVER (PARTITION BY q ORDER BY starts_with(name_lower, lower(q)) DESC, starts_with(coalesce(slug_lower, ''), lower(q)) DESC, length(name), name, id) AS nth
+    FROM players JOIN typed ON contains(name_lower, lower(q)) OR starts_with(slug_lower, lower(q))) WHERE nth <= 10""", _TYPED))
+def suggest_players(spark, sf_dir):
+    """Needles made from nations, among them letters that nearly all players' names hold, by a written index."""
+    players = _tables(spark, sf_dir)["players"]
+    index = _written(spark, sf_dir, "suggest", lambda: {"players": storage.staged(requests.name_index(players), "suggest-players")})["players"]
+    k = F.col("n_nationkey")
+    padded = F.lpad(k.cast("string"), 4, "0")
+    words = F.array(F.expr("left(n_name, 1 + n_nationkey % 3)"), F.concat(F.lit("#"), F.lpad((k % 2).cast("string"), 4, "0")), F.concat(k, F.lit(0)), F.concat(F.lit("Customer#0000"), padded), F.lit("c"), F.lit("er#"), F.concat(F.lit("s000"), padded))
+    needles = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.explode(words).alias("needle")).distinct()
+    return requests.suggest_names(players, needles, index=index)
+
+
 @_query(published('SELECT DISTINCT p.name, p.flag, a.lb_name AS flag_name, color1, color2 FROM players p LEFT JOIN areas a ON a.id = p.flag WHERE (p.flag IS NOT NULL OR color1 IS NOT NULL) AND p.name IN (SELECT player FROM player_ranks WHERE rank <= 1001)'))
 def player_styles(spark, sf_dir):
     t = _tables(spark, sf_dir)
@@ -567,6 +584,15 @@ def drop_partial(spark, sf_dir):
     return payloads.included(kept, ["g1-A", "g2-N"], "category_id").select("ord", "run_id", "game_id")
 
 
+@_query(sql("SELECT ord, run_id, game_id FROM raw_runs WHERE game_id IN (SELECT game_id FROM checkpoint WHERE status = 'done')"))
+def drop_partial_stored(spark, sf_dir):
+    """From a stored table, of which only the parts with such rows are written anew."""
+    raw, path = _raw(spark, sf_dir), _shared(spark, "raw-runs")
+    payloads.write_raw_runs(raw["raw_runs"], path)
+    payloads.drop_partial_rows(spark, path, raw["crawl_checkpoint"])
+    return spark.read.parquet(path).select("ord", "run_id", "game_id")
+
+
 @_query(sql("SELECT ord, run_id, game_id FROM raw_runs WHERE game_id NOT IN (SELECT game_id FROM checkpoint WHERE status = 'error')"))
 def drop_errored(spark, sf_dir):
     raw = _raw(spark, sf_dir)
@@ -628,6 +654,22 @@ def ingest_games(spark, sf_dir):
     return out
 
 
+@_query(f"""WITH {_PARTS},
+    r AS (SELECT k, CASE k % 11 WHEN 1 THEN 'not JSON' WHEN 2 THEN 'wrong type' WHEN 3 THEN 'empty' WHEN 4 THEN 'nothing needed' WHEN 5 THEN 'not JSON' WHEN 6 THEN 'empty' WHEN 7 THEN 'wrong type' END AS reason FROM p)
+    SELECT concat('p', k) AS game_id, 'read' AS outcome, NULL AS payload_sha256 FROM r WHERE reason IS NULL
+    UNION ALL SELECT concat('p', k), reason, CASE k % 11 WHEN 4 THEN sha256('{{"other": [1]}}') WHEN 5 THEN sha256('none') WHEN 6 THEN sha256('  ') WHEN 7 THEN sha256('[1, 2]') END FROM r WHERE reason IS NOT NULL""")
+def ingest_quarantine(spark, sf_dir):
+    """Game payloads of which some are cut, wrongly typed, absent or about something else: each is read or in quarantine."""
+    rows = _game_payloads(spark, sf_dir)
+    kind = F.regexp_extract("game_id", "[0-9]+", 0).cast("int") % 11
+    rows = rows.withColumn("game_id", F.get_json_object("payload", "$.game.id"))
+    broken = F.when(kind == 1, F.expr("left(payload, length(payload) - 9)")).when(kind == 2, F.regexp_replace("payload", '"variables":.*', '"variables":"none"}')).when(kind == 4, '{"other": [1]}').when(kind == 5, "none").when(kind == 6, "  ").when(kind == 7, "[1, 2]").when(kind != 3, F.col("payload"))
+    t = payloads.parse_game_payloads(rows.withColumn("payload", broken))
+    hash_ = F.when(F.regexp_extract("game_id", "[0-9]+", 0).cast("int") % 11 > 3, F.col("payload_sha256"))
+    read = t["raw_games"].select(F.col("id").alias("game_id"), F.lit("read").alias("outcome"), F.lit(None).cast("string").alias("payload_sha256"))
+    return read.unionByName(t["quarantine"].select("game_id", F.col("reason").alias("outcome"), hash_.alias("payload_sha256")))
+
+
 @_query("""SELECT 'area' AS kind, concat('n', n_nationkey) AS id, n_name AS name, if(n_nationkey % 3 = 0, n_name, concat('Board ', n_name)) AS lb_name, concat('flag/', n_nationkey) AS flag, if(n_nationkey % 2 = 0, concat('r', n_regionkey), NULL) AS parent_id FROM nation
     UNION ALL SELECT 'color', concat('m', c_custkey), c_mktsegment, concat('#', c_nationkey), NULL, NULL FROM customer""")
 def ingest_static(spark, sf_dir):
@@ -709,7 +751,7 @@ def stream_ingest(spark, sf_dir):
 def stream_progress(spark, sf_dir):
     out = _shared(spark, "progress")
     step = lambda batch: batch.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("x")).select("user_id", F.col("x.ts").alias("last_ts"), F.col("x.event_type").alias("status"))
-    ingest.start_progress(spark, _stream_source(sf_dir), out, f"{out}/checkpoint", _EVENTS, step).awaitTermination()
+    ingest.start_progress(spark, _stream_source(sf_dir), out, f"{out}/checkpoint", _EVENTS, step, "user_id", "last_ts").awaitTermination()
     return ingest.latest_progress(spark, out, "user_id", "last_ts").select("user_id", "last_ts", "status")
 
 
@@ -723,6 +765,29 @@ def snapshot_roundtrip(spark, sf_dir):
     return publish.read_snapshot(spark, root)["runs"].select("leaderboard_id", "leaderboard", "player_id", "place", "value", "date")
 
 
+def _republished(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Published again from a snapshot of all but the last hundredth of the runs, with its state."""
+    def make() -> dict[str, DataFrame]:
+        raw, root = _raw(spark, sf_dir), _shared(spark, "before")
+        n = raw["raw_runs"].agg(F.max("ord")).first()[0] or 0
+        tables, state = increment.publish_whole(raw | {"raw_runs": raw["raw_runs"].where(F.col("ord") <= n - n // 100)})
+        publish.write_snapshot(tables, root, "1")
+        increment.write_state(state, root, "1")
+        return increment.publish_again(raw, publish.read_snapshot(spark, root), increment.read_state(spark, root, "1"))[0]
+
+    return _written(spark, sf_dir, "republished", make)
+
+
+@_query(published("SELECT * FROM runs"))
+def republished_runs(spark, sf_dir):
+    return _republished(spark, sf_dir)["runs"]
+
+
+@_query(published(f"SELECT rank, player_id, player, country, flag, {round_('points', 3)} AS points FROM player_ranks"))
+def republished_ranks(spark, sf_dir):
+    return _rounded(_republished(spark, sf_dir)["player_ranks"], points=3)
+
+
 @_query(published("SELECT leaderboard, player, place, value, platform, date, flag FROM runs"))
 def csv_roundtrip(spark, sf_dir):
     out = _shared(spark, "golden")

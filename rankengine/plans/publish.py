@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import math
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ Tables = dict[str, DataFrame]
 SCHEMA_VERSION = 1
 #: Each further result of a player counts for a hundredth less, down to a quarter.
 DECAY, FLOOR = 0.99, 0.25
+#: Columns of runs with a Bloom filter, and the distinct values of a row group it is made for (about 1.2 bytes each).
+FILTERED, FILTER_VALUES = ("player_id", "leaderboard_id"), 100_000
 NAMES = ("runs", "player_ranks", "games", "series", "game_series", "platforms", "areas", "players", "meta")
 
 
@@ -45,11 +48,16 @@ def player_points(runs: DataFrame, decay: float = DECAY, floor: float = FLOOR, k
     return front.join(whole, list(keys)).select(*keys, *named, (F.col("_front") + rest).alias("points"))
 
 
-def player_ranks(runs: DataFrame) -> DataFrame:
+def ranked(points: DataFrame, rows: int | None = None) -> DataFrame:
+    """Ranks of players with their points; `rows`: about how many there are at most."""
     # sums of doubles depend on their order, so ranks go by rounded points
     order = [F.round("points", 6).desc(), F.col("player").asc(), F.col("player_id").asc()]
-    ranked = global_row_number(player_points(runs), order, "rank", rows=runs.count())
-    return ranked.select(F.col("rank").cast("int").alias("rank"), "player_id", "player", "country", "flag", "points")
+    rows = global_row_number(points, order, "rank", rows)
+    return rows.select(F.col("rank").cast("int").alias("rank"), "player_id", "player", "country", "flag", "points")
+
+
+def player_ranks(runs: DataFrame) -> DataFrame:
+    return ranked(player_points(runs), runs.count())
 
 
 def _named(df: DataFrame, *more: str) -> DataFrame:
@@ -88,12 +96,16 @@ def published_runs(raw: Tables, scored: DataFrame | None = None, players: DataFr
 
 def publish(raw: Tables, data_version: str = "v1", scraped_at: str = "2024-01-08 00:00:00") -> Tables:
     """All published tables. Dimensions, scored_input and runs, which others read, are written once to shared storage."""
-    raw = normalize.current(raw)
+    return publish_scored(normalize.current(raw), data_version, scraped_at)[0]
+
+
+def publish_scored(raw: Tables, data_version: str, scraped_at: str) -> tuple[Tables, DataFrame]:
+    """All published tables, and scored_input, of raw tables with the latest rows of dimensions only."""
     players = staged(normalize.players_dim(raw), "players-dim")
     scored = staged(normalize.scored_input(raw), "scored")
     runs = staged(published_runs(raw, scored, players), "runs")
     tables = {"runs": runs, "player_ranks": player_ranks(runs), **dimensions(raw, runs, players)}
-    return tables | {"meta": meta(tables, scored, data_version, scraped_at, raw["crawl_checkpoint"].where("status = 'error'"))}
+    return tables | {"meta": meta(tables, scored, data_version, scraped_at, raw["crawl_checkpoint"].where("status = 'error'"))}, scored
 
 
 def publish_checked(tables: Tables, root: str, version: str, excluded: list[str], smoke_game: str, min_leaderboards: int = quality.MIN_LEADERBOARDS) -> DataFrame:
@@ -110,25 +122,38 @@ def publish_checked(tables: Tables, root: str, version: str, excluded: list[str]
 
 
 def write_snapshot(tables: Tables, root: str, version: str) -> None:
-    """Each table as zstd Parquet under <root>/version=<version>/<table>; runs clustered by game, meta last."""
+    """Each table as zstd Parquet under <root>/version=<version>/<table>, meta last. Runs are clustered by game, so ranges
+    of games are skipped by their bounds; Bloom filters let reads of a player or board skip the rest."""
     def write(name: str) -> None:
         df = tables[name]
         if name == "runs":
             df = df.repartitionByRange(F.col("game_id")).sortWithinPartitions("game_id", "leaderboard_id", "place")
-        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/version={version}/{name}")
+        writer = df.write.mode("overwrite").option("compression", "zstd")
+        for column in FILTERED if name == "runs" else ():
+            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true").option(f"parquet.bloom.filter.expected.ndv#{column}", str(FILTER_VALUES))
+        writer.parquet(f"{root}/version={version}/{name}")
 
     with ThreadPoolExecutor(4) as pool:  # most tables are small jobs
         list(pool.map(write, [n for n in tables if n != "meta"]))
     write("meta")
 
 
+def versions(spark: SparkSession, root: str) -> list[str]:
+    """Versions with a meta table, in the order in which they were published."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/version=*/meta/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    names = [p.getPath().toString().split("version=")[1].split("/")[0] for p in found]
+    if len(names) < 2:
+        return names
+    metas = [spark.read.parquet(f"{root}/version={v}/meta").select("published_at", F.lit(v).alias("version")) for v in names]
+    return [r["version"] for r in reduce(DataFrame.unionByName, metas).orderBy("published_at", "version").collect()]  # a row each
+
+
 def read_snapshot(spark: SparkSession, root: str, version: str | None = None) -> Tables:
-    """The tables of `version`, or of the greatest version with a meta table. No such version: LookupError."""
+    """The tables of `version`, or of the version published last. No version: LookupError."""
     if version is None:
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(f"{root}/version=*/meta/_SUCCESS")
-        found = [p.getPath().toString() for p in path.getFileSystem(conf).globStatus(path) or []]
+        found = versions(spark, root)
         if not found:
             raise LookupError(f"no snapshot under {root}")
-        version = max(p.split("version=")[1].split("/")[0] for p in found)
+        version = found[-1]
     return {name: spark.read.parquet(f"{root}/version={version}/{name}") for name in NAMES}

@@ -91,65 +91,120 @@ def answer(tables: Tables, request_type: str, scope: Scope, limit: int = DEFAULT
     return REQUESTS[request_type](tables, scope, max(1, min(MAX_LIMIT, limit)))
 
 
-#: Characters of the grams that names and what was typed are joined on.
-GRAM = 3
+#: Characters of the grams that names and what was typed are joined on, and of the beginnings of slugs and areas.
+GRAM, START = 3, 8
+SUGGESTED = 10
 
 
-def _runs_at(text: Column, starts: Column) -> Column:
-    """The 1 to GRAM characters of a text from each of `starts`."""
-    return F.flatten(F.transform(starts, lambda i: F.array(*[F.substring(text, i, F.lit(n)) for n in range(1, GRAM + 1)])))
+def _runs_at(text: Column, starts: Column, sizes: range) -> Column:
+    """The characters of a text from each of `starts`, so many as each of `sizes`."""
+    return F.flatten(F.transform(starts, lambda i: F.array(*[F.substring(text, i, F.lit(n)) for n in sizes])))
 
 
-def _grams(text: Column) -> Column:
-    """All runs of 1 to GRAM characters of a text."""
-    return _runs_at(text, F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))))
+def _grams(text: Column, least: int = 1) -> Column:
+    """All runs of `least` to GRAM characters of a text."""
+    return _runs_at(text, F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), range(least, GRAM + 1))
 
 
-def _beginnings(text: Column) -> Column:
-    """The first 1 to GRAM characters of a text."""
-    return F.array(*[F.substring(F.coalesce(text, F.lit("")), 1, n) for n in range(1, GRAM + 1)])
+def _beginnings(text: Column, most: int, least: int = 1) -> Column:
+    """The first `least` to `most` characters of a text."""
+    return F.array(*[F.substring(F.coalesce(text, F.lit("")), 1, n) for n in range(least, most + 1)])
 
 
 def _word_beginnings(text: Column) -> Column:
     """The first characters behind each space."""
     spaces = F.filter(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substring(text, i, F.lit(1)) == " ")
-    return _runs_at(text, F.transform(spaces, lambda i: i + 1))
+    return _runs_at(text, F.transform(spaces, lambda i: i + 1), range(1, START + 1))
 
 
 def _typed(needles: DataFrame) -> DataFrame:
-    typed = needles.select("needle", F.lower(F.trim("needle")).alias("q")).where("q <> ''").distinct()
-    return typed.withColumn("gram", F.substring("q", 1, GRAM))
+    return needles.select("needle", F.lower(F.trim("needle")).alias("q")).where("q <> ''").distinct()
 
 
-def _met(table: DataFrame, grams: Column, needles: DataFrame) -> DataFrame:
-    """Rows of `table` with each needle whose first characters are among their `grams`: an equi-join, each pair once."""
-    return table.withColumn("gram", F.explode(F.array_distinct(grams))).join(_typed(needles), "gram").drop("gram")
+def _keyed(table: DataFrame, grams: Column, only: DataFrame | None = None) -> DataFrame:
+    """A row of `table` for each of its distinct `grams`, of those in `only` if that is given."""
+    rows = table.withColumn("gram", F.explode(F.array_distinct(grams))).where("gram <> ''")
+    return rows if only is None else rows.join(only, "gram", "left_semi")
 
 
-def suggest_names(table: DataFrame, needles: DataFrame, n: int = 10) -> DataFrame:
+def _closest(rows: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
+    """The first n of each key; tasks keep n of each key before rows are shuffled."""
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("nth") <= n).select(key, "name", "slug", "nth")
+
+
+def _name_order(q: str) -> list[Column]:
+    slug = F.coalesce(F.col("slug_lower").startswith(F.col(q)), F.lit(False))
+    return [F.col("name_lower").startswith(F.col(q)).desc(), slug.desc(), F.length("name").asc(), F.col("name").asc(), F.col("id").asc()]
+
+
+def name_index(table: DataFrame, n: int = SUGGESTED, only: DataFrame | None = None) -> DataFrame:
+    """(gram, name, slug, nth): what is suggested for each text of up to GRAM characters. So a letter that nearly all names
+    hold is n rows. To be written with a snapshot; `only`: for these grams alone."""
+    return _closest(_keyed(table, F.concat(_grams(F.col("name_lower")), _beginnings(F.col("slug_lower"), GRAM)), only), "gram", _name_order("gram"), n)
+
+
+def _long_names(table: DataFrame, long: DataFrame, n: int) -> DataFrame:
+    """Longer needles: names that hold the needle are found by the rarest of its grams, slugs by their beginnings."""
+    keyed = _keyed(table, _grams(F.col("name_lower"), GRAM))
+    own = long.select("needle", "q", F.explode(F.array_distinct(F.filter(_grams(F.col("q"), GRAM), lambda g: F.length(g) == GRAM))).alias("gram"))
+    counts = keyed.join(own.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = own.join(counts, "gram", "left").groupBy("needle", "q").agg(F.min_by("gram", F.coalesce("n", F.lit(0))).alias("gram"))
+    held = keyed.join(rarest, "gram").where(F.col("name_lower").contains(F.col("q")))
+    starts = long.withColumn("gram", F.substring("q", 1, START))
+    begun = _keyed(table, _beginnings(F.col("slug_lower"), START, GRAM + 1)).join(starts, "gram").where(F.col("slug_lower").startswith(F.col("q")))
+    return _closest(held.unionByName(begun).drop("gram").dropDuplicates(["needle", "id"]), "needle", _name_order("q"), n)
+
+
+def suggest_names(table: DataFrame, needles: DataFrame, n: int = SUGGESTED, index: DataFrame | None = None) -> DataFrame:
     """(needle, name, slug, nth): names that hold the needle or slugs that begin with it, the closest first. A needle is
-    taken literally."""
-    rows = _met(table, F.concat(_grams(F.col("name_lower")), _beginnings(F.col("slug_lower"))), needles)
-    rows = rows.where(F.col("name_lower").contains(F.col("q")) | F.col("slug_lower").startswith(F.col("q")))
-    slug = F.coalesce(F.col("slug_lower").startswith(F.col("q")), F.lit(False))
-    w = Window.partitionBy("needle").orderBy(F.col("name_lower").startswith(F.col("q")).desc(), slug.desc(), F.length("name"), "name", "id")
-    return rows.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= n).select("needle", "name", "slug", "nth")
+    taken literally. `index`: a written name_index of the table."""
+    typed = _typed(needles)
+    short = typed.where(F.length("q") <= GRAM).withColumnRenamed("q", "gram")
+    index = name_index(table, n, short.select("gram").distinct()) if index is None else index
+    known = short.join(index, "gram").where(F.col("nth") <= n).select("needle", "name", "slug", "nth")
+    return known.unionByName(_long_names(table, typed.where(F.length("q") > GRAM), n))
 
 
-def suggest_locations(areas: DataFrame, continents: DataFrame, needles: DataFrame, n: int = 10) -> DataFrame:
-    """(needle, name, slug, nth): continents first, then areas from the top of the hierarchy down. An area whose id is a
-    continent's code is offered without its id."""
+def _area_starts(areas: DataFrame) -> Column:
+    name = F.col("name_lower")
+    return F.concat(_beginnings(name, START), _beginnings(F.lower("full_name"), START), _beginnings(F.col("id_lower"), START), _word_beginnings(name))
+
+
+def _closest_areas(rows: DataFrame, lands: DataFrame, key: str, q: str, n: int) -> DataFrame:
+    """Rows that an area's name, a word of it, its full name or its whole id match."""
+    name, full, q = F.col("name_lower"), F.coalesce(F.lower("full_name"), F.lit("")), F.col(q)
+    found = rows.where(name.startswith(q) | full.startswith(q) | name.contains(F.concat(F.lit(" "), q)) | (F.col("id_lower") == q))
+    found = found.join(lands.select(F.lower("code").alias("id_lower"), F.lit(True).alias("clash")), "id_lower", "left")
+    shown = found.select(
+        key, F.coalesce("full_name", "name").alias("name"), F.when(F.col("clash").isNull(), F.col("id")).alias("slug"),
+        F.when(name.startswith(q), 1).otherwise(2).alias("o1"), (F.size(F.split("id", "/")) - 1).alias("o2"), F.length("name").alias("o3"), F.col("name").alias("o4"), F.col("id").alias("o5"),
+    )
+    order = [F.col(f"o{i}").asc() for i in range(1, 6)]
+    return shown.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("nth") <= n)
+
+
+def area_index(areas: DataFrame, continents: DataFrame, n: int = SUGGESTED, only: DataFrame | None = None) -> DataFrame:
+    """What areas are suggested for each text shorter than START characters, with their order; see name_index."""
     lands = continents.select("code", "continent").distinct()
-    one = _met(lands, F.concat(_grams(F.lower("continent")), _beginnings(F.lower("code"))), needles)
+    return _closest_areas(_keyed(areas, _area_starts(areas), only).where(F.length("gram") < START), lands, "gram", "gram", n).drop("nth")
+
+
+def suggest_locations(areas: DataFrame, continents: DataFrame, needles: DataFrame, n: int = SUGGESTED, index: DataFrame | None = None) -> DataFrame:
+    """(needle, name, slug, nth): continents first, then areas from the top of the hierarchy down. An area whose id is a
+    continent's code is offered without its id. `index`: a written area_index of the areas."""
+    lands, typed = continents.select("code", "continent").distinct(), _typed(needles)
+    keys = _keyed(lands, F.concat(_grams(F.lower("continent")), _beginnings(F.lower("code"), GRAM)))
+    one = keys.join(typed.withColumn("gram", F.substring("q", 1, GRAM)), "gram")
     one = one.where(F.lower("continent").contains(F.col("q")) | (F.lower("code") == F.col("q")))
-    one = one.select("needle", F.col("continent").alias("name"), F.col("code").alias("slug"), F.lit(0).alias("o1"), F.lit(0).alias("o2"), F.lit(0).alias("o3"), F.col("code").alias("o4"), F.col("code").alias("o5"))
-    name, full = F.col("name_lower"), F.coalesce(F.lower("full_name"), F.lit(""))
-    found = _met(areas, F.concat(_beginnings(name), _beginnings(full), _beginnings(F.col("id_lower")), _word_beginnings(name)), needles)
-    found = found.where(name.startswith(F.col("q")) | full.startswith(F.col("q")) | name.contains(F.concat(F.lit(" "), "q")) | (F.col("id_lower") == F.col("q")))
-    found = found.join(lands.select(F.lower("code").alias("id_lower"), F.lit(True).alias("clash")), "id_lower", "left")
-    two = found.select("needle", F.coalesce("full_name", "name").alias("name"), F.when(F.col("clash").isNull(), F.col("id")).alias("slug"), F.when(name.startswith(F.col("q")), 1).otherwise(2).alias("o1"), (F.size(F.split("id", "/")) - 1).alias("o2"), F.length("name").alias("o3"), F.col("name").alias("o4"), F.col("id").alias("o5"))
-    w = Window.partitionBy("needle").orderBy("o1", "o2", "o3", "o4", "o5")
-    return one.unionByName(two).withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= n).select("needle", "name", "slug", "nth")
+    zero = F.lit(0)
+    one = one.select("needle", F.col("continent").alias("name"), F.col("code").alias("slug"), zero.alias("o1"), zero.alias("o2"), zero.alias("o3"), F.col("code").alias("o4"), F.col("code").alias("o5"))
+    short = typed.where(F.length("q") < START).withColumnRenamed("q", "gram")
+    index = area_index(areas, continents, n, short.select("gram").distinct()) if index is None else index
+    two = short.join(index, "gram").drop("gram")
+    long = _keyed(areas, _area_starts(areas)).join(typed.where(F.length("q") >= START).withColumn("gram", F.substring("q", 1, START)), "gram")
+    three = _closest_areas(long, lands, "needle", "q", n).drop("nth")
+    order = [F.col(f"o{i}").asc() for i in range(1, 6)]
+    return _closest(one.unionByName(two).unionByName(three), "needle", order, n)
 
 
 def player_styles(names: DataFrame, players: DataFrame, areas: DataFrame) -> DataFrame:

@@ -12,16 +12,20 @@ from pyspark.sql import functions as F
 INLINE = 500
 
 
+#: Ids of a kind: a few, or a table of them (`id`).
+Ids = tuple[str, ...] | DataFrame
+
+
 @dataclass(frozen=True)
 class Scope:
-    inc_games: tuple[str, ...] = ()
-    exc_games: tuple[str, ...] = ()
-    inc_platforms: tuple[str, ...] = ()
-    exc_platforms: tuple[str, ...] = ()
-    inc_players: tuple[str, ...] = ()
-    exc_players: tuple[str, ...] = ()
-    inc_areas: tuple[str, ...] = ()
-    exc_areas: tuple[str, ...] = ()
+    inc_games: Ids = ()
+    exc_games: Ids = ()
+    inc_platforms: Ids = ()
+    exc_platforms: Ids = ()
+    inc_players: Ids = ()
+    exc_players: Ids = ()
+    inc_areas: Ids = ()
+    exc_areas: Ids = ()
     all_scope: bool = True
     all_players: bool = True
     all_locations: bool = True
@@ -33,8 +37,14 @@ class Scope:
         return self.all_scope and not self.exc_games and not self.exc_platforms
 
 
-def _members(df: DataFrame, column: str, ids: tuple[str, ...], keep: bool) -> DataFrame:
+def _short(ids: Ids) -> bool:
+    return not isinstance(ids, DataFrame) and len(ids) <= INLINE
+
+
+def _members(df: DataFrame, column: str, ids: Ids, keep: bool) -> DataFrame:
     """Rows whose `column` is (or isn't) one of `ids`; null is never one of them, and stays when excluding."""
+    if isinstance(ids, DataFrame):
+        return df.join(ids.select(F.col("id").alias(column)), column, "left_semi" if keep else "left_anti")
     if len(ids) <= INLINE:
         inside = F.col(column).isin(list(ids)) if ids else F.lit(False)
         return df.where(inside if keep else F.coalesce(~inside, F.lit(True)))
@@ -60,7 +70,7 @@ def apply_scope(runs: DataFrame, players: DataFrame, scope: Scope) -> DataFrame:
     """(games or platforms included) minus those excluded, for the players and locations asked for."""
     columns = runs.columns
     if not scope.all_scope:
-        if max(len(scope.inc_games), len(scope.inc_platforms)) <= INLINE:
+        if _short(scope.inc_games) and _short(scope.inc_platforms):
             either: list[Column] = [F.col(c).isin(list(ids)) for c, ids in (("game_id", scope.inc_games), ("platform_id", scope.inc_platforms)) if ids]
             runs = runs.where(reduce(lambda a, b: a | b, either, F.lit(False)))
         else:

@@ -81,6 +81,10 @@ _REQUESTS = [
 
 @pytest.mark.parametrize(("query", "expected"), _REQUESTS)
 def test_canonical_requests(spark, query, expected):
+    terms, kind, limit, _ = resolve.parse_query(query)
+    short = {v: k for k, v in resolve.KEYS.items()}
+    boxes = [f"{short[b]}={','.join(s + t for x, s, t in terms if x == b)}" for b in resolve.BOXES if any(x == b for x, *_ in terms)]
+    assert "&".join([*boxes, f"r={kind}", *([f"m={limit}"] if limit != 1000 else [])]) == expected
     assert resolve.canonical(spark.createDataFrame([("1", query)], "request_id string, query string")).first().canonical == expected
 
 
@@ -153,12 +157,12 @@ def test_streams_go_on_where_they_stopped(spark, tmp_path):
     for k, batch in enumerate([[(1, 5, "a"), (2, 1, "b")], [(1, 4, "late"), (2, 7, "new")]]):
         rows(*batch).write.parquet(f"file://{tmp_path}/in/{k}")
         ingest.start_ingest(spark, f"file://{tmp_path}/in/*", f"{out}/all", f"{out}/c1", "id long, at long, what string").awaitTermination()
-        ingest.start_progress(spark, f"file://{tmp_path}/in/*", f"{out}/p", f"{out}/c2", "id long, at long, what string", step).awaitTermination()
+        ingest.start_progress(spark, f"file://{tmp_path}/in/*", f"{out}/p", f"{out}/c2", "id long, at long, what string", step, "id", "at").awaitTermination()
     assert spark.read.parquet(f"{out}/all").count() == 4
     assert sorted((r.id, r.what) for r in ingest.latest_progress(spark, f"{out}/p", "id", "at").collect()) == [(1, "a"), (2, "new")]
 
 
-@pytest.mark.parametrize("name", ["board_places", "runs_published", "req_pr_scoped", "req_dates", "req_games", "dims_areas", "scope_exclusions", "suggest_names", "suggest_locations", "ingest_games", "ingest_static", "ingest_lists", "continent_areas", "answered_request", "answered_log", "answered_log_states"])
+@pytest.mark.parametrize("name", ["board_places", "runs_published", "req_pr_scoped", "req_dates", "req_games", "dims_areas", "scope_exclusions", "suggest_names", "suggest_locations", "ingest_games", "ingest_static", "ingest_lists", "continent_areas", "answered_request", "answered_log", "answered_log_states", "ingest_quarantine", "ingest_payloads", "drop_partial_stored", "drop_errored", "snapshot_diff", "stream_progress", "suggest_players", "republished_ranks"])
 def test_matches_sql(spark, name):
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events".split():
