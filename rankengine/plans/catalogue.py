@@ -119,25 +119,25 @@ def players_dim(spark, sf_dir):
 # -- scoring ---------------------------------------------------------------------------------------------------------
 
 
-@_query(scored("SELECT run_id, leaderboard_name, t_ord, nominal_place, place, leaderboard_runs FROM placed"))
+@_query(scored("SELECT run_id, leaderboard_name, ranked_time, standing, place, entries FROM placed"))
 def board_places(spark, sf_dir):
-    return score.board_places(normalize.scored_input(_raw(spark, sf_dir))).select("run_id", "leaderboard_name", "t_ord", F.col("nominal_place").cast("long").alias("nominal_place"), F.col("place").cast("long").alias("place"), "leaderboard_runs")
+    return score.board_places(normalize.scored_input(_raw(spark, sf_dir))).select("run_id", "leaderboard_name", "ranked_time", F.col("standing").cast("long").alias("standing"), F.col("place").cast("long").alias("place"), "entries")
 
 
-@_query(scored("SELECT leaderboard_name, count(*) FILTER (best_before IS NULL OR signed < best_before) AS num_wrs FROM walk GROUP BY 1"))
+@_query(scored("SELECT leaderboard_name, found AS record_count FROM improved"))
 def record_walk(spark, sf_dir):
     return score.record_counts(normalize.scored_input(_raw(spark, sf_dir)))
 
 
-@_query(scored(f"SELECT leaderboard_name, total::BIGINT AS total_runs, n::BIGINT AS leaderboard_runs, records::BIGINT AS num_wrs, {round_('run_length', 3)} AS run_length, {round_('length_weight', 6)} AS length_weight, {round_('wr_value', 3)} AS wr_value, {round_('sf', 6)} AS sf FROM board"))
+@_query(scored(f"SELECT leaderboard_name, total::BIGINT AS timed_runs_seen, n::BIGINT AS entries, records::BIGINT AS record_count, {round_('minutes', 3)} AS minutes, {round_('length_factor', 6)} AS length_factor, {round_('top_worth', 3)} AS top_worth, {round_("shape", 6)} AS shape FROM board"))
 def board_stats(spark, sf_dir):
-    return _rounded(score.board_stats(score.board_places(normalize.scored_input(_raw(spark, sf_dir)))), run_length=3, length_weight=6, wr_value=3, sf=6)
+    return _rounded(score.board_stats(score.board_places(normalize.scored_input(_raw(spark, sf_dir)))), minutes=3, length_factor=6, top_worth=3, shape=6)
 
 
-@_query(scored(f"SELECT run_id, leaderboard_name, place, {round_('run_value', 3)} AS run_value FROM valued"))
+@_query(scored(f"SELECT run_id, leaderboard_name, place, {round_('worth', 3)} AS worth FROM valued"))
 def run_values(spark, sf_dir):
-    rows = score.value_boards(normalize.scored_input(_raw(spark, sf_dir))).select("run_id", "leaderboard_name", F.col("place").cast("long").alias("place"), "run_value")
-    return _rounded(rows, run_value=3)
+    rows = score.value_boards(normalize.scored_input(_raw(spark, sf_dir))).select("run_id", "leaderboard_name", F.col("place").cast("long").alias("place"), "worth")
+    return _rounded(rows, worth=3)
 
 
 @_query(published("SELECT * FROM runs"))
@@ -765,17 +765,18 @@ def snapshot_roundtrip(spark, sf_dir):
     return publish.read_snapshot(spark, root)["runs"].select("leaderboard_id", "leaderboard", "player_id", "place", "value", "date")
 
 
+def before_last_runs(spark: SparkSession, sf_dir: str) -> Callable[[], dict[str, DataFrame]]:
+    """Writes a snapshot of all but the last hundredth of the runs, with its state; what is returned publishes again from it."""
+    raw, root = _raw(spark, sf_dir), _shared(spark, "before")
+    n = raw["raw_runs"].agg(F.max("ord")).first()[0] or 0
+    tables, state = increment.publish_whole(raw | {"raw_runs": raw["raw_runs"].where(F.col("ord") <= n - n // 100)})
+    publish.write_snapshot(tables, root, "1")
+    increment.write_state(state, root, "1")
+    return lambda: increment.publish_again(raw, publish.read_snapshot(spark, root), increment.read_state(spark, root, "1"))[0]
+
+
 def _republished(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Published again from a snapshot of all but the last hundredth of the runs, with its state."""
-    def make() -> dict[str, DataFrame]:
-        raw, root = _raw(spark, sf_dir), _shared(spark, "before")
-        n = raw["raw_runs"].agg(F.max("ord")).first()[0] or 0
-        tables, state = increment.publish_whole(raw | {"raw_runs": raw["raw_runs"].where(F.col("ord") <= n - n // 100)})
-        publish.write_snapshot(tables, root, "1")
-        increment.write_state(state, root, "1")
-        return increment.publish_again(raw, publish.read_snapshot(spark, root), increment.read_state(spark, root, "1"))[0]
-
-    return _written(spark, sf_dir, "republished", make)
+    return _written(spark, sf_dir, "republished", lambda: before_last_runs(spark, sf_dir)())
 
 
 @_query(published("SELECT * FROM runs"))

@@ -23,14 +23,14 @@ HOT_ROWS = 1 << 20
 
 
 def _order() -> list[Column]:
-    return [F.col(c).asc() for c in ("t_ord", "date", "date_submitted", "ord")]
+    return [F.col(c).asc() for c in ("ranked_time", "date", "date_submitted", "ord")]
 
 
 def timed_runs(scored: DataFrame) -> DataFrame:
-    """Runs with a time, with `signed` and, with the penalty for a missing timer, `t_ord`; runs without a board name are out."""
+    """Runs with a time, with `signed` and, with the penalty for a missing timer, `ranked_time`; runs without a board name are out."""
     signed = F.when(F.col("is_reverse"), -F.col("t")).otherwise(F.col("t"))
     rows = scored.where(F.col("t").isNotNull() & F.col(BOARD).isNotNull()).withColumn("signed", signed)
-    return rows.withColumn("t_ord", F.col("signed") + F.when(F.col("missing_primary"), F.lit(PENALTY)).otherwise(0.0))
+    return rows.withColumn("ranked_time", F.col("signed") + F.when(F.col("missing_primary"), F.lit(PENALTY)).otherwise(0.0))
 
 
 def _halves(scored: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -43,7 +43,7 @@ def _halves(scored: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 
 
 def _with_records(rows: DataFrame) -> DataFrame:
-    """Adds is_record and the board's total_runs and num_records, by windows.
+    """Adds is_record and the board's timed_runs_seen and num_records, by windows.
 
     An improvement is a dated run that beats all dated runs before it; the penalty for a missing timer doesn't enter.
     """
@@ -53,7 +53,7 @@ def _with_records(rows: DataFrame) -> DataFrame:
     board = Window.partitionBy(BOARD)
     rows = rows.withColumn("best_before", F.min(F.when(dated, F.col("signed"))).over(walk))
     record = dated & (F.col("best_before").isNull() | (F.col("signed") < F.col("best_before")))
-    return rows.withColumn("is_record", record).withColumn("total_runs", F.count("*").over(board)).withColumn("num_records", F.count_if("is_record").over(board)).drop("best_before")
+    return rows.withColumn("is_record", record).withColumn("timed_runs_seen", F.count("*").over(board)).withColumn("num_records", F.count_if("is_record").over(board)).drop("best_before")
 
 
 def _records_by_ranges(rows: DataFrame) -> DataFrame:
@@ -71,14 +71,14 @@ def _records_by_ranges(rows: DataFrame) -> DataFrame:
 
 
 def record_counts(scored: DataFrame) -> DataFrame:
-    """(board, num_wrs): record improvements of each board with dated runs."""
+    """(board, record_count): record improvements of each board with dated runs."""
     usual, hot = _halves(scored)
-    out = _with_records(usual).where("date > 0").groupBy(BOARD).agg(F.count_if("is_record").alias("num_wrs"))
-    return out.unionByName(_records_by_ranges(hot).withColumnRenamed("num_records", "num_wrs")) if hot else out
+    out = _with_records(usual).where("date > 0").groupBy(BOARD).agg(F.count_if("is_record").alias("record_count"))
+    return out.unionByName(_records_by_ranges(hot).withColumnRenamed("num_records", "record_count")) if hot else out
 
 
 def _middle() -> Column:
-    return F.floor((F.col("leaderboard_runs") - 1) / 2) + 1
+    return F.floor((F.col("entries") - 1) / 2) + 1
 
 
 def _places(rows: DataFrame) -> DataFrame:
@@ -89,28 +89,28 @@ def _places(rows: DataFrame) -> DataFrame:
     board = Window.partitionBy(BOARD)
     rows = rows.withColumns(
         {
-            "nominal_place": F.row_number().over(board.orderBy(*_order())).cast("long"),
-            "place": F.rank().over(board.orderBy(F.col("t_ord").asc())).cast("long"),
-            "leaderboard_runs": F.count("*").over(board),
+            "standing": F.row_number().over(board.orderBy(*_order())).cast("long"),
+            "place": F.rank().over(board.orderBy(F.col("ranked_time").asc())).cast("long"),
+            "entries": F.count("*").over(board),
         }
     )
-    return rows.withColumn("middle", F.max(F.when(F.col("nominal_place") == _middle(), F.col("t"))).over(board))
+    return rows.withColumn("middle", F.max(F.when(F.col("standing") == _middle(), F.col("t"))).over(board))
 
 
 def _places_by_ranges(rows: DataFrame) -> DataFrame:
     """The same columns without windows over boards: best runs by partial aggregates, places from a numbering of all rows
     by board and order, what belongs to a board or tie by aggregates and joins."""
-    totals = rows.groupBy(BOARD).agg(F.count("*").alias("total_runs")).join(_records_by_ranges(rows), BOARD, "left").fillna(0, ["num_records"])
+    totals = rows.groupBy(BOARD).agg(F.count("*").alias("timed_runs_seen")).join(_records_by_ranges(rows), BOARD, "left").fillna(0, ["num_records"])
     keys = [BOARD, "player_ids"]
-    lead = ["t_ord", "date", "date_submitted", "ord"]
+    lead = ["ranked_time", "date", "date_submitted", "ord"]
     rest = [c for c in rows.columns if c not in keys + lead]
     best = rows.groupBy(*keys).agg(F.min(F.struct(*lead, *rest)).alias("x")).select(*keys, "x.*")
     numbered = global_row_number(best, [F.col(BOARD).asc(), *_order()], "_n")
-    starts = numbered.groupBy(BOARD).agg(F.min("_n").alias("_first"), F.count("*").alias("leaderboard_runs"))
-    placed = numbered.join(starts, BOARD).withColumn("nominal_place", F.col("_n") - F.col("_first") + 1)
-    ties = placed.groupBy(BOARD, "t_ord").agg(F.min("nominal_place").alias("place"))
-    middle = placed.where(F.col("nominal_place") == _middle()).select(BOARD, F.col("t").alias("middle"))
-    return placed.join(ties, [BOARD, "t_ord"]).join(totals, BOARD).join(middle, BOARD).drop("_n", "_first")
+    starts = numbered.groupBy(BOARD).agg(F.min("_n").alias("_first"), F.count("*").alias("entries"))
+    placed = numbered.join(starts, BOARD).withColumn("standing", F.col("_n") - F.col("_first") + 1)
+    ties = placed.groupBy(BOARD, "ranked_time").agg(F.min("standing").alias("place"))
+    middle = placed.where(F.col("standing") == _middle()).select(BOARD, F.col("t").alias("middle"))
+    return placed.join(ties, [BOARD, "ranked_time"]).join(totals, BOARD).join(middle, BOARD).drop("_n", "_first")
 
 
 def board_places(scored: DataFrame) -> DataFrame:
@@ -120,36 +120,36 @@ def board_places(scored: DataFrame) -> DataFrame:
 
 
 def with_stats(places: DataFrame) -> DataFrame:
-    """Adds run_length (minutes of the lower-middle run), length_weight, record value and shape factor of the board."""
-    n, total, records = (F.col(c).cast("double") for c in ("leaderboard_runs", "total_runs", "num_records"))
+    """Adds minutes (minutes of the lower-middle run), length_factor, record value and shape factor of the board."""
+    n, total, records = (F.col(c).cast("double") for c in ("entries", "timed_runs_seen", "num_records"))
     length = (F.col("middle") % F.lit(PENALTY)) / F.lit(60.0)
-    weight = F.lit(1.1) - F.pow(F.lit(1.01), -(F.col("run_length") + F.lit(200.0))) - F.pow(F.lit(2.4), -(F.col("run_length") + F.lit(1.2)))
+    weight = F.lit(1.1) - F.pow(F.lit(1.01), -(F.col("minutes") + F.lit(200.0))) - F.pow(F.lit(2.4), -(F.col("minutes") + F.lit(1.2)))
     effort = (F.log(total) / F.log(F.lit(1.7))) * records + F.lit(120.0) * F.exp(F.lit(-100.0) / total) + F.lit(0.04) * total
-    value = effort * (F.lit(1.0) - (records + 1.0) / (total + n)) * F.col("length_weight")
-    shape = F.when(F.col("leaderboard_runs") > 2, (F.log(n) / F.log(F.lit(10.0))) / n + F.lit(0.001)).otherwise(F.lit(0.2))
-    return places.withColumn("run_length", length).withColumn("length_weight", weight).withColumn("wr_value", value).withColumn("sf", shape)
+    value = effort * (F.lit(1.0) - (records + 1.0) / (total + n)) * F.col("length_factor")
+    shape = F.when(F.col("entries") > 2, (F.log(n) / F.log(F.lit(10.0))) / n + F.lit(0.001)).otherwise(F.lit(0.2))
+    return places.withColumn("minutes", length).withColumn("length_factor", weight).withColumn("top_worth", value).withColumn("shape", shape)
 
 
 def board_stats(places: DataFrame) -> DataFrame:
     """One row for each board."""
-    return with_stats(places).select(BOARD, "total_runs", "leaderboard_runs", F.col("num_records").alias("num_wrs"), "run_length", "length_weight", "wr_value", "sf").dropDuplicates([BOARD])
+    return with_stats(places).select(BOARD, "timed_runs_seen", "entries", F.col("num_records").alias("record_count"), "minutes", "length_factor", "top_worth", "shape").dropDuplicates([BOARD])
 
 
 def _nominal(places: DataFrame) -> DataFrame:
     rows = with_stats(places)
-    n, p = F.col("leaderboard_runs"), F.col("nominal_place")
-    value = F.col("sf") * F.col("wr_value") * (n + 1 - p) / (p + (F.col("sf") * n - F.lit(1.0)))
-    return rows.withColumn("nominal_value", value * F.when(F.col("is_level_run"), F.lit(LEVEL_FACTOR)).otherwise(F.lit(1.0)))
+    n, p = F.col("entries"), F.col("standing")
+    value = F.col("shape") * F.col("top_worth") * (n + 1 - p) / (p + (F.col("shape") * n - F.lit(1.0)))
+    return rows.withColumn("standing_worth", value * F.when(F.col("is_level_run"), F.lit(LEVEL_FACTOR)).otherwise(F.lit(1.0)))
 
 
 def value_boards(scored: DataFrame) -> DataFrame:
-    """Places, stats, the value at each unique place and its mean over a tie (run_value)."""
+    """Places, stats, the value at each unique place and its mean over a tie (worth)."""
     usual, hot = _halves(scored)
-    out = _nominal(_places(usual)).withColumn("run_value", F.avg("nominal_value").over(Window.partitionBy(BOARD, "place")))
+    out = _nominal(_places(usual)).withColumn("worth", F.avg("standing_worth").over(Window.partitionBy(BOARD, "place")))
     if hot is None:
         return out
     rows = staged(_nominal(_places_by_ranges(hot)), "hot-places")
-    means = rows.groupBy(BOARD, "place").agg(F.avg("nominal_value").alias("run_value"))
+    means = rows.groupBy(BOARD, "place").agg(F.avg("standing_worth").alias("worth"))
     return out.unionByName(rows.join(means, [BOARD, "place"]))
 
 
@@ -158,14 +158,14 @@ def credit_runs(valued: DataFrame, players: DataFrame, games: DataFrame, platfor
 
     Guests and excluded names lose their credit, not their share. With `ids`, boards are numbered by name.
     """
-    each = valued.select(BOARD, "game_id", "nominal_place", "place", "run_value", "platform_id", "date", F.size("player_ids").alias("listed"), F.posexplode("player_ids").alias("position", "player_id"))
+    each = valued.select(BOARD, "game_id", "standing", "place", "worth", "platform_id", "date", F.size("player_ids").alias("listed"), F.posexplode("player_ids").alias("position", "player_id"))
     known = players.where(~F.col("is_guest")).join(excluded.where("name is not null"), "name", "left_anti")
     each = each.join(known.where("name is not null").select(F.col("id").alias("player_id"), F.col("name").alias("player"), "country", "flag"), "player_id")
-    each = first_per_key(each, [BOARD, "player_id"], [F.col("nominal_place").asc(), F.col("position").asc()])
+    each = first_per_key(each, [BOARD, "player_id"], [F.col("standing").asc(), F.col("position").asc()])
     each = each.join(games.select(F.col("id").alias("game_id"), F.col("name").alias("game")), "game_id").join(platforms.select(F.col("id").alias("platform_id"), F.col("name").alias("platform")), "platform_id", "left")
     rows = each.select(
         F.col(BOARD).alias("leaderboard"), "game_id", "game", "player_id", "player", "country", "flag", "platform_id", "platform",
-        F.col("place").cast("int").alias("place"), round_half_away(F.col("run_value") / F.col("listed"), 3).alias("value"),
+        F.col("place").cast("int").alias("place"), round_half_away(F.col("worth") / F.col("listed"), 3).alias("value"),
         F.when(F.col("date") > 0, F.timestamp_seconds("date").cast("date")).alias("date"),
     )
     return dense_ids(rows, "leaderboard", "leaderboard_id").withColumn("leaderboard_id", F.col("leaderboard_id").cast("int")) if ids else rows

@@ -208,7 +208,6 @@ def test_publishing_again_gives_what_publishing_gives(spark):
     n = raw["raw_runs"].agg(F.max("ord")).first()[0]
     some = raw["raw_players"].where("id in ('C10', 'C11')").select("id")
     starts = {
-        "runs came": raw | {"raw_runs": raw["raw_runs"].where(F.col("ord") <= n - 60)},
         "a game was completed, a category and players became known": raw | {
             "raw_runs": raw["raw_runs"].where(F.col("ord") <= n - 60), "raw_categories": raw["raw_categories"].where("id <> 'g3-A'"), "raw_players": raw["raw_players"].join(some, "id", "left_anti"),
             "crawl_checkpoint": raw["crawl_checkpoint"].withColumn("status", F.when(F.col("game_id") == "g5", "error").otherwise(F.col("status"))),

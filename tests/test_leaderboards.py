@@ -40,13 +40,13 @@ def _board(spark, rows):
 
 def test_best_run_of_each_list_and_shared_places(spark):
     rows = _board(spark, [(["a"], 10.0, 1, False), (["a"], 9.0, 2, False), (["b", "a"], 9.0, 3, False), (["a", "b"], 12.0, 4, False), (["c"], None, 5, False)])
-    got = {tuple(r.player_ids): (r.nominal_place, r.place, r.leaderboard_runs, r.total_runs, r.num_records) for r in score.board_places(rows).collect()}
+    got = {tuple(r.player_ids): (r.standing, r.place, r.entries, r.timed_runs_seen, r.num_records) for r in score.board_places(rows).collect()}
     assert got == {("a",): (1, 1, 3, 4, 2), ("b", "a"): (2, 1, 3, 4, 2), ("a", "b"): (3, 3, 3, 4, 2)}
 
 
 def test_boards_by_ranges_are_those_by_windows(spark, monkeypatch):
     scored = storage.staged(catalogue.normalize.scored_input(catalogue._raw(spark, SF)), "scored")
-    columns = ["run_id", score.BOARD, "nominal_place", "place", "leaderboard_runs", "total_runs", "num_records", "run_length", "run_value"]
+    columns = ["run_id", score.BOARD, "standing", "place", "entries", "timed_runs_seen", "num_records", "minutes", "worth"]
     found = lambda: sorted(tuple(f"{x:.9f}" if isinstance(x, float) else str(x) for x in r) for r in score.value_boards(scored).select(columns).collect())
     walks = lambda: sorted(map(tuple, score.record_counts(scored).collect()))
     want, counts = found(), walks()
