@@ -59,7 +59,7 @@ def _raw(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 def _snapshot(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     root = _shared(spark, "snapshot")
-    publish.write_snapshot(publish.publish(_raw(spark, sf_dir)), root, "2024-01-08")
+    publish.write_snapshot(publish.publish_crawl(_raw(spark, sf_dir)), root, "2024-01-08")
     return publish.read_snapshot(spark, root)
 
 
@@ -517,7 +517,7 @@ def _previous(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
     runs = t["runs"].where(~F.col("game_id").isin("g3", "g6"))
     ranks = publish.player_ranks(runs)
     old = t["games"].where(~F.col("id").isin("g3", "g6"))
-    meta = runs.agg(F.count("*").alias("row_count")).crossJoin(old.agg(F.count("*").alias("game_count"))).crossJoin(ranks.agg(F.count("*").alias("player_count")))
+    meta = runs.agg(F.lit("v0").alias("data_version"), F.count("*").alias("row_count")).crossJoin(old.agg(F.count("*").alias("game_count"))).crossJoin(ranks.agg(F.count("*").alias("player_count")))
     return {"runs": runs, "player_ranks": ranks, "meta": meta}
 
 
@@ -554,6 +554,12 @@ def dq_stats(spark, sf_dir):
     return _rounded(quality.snapshot_stats(t, _previous(t)), value_ratio=6)
 
 
+@_query(published(f"SELECT data_version, row_count, raw_run_count, game_count, leaderboard_count, player_count, errored_games, 'v0' AS previous_version, row_count - o_rows AS row_delta, {round_('ratio', 6)} AS value_ratio, overlap AS top_overlap FROM m, c", _PREVIOUS))
+def dq_report(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    return _rounded(quality.report_stats(t, _previous(t)), value_ratio=6).drop("schema_version", "scraped_at", "published_at")
+
+
 @_query(published("SELECT overlap FROM c", _PREVIOUS))
 def dq_top100(spark, sf_dir):
     t = _tables(spark, sf_dir)

@@ -16,6 +16,10 @@ from . import normalize, quality, score
 
 Tables = dict[str, DataFrame]
 SCHEMA_VERSION = 1
+#: Fixed value: the stage of a crawl that has come to its end.
+LAST_STAGE = "games_crawled"
+#: Days that a snapshot is fresh, so that no new crawl is published.
+MIN_DAYS = 3.0
 #: Each further result of a player counts for a hundredth less, down to a quarter.
 DECAY, FLOOR = 0.99, 0.25
 #: Columns of runs with a Bloom filter, and the distinct values of a row group it is made for (about 1.2 bytes each).
@@ -94,6 +98,44 @@ def published_runs(raw: Tables, scored: DataFrame | None = None, players: DataFr
     return dense_ids(runs, "leaderboard", "leaderboard_id").withColumn("leaderboard_id", F.col("leaderboard_id").cast("int"))
 
 
+class UnfinishedCrawl(RuntimeError):
+    """The crawl that should be published hasn't come to its end."""
+
+
+def crawl_state(crawl_meta: DataFrame) -> dict[str, str]:
+    """The keys of a crawl (version, started_at, stage), a few rows."""
+    return {r["key"]: r["value"] for r in crawl_meta.select("key", "value").collect()}
+
+
+def publish_crawl(raw: Tables) -> Tables:
+    """The tables of a finished crawl, with its version and start; UnfinishedCrawl if its stage isn't the last one."""
+    state = crawl_state(raw["crawl_meta"])
+    if state.get("stage") != LAST_STAGE:
+        raise UnfinishedCrawl(f"the crawl {state.get('version', '')} is at the stage {state.get('stage', 'none')}")
+    started = state.get("started_at") or datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%d %H:%M:%S")
+    return publish(raw, state.get("version", "v1"), started.replace("T", " "))
+
+
+def snapshot_age(spark: SparkSession, root: str, now: datetime.datetime) -> float | None:
+    """Days since the crawl of the snapshot published last began; None without one."""
+    found = versions(spark, root)
+    if not found:
+        return None
+    seconds = spark.read.parquet(f"{root}/version={found[-1]}/meta").select(F.unix_timestamp("scraped_at")).first()[0]
+    return (now.timestamp() - seconds) / 86400
+
+
+def weekly(raw: Tables, root: str, excluded: list[str], smoke_game: str, min_leaderboards: int = quality.MIN_LEADERBOARDS, min_days: float = MIN_DAYS, force: bool = False, now: datetime.datetime | None = None) -> DataFrame | None:
+    """Publishes a finished crawl if the newest snapshot is old enough (or with `force`) and all gates pass. Returns the
+    gates' rows, or None if it was too early."""
+    spark = raw["raw_runs"].sparkSession
+    age = snapshot_age(spark, root, now or datetime.datetime.now(datetime.UTC))
+    if not force and age is not None and age < min_days:
+        return None
+    tables = publish_crawl(raw)
+    return publish_checked(tables, root, tables["meta"].first()["data_version"], excluded, smoke_game, min_leaderboards)
+
+
 def publish(raw: Tables, data_version: str = "v1", scraped_at: str = "2024-01-08 00:00:00") -> Tables:
     """All published tables. Dimensions, scored_input and runs, which others read, are written once to shared storage."""
     return publish_scored(normalize.current(raw), data_version, scraped_at)[0]

@@ -42,6 +42,7 @@ def raw_tables(spark: SparkSession, sf_dir: str, ordered: bool = True) -> dict[s
         "raw_players": _players(read("customer"), read("supplier"), read("nation")),
         "crawl_checkpoint": games.select(F.col("id").alias("game_id"), F.when(F.col("k") % 17 == 0, "error").otherwise("done").alias("status"), _at(NEW).alias("finished_at")),
         "raw_game_list": games.select("id", F.concat(F.lit("Game "), "k").alias("name"), F.concat(F.lit("game"), "k").alias("url"), _at(NEW).alias("seen_at")),
+        "crawl_meta": spark.createDataFrame([("version", "v1"), ("started_at", NEW.replace(" ", "T")), ("stage", "games_crawled")], "key string, value string"),
         "excluded_players": spark.createDataFrame([(x,) for x in EXCLUDED_PLAYERS], "name string"),
     }
 

@@ -1,8 +1,10 @@
 """What keeps hot keys, many requests and small changes from becoming large work."""
 
+import datetime
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from rankengine.operators import ranking, storage
@@ -223,3 +225,20 @@ def test_publishing_again_gives_what_publishing_gives(spark):
         again, state = increment.publish_again(raw, publish.read_snapshot(spark, root), increment.read_state(spark, root, "1"))
         assert all(_same(again[name], want[name]) for name in publish.NAMES)
         assert state["scored"].count() == want["meta"].first()["raw_run_count"]
+
+
+def test_a_week_is_published_once_and_only_from_a_finished_crawl(spark):
+    raw, root = catalogue._raw(spark, SF), storage.new_path(spark, "weekly")
+    stage = lambda x: raw | {"crawl_meta": spark.createDataFrame([("version", x), ("stage", x)], "key string, value string")}
+    for unfinished in (stage("games_listed"), raw | {"crawl_meta": raw["crawl_meta"].limit(0)}):
+        with pytest.raises(publish.UnfinishedCrawl):
+            publish.weekly(unfinished, root, [], "Game 1", 10)
+    assert publish.snapshot_age(spark, root, datetime.datetime.now()) is None
+    good = raw | {"crawl_checkpoint": raw["crawl_checkpoint"].where("status = 'done'")}
+    assert publish.weekly(good, root, [], "Game 1", 10).where("not ok").count() == 0 and publish.versions(spark, root) == ["v1"]
+    at = datetime.datetime(2024, 1, 10, tzinfo=datetime.UTC)
+    assert publish.snapshot_age(spark, root, at) == 2 and publish.weekly(good, root, [], "Game 1", 10, now=at) is None
+    meta = publish.read_snapshot(spark, root)["meta"].first()
+    assert (meta.data_version, str(meta.scraped_at), meta.errored_games) == ("v1", "2024-01-08 00:00:00", 0)
+    assert publish.weekly(good, root, [], "No such game", 10, force=True, now=at).where("not ok").count() == 2
+    assert publish.weekly(good, root, [], "No such game", 10, now=at + datetime.timedelta(days=9)).where("not ok").count() == 2
