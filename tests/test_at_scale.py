@@ -242,3 +242,13 @@ def test_a_week_is_published_once_and_only_from_a_finished_crawl(spark, monkeypa
     assert (meta.data_version, str(meta.scraped_at), meta.errored_games) == ("v1", "2024-01-08 00:00:00", 0)
     assert publish.weekly(good, root, [], "No such game", 10, force=True, now=at).where("not ok").count() == 2
     assert publish.weekly(good, root, [], "No such game", 10, now=at + datetime.timedelta(days=9)).where("not ok").count() == 2
+
+
+def test_long_needles_are_sent_to_the_names_and_not_the_names_to_them(spark):
+    id_ = F.col("id").cast("string")
+    names = spark.range(2000).select(id_.alias("id"), F.concat(F.lit("Player#"), id_).alias("name"), id_.alias("slug"), F.concat(F.lit("player#"), id_).alias("name_lower"), id_.alias("slug_lower"))
+    table = storage.staged(names, "names")
+    found = requests.suggest_names(table, spark.createDataFrame([("er#19",), ("1999",)], "needle string"), index=storage.staged(requests.name_index(table), "names-index"))
+    assert "BuildLeft" not in _plan(found).split("Union")[-1]
+    got = {(r.needle, r.nth): r.name for r in found.collect()}
+    assert got[("er#19", 1)] == "Player#19" and got[("1999", 1)] == "Player#1999" and len(got) == 11
