@@ -252,3 +252,14 @@ def test_long_needles_are_sent_to_the_names_and_not_the_names_to_them(spark):
     assert "BuildLeft" not in _plan(found).split("Union")[-1]
     got = {(r.needle, r.nth): r.name for r in found.collect()}
     assert got[("er#19", 1)] == "Player#19" and got[("1999", 1)] == "Player#1999" and len(got) == 11
+
+
+def test_a_scope_of_many_players_and_all_games(spark, monkeypatch):
+    asked = {}
+    monkeypatch.setattr(requests, "player_rankings", lambda tables, scope: asked.setdefault("scope", scope))
+    ids = spark.range(2000).select(F.concat(F.lit("g"), "id").alias("id"))
+    monkeypatch.setattr(catalogue, "_tables", lambda s, d: {"games": ids})
+    catalogue.req_pr_many_players(spark, SF)
+    runs = ids.select(F.col("id").alias("game_id"), F.lit(None).cast("string").alias("platform_id"), F.lit("C7").alias("player_id"))
+    players = spark.createDataFrame([("C7", None)], "id string, area_id string")
+    assert scope.apply_scope(runs, players, asked["scope"]).count() == 2000
