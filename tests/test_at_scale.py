@@ -263,3 +263,11 @@ def test_a_scope_of_many_players_and_all_games(spark, monkeypatch):
     runs = ids.select(F.col("id").alias("game_id"), F.lit(None).cast("string").alias("platform_id"), F.lit("C7").alias("player_id"))
     players = spark.createDataFrame([("C7", None)], "id string, area_id string")
     assert scope.apply_scope(runs, players, asked["scope"]).count() == 2000
+
+
+def test_numbers_by_groups_of_a_key_and_raw_runs_written_once(spark):
+    rows = spark.range(0, 500, 1, 4).select((F.col("id") * 7919 % 97).alias("k"), (F.col("id") * 31 % 499).alias("x"))
+    got = sorted((r.n, r.k, r.x) for r in ranking.grouped_row_number(rows, "k", [F.col("x").asc()], "n").collect())
+    assert got == [(i + 1, k, x) for i, (k, x) in enumerate(sorted((r.k, r.x) for r in rows.collect()))]
+    plan = _plan(catalogue._raw(spark, SF)["raw_runs"])
+    assert "Scan parquet" in plan and "Join" not in plan
