@@ -54,6 +54,24 @@ def test_a_log_gets_the_answers_of_its_requests(spark, monkeypatch):
         assert (state[name].n_rows, state[name].truncated, sorted(state[name].warnings)) == (len(want), any(w["truncated"] for w in want), sorted(warnings))
 
 
+def test_open_scopes_cost_what_their_games_have(spark, monkeypatch):
+    monkeypatch.setattr(batch, "WORDS", 1)
+    monkeypatch.setattr(batch, "CHUNK", 64)
+    kept, staged = {}, batch.staged
+    monkeypatch.setattr(batch, "staged", lambda df, name: kept.setdefault(name, staged(df, name)))
+    tables, lands = catalogue._tables(spark, SF), catalogue._lands(spark)
+    queries = {f"q{k}": f"g=game{k % 3},!game{k % 2 + 7}&u=!C{k}&r=records&m=5" for k in range(200)} | {f"s{k}": "s=t-1,s-2&l=!r1&r=series" for k in range(50)}
+    rows, _ = batch.answer_log(spark.createDataFrame(list(queries.items()), "request_id string, query string"), tables, lands)
+    assert kept["player-words"].count() == 0  # before: each player for each chunk of scopes
+    assert kept["log-ids"].count() <= 200 * 3 + 50 * 3  # before: each game of a series for each request
+    found = {}
+    for r in rows.collect():
+        found.setdefault(r.request_id, []).append((r.rank, r.name, r.points))
+    for name in ("q4", "s0"):
+        want = answers.answer_query(queries[name], tables, lands)[0].collect()
+        assert want and sorted(found[name]) == sorted((w["Rank"], w["Leaderboard" if name == "q4" else "Series"], w["Points"]) for w in want)
+
+
 def test_one_query_string_is_read_as_a_log_is(spark):
     odd = ["g=a%2,b&g=%zz", "%67=x+y&l=%E2%82%AC", "r=runs&r=", "m=+7", "m=-3&r=nope", "m=99999999999999999999", "u=!,! x,!X&s=,", "g==a=b&&p", "limit=1.5"]
     log = catalogue._mixed_log(spark, SF).unionByName(spark.createDataFrame([(f"o{i}", q) for i, q in enumerate(odd)], "request_id string, query string"))
