@@ -8,16 +8,20 @@ Texts are words (A-Z lower-cased) and one end token. Counts cover every training
   least CONTEXT_SHARE; next symbols with a share of at least EVENT_SHARE are kept and smoothed with the next shorter
   context: counts plus the probability there, times the context's other events and PRIOR. The shares bound this part,
   which is sent to all tasks.
-* Exact contexts: the words from the nearest rare word (seen 2 to `rare` times in training) up to the place, at most
-  `reach` of them. Next words seen at least twice are kept and smoothed with the frequent part in the same way. Their
-  number grows with the corpus: they are a shuffled table and never gathered. A context has at most `rare` training
-  occurrences, so none is hot, however frequent its later words are.
+* Exact contexts: all runs of up to `reach` words, but those that the frequent part holds as they are (their share is at
+  least CONTEXT_SHARE and each word stands for itself). Next words seen at least twice are kept and smoothed with the
+  next shorter context in the same way, the shortest with the frequent part. Their number grows with the corpus: they are
+  a shuffled table and never gathered. A place goes to where the shortest of its exact contexts is, and the longer ones
+  with it; such a context has less than CONTEXT_SHARE of all places, so none is hot.
 * A context is retained if its distribution diverges from the shorter one's (log-likelihood gain of at least LEAST_GAIN
-  and one for each kept event); frequent contexts that a retained one ends with are retained, too.
+  and one for each kept event); contexts that a retained one ends with are retained, too.
 * Scoring: each token is predicted from the longest retained context that ends before it.
 
-Neighbouring documents make blocks of about BLOCK_BYTES, and each block asks for the counts of its own words. There the frequent part scores
-each place; a place with an exact context sends that, its next word and probability to where the context's other places
+With a number for `rare` there is one exact context a place instead: the words from the nearest one seen 2 to `rare` times
+in training on. That is cheaper, and leaves out all contexts that begin with a more frequent word.
+
+Neighbouring documents make blocks of about BLOCK_BYTES, and each block asks for the counts of its own words. There the
+frequent part scores each place; a place with an exact context sends that, its next word and probability to where the context's other places
 are, and the difference that the context makes comes back by document, in whole units of 1e-9, so reruns agree.
 
 Null and empty texts have the end token alone. Without training texts every token has base probability 1/1 and the score
@@ -48,10 +52,12 @@ CONTEXT_SHARE = 1e-4
 EVENT_SHARE = 1e-6
 PRIOR = 2.0
 LEAST_GAIN = 8.0
+PIECE_BYTES = 2 << 20  # of text scored at once
 LINK_BYTES = 4 << 20  # of text for each task that weighs exact contexts
 _BITS = 15  # of a symbol: SYMBOL_SHARE leaves at most 2 / SYMBOL_SHARE + 2; a context of 3 and its event fit a long
 END = 0
 REST = 1
+_SHORT_UNIT = float(1 << 18)  # a place sends its log10 probability from the shorter context in units of this part
 _UNIT = 1e9  # log10 differences are added as whole numbers of this part
 _END_HASH = np.uint64(0xD1B54A32D192ED03)
 
@@ -73,6 +79,7 @@ class Tree:
     weight: list[np.ndarray] = field(default_factory=list)  # their counts plus PRIOR
     events: list[np.ndarray] = field(default_factory=list)  # sorted packed (context, next)
     counts: list[np.ndarray] = field(default_factory=list)
+    hot: list[np.ndarray] = field(default_factory=list)  # by length - 1: contexts that are frequent, retained or not
 
     def finish(self) -> None:
         counts = np.concatenate([[self.ends, self.rest[0]], self.word_counts, self.class_counts]).astype(float)
@@ -246,6 +253,7 @@ def _grow(tree: Tree, blocked: DataFrame, depth: int) -> None:
         event, n, at = event[on], n[on], at[on]
         held = np.bincount(at, n, len(contexts))
         tree.frequent = contexts
+        tree.hot.append(contexts)
         tree.contexts.append(contexts)
         tree.weight.append(totals + PRIOR)
         tree.mass.append(totals - held + PRIOR)
@@ -291,6 +299,57 @@ def _exact_contexts(hashes: np.ndarray, rare: np.ndarray, begin: np.ndarray, rea
     return places, context[places]
 
 
+def _longer_contexts(tree: Tree, symbol: np.ndarray, hashes: np.ndarray, seen: np.ndarray, begin: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places with an exact context, the hash of the shortest one, and the words before it, nearest first (0: none that is
+    seen twice or within `reach`)."""
+    size = len(hashes)
+    start = np.repeat(begin[:-1], np.diff(begin))
+    at = np.arange(size)
+    own = (symbol >= 2) & (symbol < 2 + len(tree.words))
+    short = _short(tree, symbol, hashes)
+    group, rolled, packed = np.zeros(size, np.uint64), np.zeros(size, np.uint64), np.zeros(size, np.int64)
+    farther = np.zeros((max(reach - 1, 1), size), np.uint32)
+    width = np.full(size, -1)  # words before the shortest exact context so far; -1: no such context yet
+    live, frequent = np.ones(size, bool), np.ones(size, bool)
+    for k in range(1, reach + 1 if tree.total else 1):
+        j = np.where(at - k >= start, at - k, 0)
+        live = live & (at - k >= start) & seen[j]
+        rolled = mix(rolled ^ hashes[j])
+        packed |= symbol[j] << (_BITS * (k - 1))
+        further = live & (width >= 0)
+        farther[width[further], np.flatnonzero(further)] = short[j[further]]
+        width[further] += 1
+        known = tree.hot[k - 1]
+        frequent = frequent & own[j] & (known[np.minimum(np.searchsorted(known, packed), len(known) - 1)] == packed if len(known) else False)
+        new = live & (width < 0) & ~frequent
+        group[new], width[new] = rolled[new], 0
+    places = np.flatnonzero(width >= 0)
+    return places, group[places], farther[:, places]
+
+
+def _short(tree: Tree, symbol: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """A word in 32 bits: frequent ones by their symbols, which compress, others by their hashes."""
+    own = (symbol >= 2) & (symbol < 2 + len(tree.words))
+    return np.where(own, symbol, hashes >> np.uint64(33) | np.uint64(1 << 31)).astype(np.uint32)
+
+
+def _bundle(columns: list[tuple[np.ndarray, int]]) -> bytes:
+    """Columns of whole numbers, so many low bytes of each, as a compressed string: byte by byte, so that like bytes meet."""
+    planes = [np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T) for x, n in columns]
+    return pa.compress(np.concatenate(planes).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unbundle(data: bytes, size: int, widths: list[int]) -> list[np.ndarray]:
+    planes = np.frombuffer(pa.decompress(data, size * sum(widths), codec="zstd", asbytes=True), np.uint8).reshape(sum(widths), size)
+    out, first = [], 0
+    for n in widths:
+        whole = np.zeros((size, 8), np.uint8)
+        whole[:, :n] = planes[first : first + n].T
+        out.append(whole.view("<u8").ravel() if n > 4 else np.ascontiguousarray(whole[:, :4]).view("<u4").ravel())
+        first += n
+    return out
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, its neighbouring rows as a compressed Arrow stream): texts cross the network in this form."""
     for batch in batches:
@@ -304,17 +363,28 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(of[i : i + 1]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "rows"])
 
 
-def _scorer(sent, kind: pa.DataType, reach: int, rare: int) -> Callable:
-    """Of a block: a row with `head` for each document, and one for each place with an exact context."""
+def _scorer(sent, kind: pa.DataType, reach: int, rare: int | None, parts: int) -> Callable:
+    """Of a block: a row with `head` for each document, and one for each place with an exact context; for all contexts one
+    for the places that go to the same of `parts`."""
     head_type = pa.struct([("doc_id", kind), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
 
+    def bundles(key: np.ndarray, group: np.ndarray, *rest: np.ndarray) -> pa.Table:
+        part = (group >> np.uint64(40)) % np.uint64(parts)
+        group = group & np.uint64((1 << 40) - 1)
+        order = np.argsort(part << np.uint64(40) | group)
+        part, columns = part[order].astype(np.int64), [x[order] for x in (key, group, *rest)]
+        cuts = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), len(order)]
+        data = [_bundle([(x[i:j], w) for x, w in zip(columns, _widths(len(rest) - 2), strict=True)]) for i, j in zip(cuts, cuts[1:], strict=False)]
+        m = len(data)
+        return pa.table([pa.nulls(m, pa.int64()), pa.array(part[cuts[:-1]], pa.int64()), pa.array(np.diff(cuts), pa.int64()), pa.nulls(m, head_type), pa.array(data, pa.binary())], _SENT)
+
     def score(texts: pa.Table, counts: pa.Table) -> pa.Table:
         tree = sent.value
         vocabulary, known = counts.column("word").combine_chunks(), counts.column("c").to_numpy()
         words = pa.array(tree.words, pa.string())
-        out = [pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), head_type)], _SENT)]
+        out = [pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), head_type, pa.binary())], _SENT)]
         for stream in texts.column("rows"):
-            for piece in (x for batch in pa.ipc.open_stream(stream.as_buffer()) for x in pieces(batch)):
+            for piece in (x for batch in pa.ipc.open_stream(stream.as_buffer()) for x in pieces(batch, size=PIECE_BYTES)):
                 symbol, begin, place, distinct, of = _sequences(tree, piece)
                 c = np.zeros(len(distinct) + 1, np.int64)
                 hashes = np.full(len(distinct) + 1, _END_HASH, np.uint64)
@@ -324,7 +394,7 @@ def _scorer(sent, kind: pa.DataType, reach: int, rare: int) -> Callable:
                     own = pc.fill_null(pc.index_in(distinct, value_set=words), -1).to_numpy(zero_copy_only=False)
                     c[:-1] = np.where(own >= 0, tree.word_counts[own] if len(words) else 0, c[:-1])
                     hashes[:-1] = hash_words(distinct)
-                rare_word = (c >= 2) & (c <= rare)
+                rare_word = (c >= 2) & (c <= (rare or 0))
                 rare_word[-1] = False
                 c[-1] = tree.ends
                 count = c[place]
@@ -335,12 +405,21 @@ def _scorer(sent, kind: pa.DataType, reach: int, rare: int) -> Callable:
                 key = piece.column("row").to_numpy() << 1 | piece.column("train").to_numpy(zero_copy_only=False)
                 head = pa.StructArray.from_arrays([piece.column("doc_id"), pa.array(n), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], fields=list(head_type))
                 spread = mix(key).view(np.int64)
-                out.append(pa.table([pa.array(key), pa.array(spread), pa.array(np.zeros(len(n), np.int64)), head], _SENT))
+                if rare is None:
+                    spread = (spread.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+                out.append(pa.table([pa.array(key), pa.array(spread), pa.array(np.zeros(len(n), np.int64)), head, pa.nulls(len(n), pa.binary())], _SENT))
+                if rare is None:
+                    seen = (c >= 2)[place] & (place >= 0)
+                    places, group, farther = _longer_contexts(tree, symbol, hashes[place], seen, begin, reach)
+                    following = np.where((c >= 2)[place] | (place < 0), _short(tree, symbol, hashes[place]), 0)[places]
+                    units = np.rint(np.minimum(-full[places], 60.0) * _SHORT_UNIT).astype(np.int64)
+                    out.append(bundles(np.repeat(key, n)[places], group, *farther, following, units.astype(np.uint32)))
+                    continue
                 places, context = _exact_contexts(hashes[place], rare_word[place], begin, reach)
                 if len(places):
                     following = hashes[place[places]] >> np.uint64(32) << np.uint64(32)
                     packed = (following | full[places].astype(np.float32).view(np.uint32).astype(np.uint64)).view(np.int64)
-                    out.append(pa.table([pa.array(np.repeat(key, n)[places]), pa.array(context.view(np.int64)), pa.array(packed), pa.nulls(len(places), head_type)], _SENT))
+                    out.append(pa.table([pa.array(np.repeat(key, n)[places]), pa.array(context.view(np.int64)), pa.array(packed), pa.nulls(len(places), head_type), pa.nulls(len(places), pa.binary())], _SENT))
         return pa.concat_tables(out)
 
     return score
@@ -368,13 +447,51 @@ def weigh(context: np.ndarray, following: np.ndarray, shorter: np.ndarray, train
     return out
 
 
-def _weighed(kind: pa.DataType) -> Callable:
+def weigh_all(group: np.ndarray, farther: list[np.ndarray], following: np.ndarray, shorter: np.ndarray, train: np.ndarray) -> np.ndarray:
+    """The same as `weigh` for all contexts that begin with `group` and go on with `farther` words (0: none)."""
+    first = shorter * np.log(10)
+    at, p = np.arange(len(group)), first
+    levels = []
+    context = np.unique(group, return_inverse=True)[1]
+    for k in range(len(farther) + 1):
+        if k:
+            on = np.flatnonzero((farther[k - 1][at] != 0) & (levels[-1][1][levels[-1][2]] >= 2))
+            at, p = at[on], p[on]
+            context = np.unique(levels[-1][2][on].astype(np.uint64) << np.uint64(32) | farther[k - 1][at], return_inverse=True)[1]
+        if not len(at):
+            break
+        learnt = train[at]
+        events, event = np.unique(context.astype(np.uint64) << np.uint64(32) | following[at], return_inverse=True)
+        parent = (events >> np.uint64(32)).astype(np.int64)
+        n = np.bincount(event, learnt, len(events))
+        n[(n < 2) | (events & np.uint64(0xFFFFFFFF) == 0)] = 0
+        total = np.bincount(context, learnt)
+        mass = total - np.bincount(parent, n, len(total)) + PRIOR
+        longer = np.log((n[event] + mass[context] * np.exp(p)) / (total + PRIOR)[context])
+        retained = np.bincount(context, (longer - p) * learnt, len(total)) >= LEAST_GAIN + np.bincount(parent, n > 0, len(total))
+        levels.append((at, total, context, longer, retained))
+        p = longer
+    out, done = first.copy(), np.zeros(len(group), bool)
+    below = np.zeros(len(group), bool)  # a longer context of the place is retained
+    for at, _, context, longer, retained in reversed(levels):
+        kept = retained | (np.bincount(context, below[at], len(retained)) > 0)
+        mine = kept[context]
+        below[at] |= mine
+        new = mine & ~done[at]
+        out[at[new]], done[at[new]] = longer[new], True
+    return (out - first) / np.log(10)
+
+
+def _weighed(kind: pa.DataType, reach: int) -> Callable:
     names = ["key", "more", "doc_id", "n_tokens", "n_known", "base", "score"]
     kinds = [pa.int64(), pa.int64(), kind, pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
     def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
+        held, bundled = [], []
         for batch in batches:
+            many = batch.filter(pc.is_valid(batch.column("bundle")))
+            bundled += [_unbundle(x.as_buffer(), n, _widths(max(reach - 1, 1))) for x, n in zip(many.column("bundle"), many.column("packed").to_pylist(), strict=True)]
+            batch = batch.filter(pc.is_null(batch.column("bundle")))
             is_head = pc.is_valid(batch.column("head"))
             heads = batch.filter(is_head)
             if heads.num_rows:
@@ -382,10 +499,16 @@ def _weighed(kind: pa.DataType) -> Callable:
             links = batch.filter(pc.invert(is_head))
             if links.num_rows:
                 held.append(tuple(links.column(x).to_numpy() for x in ("key", "context", "packed")))
-        if held:
-            key, context, packed = (np.concatenate(x) for x in zip(*held))
-            shorter = (packed & 0xFFFFFFFF).astype(np.uint32).view(np.float32).astype(np.float64)
-            units = np.rint(weigh(context, packed >> 32, shorter, key & 1) * _UNIT)
+        if held or bundled:
+            if held:
+                key, context, packed = (np.concatenate(x) for x in zip(*held))
+                shorter = (packed & 0xFFFFFFFF).astype(np.uint32).view(np.float32).astype(np.float64)
+                change = weigh(context, packed >> 32, shorter, key & 1)
+            else:
+                key, group, *farther, following, short = (np.concatenate(x) for x in zip(*bundled))
+                key = key.view(np.int64)
+                change = weigh_all(group, farther, following, short / -_SHORT_UNIT, key & 1)
+            units = np.rint(change * _UNIT)
             on = np.flatnonzero(units)
             keys, at = np.unique(key[on], return_inverse=True)
             more = np.bincount(at, units[on], len(keys)).astype(np.int64)
@@ -395,16 +518,26 @@ def _weighed(kind: pa.DataType) -> Callable:
     return weighed
 
 
-_SENT = ["key", "context", "packed", "head"]
+_SENT = ["key", "context", "packed", "head", "bundle"]
+
+
+def _widths(farther: int) -> list[int]:
+    """Bytes of the columns of a bundle: key, group, farther words, next word, probability from the shorter context."""
+    return [8, 5, *[4] * farther, 4, 4]
 
 
-def score_texts(docs: DataFrame, depth: int = 1, reach: int = 3, rare: int = 32) -> DataFrame:
+def score_texts(docs: DataFrame, depth: int = 1, reach: int = 3, rare: int | None = None) -> DataFrame:
     """Learns from rows of `docs` (doc_id, text, train) with `train` and scores all rows.
 
-    Frequent contexts have up to `depth` symbols, exact ones up to `reach` words from one seen at most `rare` times on.
+    Exact contexts are all of up to `reach` (at most 3) words, frequent ones have as many symbols, or `depth`. With `rare`
+    frequent contexts have up to `depth` symbols, exact ones up to `reach` words from one seen at most `rare` times on.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities of the text).
     """
+    if rare is None:
+        depth = max(depth, reach)
+    if depth > 3:
+        raise ValueError("contexts have three symbols at most")
     spark = docs.sparkSession
     size = staging.text_bytes(docs)
     field = docs.schema["doc_id"].dataType
@@ -434,10 +567,11 @@ def score_texts(docs: DataFrame, depth: int = 1, reach: int = 3, rare: int = 32)
         staging.release(spark, since)
     sent = spark.sparkContext.broadcast(tree)
     needed = asked.where((F.col("c") > 0) & (F.col("c") < max(SYMBOL_SHARE * total, 1.0))).select(F.col("block").alias("side"), "word", "c")
-    schema = f"key bigint, context bigint, packed bigint, head struct<doc_id: {kind}, n_tokens: bigint, n_known: bigint, base: double, score: double>"
-    scored = blocked.mapInArrow(_packed, "block bigint, rows binary").groupBy("block").cogroup(needed.groupBy("side")).applyInArrow(_scorer(sent, arrow, reach, rare), schema)
-    parts = scored.repartition(max(32, size // LINK_BYTES + 1), "context")
-    parts = parts.mapInArrow(_weighed(arrow), f"key bigint, more bigint, doc_id {kind}, n_tokens bigint, n_known bigint, base double, score double")
+    schema = f"key bigint, context bigint, packed bigint, head struct<doc_id: {kind}, n_tokens: bigint, n_known: bigint, base: double, score: double>, bundle binary"
+    parts_n = max(32, size // LINK_BYTES + 1)
+    scored = blocked.mapInArrow(_packed, "block bigint, rows binary").groupBy("block").cogroup(needed.groupBy("side")).applyInArrow(_scorer(sent, arrow, reach, rare, parts_n), schema)
+    parts = scored.repartition(parts_n, "context")
+    parts = parts.mapInArrow(_weighed(arrow, reach), f"key bigint, more bigint, doc_id {kind}, n_tokens bigint, n_known bigint, base double, score double")
     whole_rows = parts.groupBy("key").agg(F.sum("more").alias("more"), *(F.max(x).alias(x) for x in ("doc_id", "n_tokens", "n_known", "base", "score")))
     more = F.coalesce("more", F.lit(0)) / F.lit(_UNIT)
     held_out = F.col("key").bitwiseAND(F.lit(1)) == 0
