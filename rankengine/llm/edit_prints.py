@@ -9,10 +9,11 @@ SAMPLES bits of them. So a fingerprint grows with the logarithm of the length, a
 the bits agree everywhere, or in half of the places, where characters differ. Behind its end a text counts as one more
 character. The likeness of two fingerprints is the share of places, up to the longer one's end, that hold the same.
 
-Near texts are found by bands of sampled bits: texts of equal bands form a bucket, whose members are compared with the
-bucket's first text by their whole fingerprints. So work is linear in the texts, copies count once, and a bucket of any
-size is neither gathered nor paired. Verified links are joined by union-find; two near texts that are both unlike the
-first texts of all their buckets stay apart.
+Near texts are all pairs of different fingerprints that are alike enough. Behind its end a text holds one and the same
+character, so a fingerprint alone says how short a near one can be at least: lengths fall into cells, and each fingerprint
+is compared with all those of its own cell and of the cells down to that. Cells of many are cut into tiles of pairs, so a
+task holds a bounded number, and copies count once. Nothing is left out; the comparisons grow with the square of the
+different texts of like length, and most of them look at one stratum only. Links are joined by union-find.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ from operator import getitem, itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import staging
 from .near_dup import components
@@ -36,8 +39,8 @@ from .words import mix, pieces, plain
 #: Bits of a stratum, strata at most (texts of up to 2^46 places), places after which the steps come again, classes of
 #: characters that step alike.
 SAMPLES, STRATA, CYCLE, CLASSES = 64, 46, 251, 32
-#: Bands of a stratum, bits of a band.
-BANDS, BAND_BITS = 4, 24
+#: Ratio of the lengths of a cell; fingerprints of a chunk of a cell at least and at most, chunks of a cell between these.
+CELL, CHUNK_LEAST, CHUNK_MOST, CHUNKS = 1.5, 1 << 16, 1 << 18, 12
 #: Texts that walk together at least.
 SIDE_BY_SIDE = 40
 #: Text that a range of documents holds about.
@@ -250,8 +253,6 @@ def _at_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _key_type(docs: DataFrame) -> tuple[str, pa.DataType]:
-    from pyspark.sql.pandas.types import to_arrow_type
-
     kind = docs.schema["doc_id"].dataType
     return kind.simpleString(), to_arrow_type(kind)
 
@@ -279,42 +280,136 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return made.where("role = 0").unionByName(tails.mapInArrow(_at_ends, _schema(name))).drop("part", "role", "text")
 
 
-def _verified(threshold: float) -> Callable:
+def _shares(ends: np.ndarray, deepest: int) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs whose longer text ends at `ends`: what a differing bit of each stratum counts for, and which bits count."""
+    low = np.int64(1) << np.arange(deepest)
+    seen = np.stack([np.searchsorted(x, ends, side="right") for x in _samples()[0][:deepest]], axis=1)
+    weight = np.where(seen > 0, np.clip(ends[:, None] + 1 - low, 0, low), 0)
+    mask = np.where(seen >= 64, ~np.uint64(0), (np.uint64(1) << np.minimum(seen, 63).astype(np.uint64)) - np.uint64(1))
+    return weight / np.maximum(weight.sum(axis=1), 1)[:, None] / np.maximum(seen, 1), mask
+
+
+def _matrix(strata: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A row for each stratum, with what is behind the end where a text doesn't reach."""
+    column = strata.combine_chunks() if isinstance(strata, pa.ChunkedArray) else strata
+    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    out = np.repeat(_behind()[: max([1, *sizes.tolist()]), None], len(sizes), axis=1)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    out[np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes), row] = column.flatten().to_numpy().view(np.uint64)
+    return out
+
+
+def _cell(places: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(np.maximum(places, 1)) / np.log(CELL)).astype(np.int32)
+
+
+def shortest(ends: np.ndarray, strata: pa.Array, threshold: float) -> np.ndarray:
+    """The last place that a text at least as near as `threshold` and no longer has at least: from there on the fingerprint
+    differs too often from what is behind an end."""
+    whole = _matrix(strata)
+    deepest = len(whole)
+    share, mask = _shares(ends, deepest)
+    apart = ((whole.T ^ _behind()[:deepest]) & mask)[:, :, None] >> np.arange(SAMPLES, dtype=np.uint64) & np.uint64(1)
+    from_here = np.cumsum((apart * share[:, :, None]).reshape(len(ends), -1)[:, ::-1], axis=1)[:, ::-1]
+    n = (from_here > (1 - threshold) / 2 + 1e-9).sum(axis=1)
+    return np.where(n > 0, _samples()[0][:deepest].ravel()[np.maximum(n, 1) - 1], 0)
+
+
+def _celled(threshold: float) -> Callable:
+    """Adds `shortest` and the cells in which a fingerprint is compared."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            side = lambda c: [np.array(x, np.int64).view(np.uint64) for x in batch.column(c).to_pylist()]  # noqa: B023, E731
-            ends = tuple(batch.column(c).to_numpy() for c in ("last_place", "first_place"))
-            alike = likeness(ends, (side("strata"), side("first_strata")))
-            yield batch.select(["a", "b"]).append_column("likeness", pa.array(alike)).filter(pa.array(alike >= threshold))
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1000):
+                batch = whole.slice(i, 1000)
+                ends = batch.column("last_place").to_numpy()
+                least = shortest(ends, batch.column("strata"), threshold)
+                cells = [np.arange(x, y + 1) for x, y in zip(_cell(least).tolist(), _cell(ends).tolist(), strict=True)]
+                yield batch.append_column("shortest", pa.array(least)).append_column("cells", pa.array(cells, pa.list_(pa.int32())))
+
+    return run
+
+
+def _linked(threshold: float, kind: pa.DataType) -> Callable:
+    """Of a tile: links that join all fingerprints which are near each other. Tiles of two chunks compare across only."""
+    most = (1 - threshold) / 2 + 1e-12
+
+    def run(tile: pa.Table) -> pa.Table:
+        tile = tile.sort_by("last_place")
+        ends, least, side = (tile[c].to_numpy() for c in ("last_place", "shortest", "side"))
+        bits = _matrix(tile["strata"])
+        share, mask = _shares(ends, len(bits))
+        order = np.argsort(-share * np.bitwise_count(mask), axis=1, kind="stable")  # the heaviest stratum first
+        component, alone = np.arange(len(ends)), np.ones(len(ends), bool)
+        links: list[tuple[int, int]] = []
+
+        def near(i: int, others: np.ndarray) -> np.ndarray:
+            """Those of `others`, no longer texts, that are alike enough."""
+            apart = np.zeros(len(others))
+            for s in order[i].tolist():
+                if not share[i, s]:
+                    break
+                apart += share[i, s] * np.bitwise_count((bits[s, others] ^ bits[s, i]) & mask[i, s])
+                on = apart <= most
+                others, apart = others[on], apart[on]
+            return others
+
+        def compare(rows: np.ndarray, pool: np.ndarray) -> None:
+            held, lengths = np.ascontiguousarray(bits[:, pool]), ends[pool]
+            first, last = np.searchsorted(lengths, least[rows], "left"), np.searchsorted(pool, rows, "left")
+            for i, a, b in zip(rows.tolist(), first.tolist(), last.tolist(), strict=True):
+                if a >= b:
+                    continue
+                s = order[i, 0]
+                differ = np.bitwise_count((held[s, a:b] ^ bits[s, i]) & mask[i, s])
+                others = pool[a + np.flatnonzero(differ <= int(most / share[i, s] + 1e-9))]
+                step = 64
+                while len(others):
+                    found, others = near(i, others[:step]), others[step:]
+                    for c, j in zip(*np.unique(component[found], return_index=True), strict=True):
+                        if component[i] != c:
+                            links.append((i, int(found[j])))
+                            if alone[i]:
+                                component[i] = c
+                            else:
+                                component[component == component[i]] = c
+                            alone[[i, found[j]]] = False
+                    others = others[component[others] != component[i]]
+                    step *= 8
+
+        one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if len(two):
+            compare(one, two)
+            compare(two, one)
+        else:
+            compare(one, one)
+        a, b = np.array(links, np.int64).reshape(-1, 2).T
+        ids = tile["a"].combine_chunks()
+        return pa.table([ids.take(pa.array(a)), ids.take(pa.array(b))], pa.schema([("a", kind), ("b", kind)]))
 
     return run
 
 
-def bands(prints: DataFrame) -> DataFrame:
-    """`prints` (last_place, strata) with a row for each of its bands: stratum, band and bits. Only strata that the text
-    fills are used, the two longest of them, so that a text just below and one just above a stratum's end have one in
-    common. Texts without places have none."""
-    top = F.size("strata") - 1
-    masks = []
-    for b in range(BANDS):
-        chosen = np.argsort(_random(1 << 21, b, np.arange(SAMPLES)))[:BAND_BITS]
-        masks.append(int(np.bitwise_or.reduce(np.uint64(1) << chosen.astype(np.uint64)).view(np.int64)))
-    each = F.explode(F.array(*[F.struct(F.lit(back).alias("back"), F.lit(b).alias("band"), F.lit(m).cast("long").alias("mask")) for back in (1, 2) for b, m in enumerate(masks)]))
-    rows = prints.withColumn("x", each).withColumn("stratum", F.when((top == 0) & (F.col("x.back") == 1), 0).otherwise(top - F.col("x.back"))).where("stratum >= 0")
-    return rows.withColumn("band", F.col("x.band")).withColumn("bits", F.element_at("strata", F.col("stratum") + 1).bitwiseAND(F.col("x.mask"))).drop("x")
+def near_links(classes: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that join all rows of `classes` (a, last_place, strata) which are near each other, in bounded tiles."""
+    kind, arrow = classes.schema["a"].dataType.simpleString(), to_arrow_type(classes.schema["a"].dataType)
+    rows = classes.select("a", "last_place", "strata")
+    rows = rows.mapInArrow(_celled(threshold), f"a {kind}, last_place bigint, strata array<bigint>, shortest bigint, cells array<int>")
+    rows = staging.staged(rows, "print-cells").withColumn("cell", F.explode("cells")).drop("cells")
+    # a few dozen cells: their numbers go by the logarithm of the length
+    sizes = [(r["cell"], -(-r["n"] // min(CHUNK_MOST, max(CHUNK_LEAST, -(-r["n"] // CHUNKS))))) for r in rows.groupBy("cell").agg(F.count("*").alias("n")).collect()]
+    chunks = F.broadcast(rows.sparkSession.createDataFrame(sizes, "cell int, chunks bigint"))
+    rows = rows.join(chunks, "cell").withColumn("mine", F.pmod(F.xxhash64("a"), "chunks"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
+    tiles = rows.select("cell", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "a", "last_place", "strata", "shortest")
+    return tiles.groupBy("cell", "i", "j").applyInArrow(_linked(threshold, arrow), f"a {kind}, b {kind}")
 
 
 def near_groups(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """fingerprint and group_id, the smallest doc_id of the texts that verified links join, for each distinct fingerprint
-    of `prints`, as `fingerprints` makes them. Texts without places, and rows without a doc_id, are in no group (null)."""
+    """fingerprint and group_id, the smallest doc_id of the texts that links of at least `threshold` join, for each distinct
+    fingerprint of `prints`, as `fingerprints` makes them. Texts without places, and rows without a doc_id, are in no group
+    (null)."""
     known = prints.where("doc_id is not null and last_place > 0")
     classes = staging.staged(known.groupBy("fingerprint").agg(F.min("doc_id").alias("a"), F.first("last_place").alias("last_place"), F.first("strata").alias("strata")), "print-classes")
-    keyed = bands(classes.drop("fingerprint"))
-    keys = ["stratum", "band", "bits"]
-    first = keyed.groupBy(*keys).agg(F.min(F.struct("a", "last_place", "strata")).alias("f"), F.count("*").alias("n")).where("n > 1")
-    first = first.select(*keys, F.col("f.a").alias("b"), F.col("f.last_place").alias("first_place"), F.col("f.strata").alias("first_strata"))
-    pairs = keyed.join(first, keys).where("a <> b").drop(*keys).dropDuplicates(["a", "b"])
-    kind = prints.schema["doc_id"].dataType.simpleString()
-    links = pairs.mapInArrow(_verified(threshold), f"a {kind}, b {kind}, likeness double")
-    groups = components(links, "print-links")
+    groups = components(near_links(classes, threshold), "print-links")
     return classes.select("fingerprint", F.col("a").alias("node")).join(groups, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("group_id"))
