@@ -182,7 +182,8 @@ def drop_partial_rows(spark: SparkSession, path: str, checkpoint: DataFrame, ret
         return []
     kept = staged(without_partial(stored.where(F.col("part").isin(touched)), checkpoint, retry_errors_only), "kept-runs")
     left = {r["part"] for r in kept.select("part").distinct().collect()}
-    kept.select(schema.names).repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").option("compression", "zstd").parquet(path)
+    # a stored file has rows of one part, so tasks hold few parts each and nothing is shuffled again
+    kept.select(schema.names).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").option("compression", "zstd").parquet(path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     for part in sorted(set(touched) - left):  # nothing is left to write there

@@ -14,3 +14,21 @@ def test_location_queries_make_no_snapshot(spark, monkeypatch, name):
 
     monkeypatch.setattr(catalogue, "_tables", refused)
     assert catalogue.queries()[name](spark, SF).count() > 0
+
+
+def test_dropped_rows_are_not_shuffled_again(spark, monkeypatch, tmp_path):
+    from pyspark.sql import DataFrame
+
+    from rankengine.sources import payloads
+
+    runs = spark.range(3000).selectExpr("id AS ord", "concat('g', id % 90) AS game_id")
+    payloads.write_raw_runs(runs, f"file://{tmp_path}/runs")
+    done = spark.range(90).selectExpr("concat('g', id) AS game_id", "IF(id % 7 = 0, 'error', 'done') AS status")
+
+    def refused(*_):
+        raise AssertionError("rows were dealt anew")
+
+    monkeypatch.setattr(DataFrame, "repartition", refused)
+    assert payloads.drop_partial_rows(spark, f"file://{tmp_path}/runs", done)
+    left = spark.read.parquet(f"file://{tmp_path}/runs").select("ord", "game_id").collect()
+    assert sorted(left) == sorted(r for r in runs.collect() if int(r.game_id[1:]) % 7)
