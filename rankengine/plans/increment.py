@@ -58,10 +58,10 @@ def read_state(spark: SparkSession, root: str, version: str) -> Tables:
     return {name: spark.read.parquet(f"{root}/version={version}/state/{name}") for name in ("scored", "digests", "last")}
 
 
-def publish_whole(raw: Tables, data_version: str = "v1", scraped_at: str = "2024-01-08 00:00:00") -> tuple[Tables, Tables]:
-    """All published tables, and the state to go on from."""
+def publish_whole(raw: Tables, data_version: str = "v1", scraped_at: str = "2024-01-08 00:00:00", at: str | None = None) -> tuple[Tables, Tables]:
+    """All published tables, and the state to go on from. `at`: see publish.publish_scored."""
     current = normalize.current(raw)
-    tables, scored = publish.publish_scored(current, data_version, scraped_at)
+    tables, scored = publish.publish_scored(current, data_version, scraped_at, at)
     return tables, _state(raw, scored, staged(_digests(current), "digests"))
 
 

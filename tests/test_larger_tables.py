@@ -32,3 +32,32 @@ def test_dropped_rows_are_not_shuffled_again(spark, monkeypatch, tmp_path):
     assert payloads.drop_partial_rows(spark, f"file://{tmp_path}/runs", done)
     left = spark.read.parquet(f"file://{tmp_path}/runs").select("ord", "game_id").collect()
     assert sorted(left) == sorted(r for r in runs.collect() if int(r.game_id[1:]) % 7)
+
+
+def test_published_runs_are_numbered_and_clustered_by_one_shuffle(spark, monkeypatch):
+    from rankengine.plans import publish
+
+    frame, dealt, numbered = type(spark.range(1)), [], []
+    by_range, dense = frame.repartitionByRange, publish.dense_ids
+    monkeypatch.setattr(frame, "repartitionByRange", lambda df, *by: dealt.append((str(by[-1]), df.columns)) or by_range(df, *by))
+    monkeypatch.setattr(publish, "dense_ids", lambda df, *names: numbered.append(df.columns) or dense(df, *names))
+    runs = catalogue.fresh_tables(spark, SF)["runs"]
+    assert runs.count() and sum("value" in columns for _, columns in dealt) == 1
+    assert numbered and not any("player_id" in columns for columns in numbered)
+    for file in runs.inputFiles():  # a game's boards lie side by side, by name
+        rows = [(r.game_id, r.leaderboard_id, r.place) for r in spark.read.parquet(file).select("game_id", "leaderboard_id", "place").collect()]
+        assert rows == sorted(rows)
+
+
+def test_boards_that_games_of_one_name_share(spark):
+    from rankengine.plans import publish, score
+
+    rows = [(i, f"r{i}", game, platform, players, board, False, float(t), False, 86400 * i, i, False) for i, (game, platform, players, board, t) in enumerate([("g1", "p", ["a", "b"], "B: x", 5), ("g2", None, ["b"], "B: x", 5), ("g2", "q", ["c", "a"], "B: x", 7), ("g3", "p", ["a"], "A: x", 3), ("g1", "p", ["x"], "B: y", 3), ("g1", "p", ["z"], "B: z", 3)])]
+    scored = spark.createDataFrame(rows, "ord long, run_id string, game_id string, platform_id string, player_ids array<string>, leaderboard_name string, is_reverse boolean, t double, missing_primary boolean, date long, date_submitted long, is_level_run boolean")
+    players = spark.createDataFrame([(i, i.upper(), "r", "f", i == "z") for i in "abcxz"], "id string, name string, country string, flag string, is_guest boolean")
+    names = lambda *x: spark.createDataFrame([(*r, "2024-01-01") for r in x], "id string, name string, seen_at string")
+    raw = {"raw_games": names(("g1", "B"), ("g2", "B"), ("g3", "A")), "raw_platforms": names(("p", "P")), "excluded_players": spark.createDataFrame([("X",), (None,)], "name string")}
+    want = score.credit_runs(score.value_boards(scored), players, raw["raw_games"], raw["raw_platforms"], raw["excluded_players"])
+    got = publish.published_runs(raw, scored, players).select(want.columns).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want.collect()))
+    assert sorted((r.leaderboard_id, r.game_id, r.player_id) for r in got) == [(1, "g3", "a"), (2, "g1", "a"), (2, "g1", "b"), (2, "g2", "c")]
