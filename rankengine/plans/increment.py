@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ranking import dense_ids, latest_per_key
+from ..operators.ranking import dense_ids
 from ..operators.storage import staged
 from . import normalize, publish, score
 from .normalize import DIMENSIONS
@@ -108,7 +108,7 @@ def publish_again(raw: Tables, before: Tables, state: Tables, data_version: str
     players = staged(normalize.players_dim(current), "players-dim")
     names = [r[0] for r in boards.limit(INLINE + 1).collect()]
     again = staged(_on_boards(state["scored"], BOARD, boards, names).unionByName(new.where(F.col(BOARD).isNotNull())), "late-rows")
-    credits = score.credit_runs(score.value_boards(again), players, latest_per_key(current["raw_games"], "id"), latest_per_key(current["raw_platforms"], "id"), current["excluded_players"], ids=False)
+    credits = score.credit_runs(score.value_boards(again), players, normalize.latest(current, "raw_games"), normalize.latest(current, "raw_platforms"), current["excluded_players"], ids=False)
     credits = staged(credits, "late-credits")
     of = boards.withColumnRenamed(BOARD, "leaderboard")
     kept = before["runs"].join(of, "leaderboard", "left_anti")

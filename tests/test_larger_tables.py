@@ -61,3 +61,16 @@ def test_boards_that_games_of_one_name_share(spark):
     got = publish.published_runs(raw, scored, players).select(want.columns).collect()
     assert sorted(map(str, got)) == sorted(map(str, want.collect()))
     assert sorted((r.leaderboard_id, r.game_id, r.player_id) for r in got) == [(1, "g3", "a"), (2, "g1", "a"), (2, "g1", "b"), (2, "g2", "c")]
+
+
+def test_written_dimensions_are_not_reduced_again(spark):
+    from rankengine.plans import normalize
+
+    raw = catalogue._raw(spark, SF)
+    current = normalize.current(raw)
+    plan = normalize.scored_input(current)._jdf.queryExecution().executedPlan().toString()
+    assert "seen_at" not in plan and "Aggregate" not in plan
+    # another frame in a dimension's place is reduced again
+    late = current | {"raw_games": raw["raw_games"]}
+    assert isinstance(current | {"raw_runs": raw["raw_runs"]}, normalize.Current) and not isinstance(late, normalize.Current)
+    assert normalize.latest(late, "raw_games").count() == current["raw_games"].count() < raw["raw_games"].count()
