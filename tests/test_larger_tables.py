@@ -74,3 +74,38 @@ def test_written_dimensions_are_not_reduced_again(spark):
     late = current | {"raw_games": raw["raw_games"]}
     assert isinstance(current | {"raw_runs": raw["raw_runs"]}, normalize.Current) and not isinstance(late, normalize.Current)
     assert normalize.latest(late, "raw_games").count() == current["raw_games"].count() < raw["raw_games"].count()
+
+
+def test_runs_of_a_log_are_written_once_for_all_its_requests(spark, monkeypatch):
+    from rankengine.plans import answers, batch
+
+    monkeypatch.setattr(batch, "WORDS", 1)
+    monkeypatch.setattr(batch, "CHUNK", 64)
+    kept, staged = {}, batch.staged
+    monkeypatch.setattr(batch, "staged", lambda df, name: kept.setdefault(name, staged(df, name)))
+    tables, lands = catalogue._tables(spark, SF), catalogue._lands(spark)
+    queries = {f"q{k}": f"g=game1&u=!C{k}&r=records&m=5" for k in range(150)}
+    queries |= {"a": "g=!game2&r=pr&m=50", "b": "g=!game3&l=!r1&u=!C10&r=pr&m=20", "c": "p=high&r=pr&m=7", "d": "u=C10,C13&g=!game1&r=pr", "e": "l=r0&p=low,urgent&r=runs&m=9", "f": "p=!high&u=!C13&r=runs&m=13", "g": "s=t-1&l=!r2/n2&r=leaderboards&m=6"}
+    rows, _ = batch.answer_log(spark.createDataFrame(list(queries.items()), "request_id string, query string"), tables, lands)
+    # before: a row for each chunk of scopes, with names, and another table for scopes that include players or places
+    assert kept["log-runs"].count() <= tables["runs"].count() and "leaderboard" not in kept["log-runs"].columns
+    found = {}
+    for r in rows.collect():
+        found.setdefault(r.request_id, []).append((r.rank, r.name, r.points))
+    for name in ("q7", *"abcdefg"):
+        want = answers.answer_query(queries[name], tables, lands)[0].collect()
+        shown = lambda w: w["Leaderboard"] if "Leaderboard" in w else w["Player"]
+        assert want and sorted(found[name]) == sorted((w["Rank"], shown(w.asDict()), w["Points"]) for w in want), name
+
+
+def test_points_of_groups_are_those_of_all_results(spark):
+    from pyspark.sql import functions as F
+
+    from rankengine.plans import publish
+
+    runs = spark.range(900).selectExpr("concat('p', id % 3) AS player_id", "id % 7 AS part", "(id * 7919 % 10007) / 1000.0D AS value").where("player_id <> 'p2' OR part = 0")
+    want = {r.player_id: r.points for r in publish.player_points(runs).collect()}
+    groups = runs.groupBy("player_id", "part").agg(F.slice(F.sort_array(F.collect_list("value"), asc=False), 1, publish.full_places()).alias("best"), F.sum("value").alias("total"), F.count("*").alias("n"))
+    rows = groups.groupBy("player_id").agg(F.flatten(F.collect_list("best")).alias("best"), F.collect_list("total").alias("totals"), F.collect_list("n").alias("counts"))
+    got = {r.player_id: r.points for r in rows.select("player_id", publish.points_of(F.col("best"), F.col("totals"), F.col("counts")).alias("points")).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
