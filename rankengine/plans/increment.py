@@ -47,11 +47,26 @@ def _state(raw: Tables, scored: DataFrame, digests: DataFrame) -> Tables:
 
 
 def write_state(state: Tables, root: str, version: str) -> None:
-    """Beside the snapshot of `version`, clustered by board."""
+    """Beside the snapshot of `version`; what lies there already stays. `scored` is clustered by board."""
     for name, df in state.items():
-        df = df.repartitionByRange(F.col(BOARD)).sortWithinPartitions(BOARD) if name == "scored" else df
-        writer = df.write.mode("overwrite").option("compression", "zstd")
-        writer.parquet(f"{root}/version={version}/state/{name}")
+        path = f"{root}/version={version}/state/{name}"
+        if name == "scored":
+            if not _lies_in(df, path):
+                _place_scored(df, path)
+            continue
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+def _lies_in(df: DataFrame, path: str) -> bool:
+    """Whether `df` reads that folder."""
+    files = df.inputFiles()
+    return bool(files) and all(f"{path.split(':', 1)[-1].lstrip('/')}/" in f for f in files)
+
+
+def _place_scored(df: DataFrame, path: str) -> DataFrame:
+    """Dealt to tasks by board and sorted by it: of each file, a few row groups hold a board. Returns the written table."""
+    df.repartition(F.col(BOARD)).sortWithinPartitions(BOARD).write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read_state(spark: SparkSession, root: str, version: str) -> Tables:
@@ -59,9 +74,11 @@ def read_state(spark: SparkSession, root: str, version: str) -> Tables:
 
 
 def publish_whole(raw: Tables, data_version: str = "v1", scraped_at: str = "2024-01-08 00:00:00", at: str | None = None) -> tuple[Tables, Tables]:
-    """All published tables, and the state to go on from. `at`: see publish.publish_scored."""
+    """All published tables, and the state to go on from. `at`: see publish.publish_scored; the scored input is written to
+    its place there, too."""
     current = normalize.current(raw)
-    tables, scored = publish.publish_scored(current, data_version, scraped_at, at)
+    place = (lambda df: _place_scored(df, f"{at}/state/scored")) if at else None
+    tables, scored = publish.publish_scored(current, data_version, scraped_at, at, place)
     return tables, _state(raw, scored, staged(_digests(current), "digests"))
 
 
@@ -110,20 +127,22 @@ def publish_again(raw: Tables, before: Tables, state: Tables, data_version: str
     again = staged(_on_boards(state["scored"], BOARD, boards, names).unionByName(new.where(F.col(BOARD).isNotNull())), "late-rows")
     credits = score.credit_runs(score.value_boards(again), players, normalize.latest(current, "raw_games"), normalize.latest(current, "raw_platforms"), current["excluded_players"], ids=False)
     credits = staged(credits, "late-credits")
-    of = boards.withColumnRenamed(BOARD, "leaderboard")
-    kept = before["runs"].join(of, "leaderboard", "left_anti")
-    runs = kept.drop("leaderboard_id").unionByName(credits)
-    old = _on_boards(before["runs"], "leaderboard", boards, names)
-    numbers = staged(old.select("leaderboard", "leaderboard_id").distinct(), "late-numbers")
+    # names are met once, by the boards; rows are met by numbers
+    numbers = staged(_on_boards(before["runs"].select("leaderboard", "leaderboard_id").distinct(), "leaderboard", boards, names), "late-numbers")
+    ids = staged(numbers.select("leaderboard_id"), "late-ids")
+    kept, old = before["runs"].join(ids, "leaderboard_id", "left_anti"), before["runs"].join(ids, "leaderboard_id", "left_semi")
     now = credits.select("leaderboard").distinct()
     if now.join(numbers, "leaderboard", "full").where("leaderboard_id is null").limit(1).count() or numbers.join(now, "leaderboard", "left_anti").limit(1).count():
-        runs = dense_ids(runs, "leaderboard", "leaderboard_id")
-    else:  # the same boards: they keep their numbers
+        runs = staged(dense_ids(kept.drop("leaderboard_id").unionByName(credits), "leaderboard", "leaderboard_id").withColumn("leaderboard_id", F.col("leaderboard_id").cast("int")), "runs")
+    else:  # the same boards keep their numbers, and the rows of all others stay where they are until the snapshot is written
         runs = kept.unionByName(credits.join(numbers, "leaderboard"))
-    runs = staged(runs.withColumn("leaderboard_id", F.col("leaderboard_id").cast("int")).select(before["runs"].columns), "runs")
+    runs = runs.select(before["runs"].columns)
     touched = staged(old.select("player_id").unionByName(credits.select("player_id")).distinct(), "late-players")
-    points = publish.player_points(runs.join(touched, "player_id", "left_semi"))
-    points = before["player_ranks"].drop("rank").join(touched, "player_id", "left_anti").unionByName(points)
+    if 2 * touched.count() > before["player_ranks"].count():  # to sum all anew is less work than to find the others
+        points = publish.player_points(runs)
+    else:
+        points = publish.player_points(runs.join(touched, "player_id", "left_semi"))
+        points = before["player_ranks"].drop("rank").join(touched, "player_id", "left_anti").unionByName(points)
     tables = {"runs": runs, "player_ranks": publish.ranked(staged(points, "points")), **publish.dimensions(current, runs, players)}
     scored = state["scored"].unionByName(new)
     meta = publish.meta(tables, scored, data_version, scraped_at, raw["crawl_checkpoint"].where("status = 'error'"))

@@ -109,3 +109,38 @@ def test_points_of_groups_are_those_of_all_results(spark):
     rows = groups.groupBy("player_id").agg(F.flatten(F.collect_list("best")).alias("best"), F.collect_list("total").alias("totals"), F.collect_list("n").alias("counts"))
     got = {r.player_id: r.points for r in rows.select("player_id", publish.points_of(F.col("best"), F.col("totals"), F.col("counts")).alias("points")).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_publishing_again_leaves_what_is_written_where_it_is(spark, monkeypatch):
+    from rankengine.plans import increment, normalize, publish
+
+    catalogue._current(spark, SF)
+
+    def refused(*_):
+        raise AssertionError("dimensions were reduced again")
+
+    monkeypatch.setattr(normalize, "latest_per_key", refused)
+    names = []
+    for module in (increment, publish):
+        monkeypatch.setattr(module, "staged", lambda df, name, staged=module.staged: names.append(name) or staged(df, name))
+    again = catalogue.before_last_runs(spark, SF)
+    assert "scored" not in names  # it is written to its place in the state, once
+    names.clear()
+    tables = again()
+    assert "late-credits" in names and "runs" not in names  # rows of other boards stay where they are
+    columns = ["leaderboard_id", "leaderboard", "player_id", "player", "place", "value", "platform", "date"]
+    rows = lambda t: sorted(map(str, t["runs"].select(columns).collect()))
+    assert rows(tables) == rows(catalogue._tables(spark, SF))
+
+
+def test_credits_are_made_single_before_players_are_met(spark):
+    from rankengine.plans import score
+
+    rows = [(i, f"r{i}", "g", "p", players, "B", False, float(i), False, 86400, i, False) for i, players in enumerate([["a", "b"], ["b"], ["b", "a"]])]
+    scored = spark.createDataFrame(rows, "ord long, run_id string, game_id string, platform_id string, player_ids array<string>, leaderboard_name string, is_reverse boolean, t double, missing_primary boolean, date long, date_submitted long, is_level_run boolean")
+    players = spark.createDataFrame([(i, i.upper(), "r", "f", False) for i in "ab"], "id string, name string, country string, flag string, is_guest boolean")
+    named = spark.createDataFrame([("g", "G"), ("p", "P")], "id string, name string")
+    credits = score.credit_runs(score.value_boards(scored), players, named, named, spark.createDataFrame([(None,)], "name string"), ids=False)
+    assert sorted((r.player_id, r.place) for r in credits.collect()) == [("a", 1), ("b", 1)]
+    plan = score.value_boards(scored)._jdf.queryExecution().executedPlan().toString()
+    assert "RangeFrame, currentrow" in plan  # means over ties need no sort of their own
