@@ -144,3 +144,18 @@ def test_credits_are_made_single_before_players_are_met(spark):
     assert sorted((r.player_id, r.place) for r in credits.collect()) == [("a", 1), ("b", 1)]
     plan = score.value_boards(scored)._jdf.queryExecution().executedPlan().toString()
     assert "RangeFrame, currentrow" in plan  # means over ties need no sort of their own
+
+
+def test_first_rows_are_found_without_a_sort(spark):
+    from rankengine.plans import batch
+
+    df = spark.range(6000).selectExpr("id % 3 AS k", "id AS n", "CASE WHEN id % 3 = 2 THEN 1.5D WHEN id % 11 = 0 THEN 0D ELSE (id * 7919 % 10007) / 1000.0D END AS v")
+    plan = batch._front(df, "v", 1500, "k")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SortMergeJoin" not in plan
+    rows = df.collect()
+    for most in (0, 10, 1500):
+        got = {(r.k, r.n) for r in batch._front(df, "v", most, "k").collect()}
+        for k in range(3):
+            mine = sorted((r for r in rows if r.k == k), key=lambda r: -r.v)
+            last = mine[most].v
+            assert {(k, r.n) for r in mine if r.v >= last} <= got and (k == 2 or sum(x == k for x, _ in got) < most + 40)
