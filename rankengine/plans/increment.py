@@ -98,7 +98,8 @@ def _on_boards(df: DataFrame, column: str, boards: DataFrame, names: list[str])
 
 
 def publish_again(raw: Tables, before: Tables, state: Tables, data_version: str = "v1", scraped_at: str = "2024-01-08 00:00:00") -> tuple[Tables, Tables]:
-    """All published tables and the state, from those of the snapshot `before`; equal to what publish_whole makes."""
+    """All published tables and the state, from those of the snapshot `before`; equal to what publish_whole makes. They must
+    be written as another version, as rows of `before` are read only then."""
     current = normalize.current(raw)
     digests = staged(_digests(current), "digests")
     changed, came = _late(state["digests"], digests)
